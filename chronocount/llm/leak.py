@@ -14,14 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronocount.llm.lookalike import common_form, seen
 
 #: Positions of a window that are hashed. Any run of eight equal words hits under
-#: both; a run with one changed word hits under the mask that ignores its place.
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7))
+#: both; with one changed word it hits under the mask that ignores its place.
+MASKS = ((0, 1, 3, 4, 5, 6, 7), (0, 1, 2, 3, 4, 6, 7))
 SPAN = 8
 
 # Bits of the filter that documents' hashes go through before they leave their
@@ -30,7 +30,6 @@ _FILTER_BITS = 1 << 22
 
 _INLINE = re.compile(r"</?(?:b|i|u|em|sub|sup|strong|span|font|a)\b[^<>]{0,80}>", re.I)
 _TAG = re.compile(r"</?[a-z][^<>]{0,80}>", re.I)
-_HYPHEN = re.compile(r"(?<=\w)-\s*(?=\w)")
 _WORD = re.compile(r"\w+")
 
 
@@ -42,7 +41,8 @@ def words(text: str) -> list[str]:
     """
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
-    return _WORD.findall(_HYPHEN.sub("", common_form(seen(text))))
+    # A hyphen at the end of a line may or may not belong to the word.
+    return _WORD.findall(common_form(seen(text).replace("-\n", "").replace("-", "")))
 
 
 def _word_ids(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,21 +151,34 @@ def covered(item: list[str], doc: list[str], least: int = SPAN) -> int:
     return max(best, default=0)
 
 
-def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
-    """``doc_key, item_key, n_words, n_covered, share`` of every document and item that share a run of eight words.
+def _words_hit(at: str) -> Column:
+    """Words that lie in windows beginning at the sorted positions ``at``."""
+    gaps = F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda b, a: F.least(b - a, F.lit(SPAN).cast("bigint")))
+    return F.aggregate(gaps, F.lit(SPAN).cast("bigint"), lambda total, x: total + x)
+
+
+def leaks(
+    docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, min_share: float = 0.5
+) -> DataFrame:
+    """``doc_key, item_key, n_words, n_covered, share`` of documents that hold at least ``min_share`` of an item.
 
     ``share`` is the part of the item's words that stand in the document in the
     item's order, in runs of eight or more. Null and empty texts and items of
     fewer than eight words give no row; several rows of one key are texts of
-    their own, of which the best counts. Whole texts are compared; a document
-    is read a second time only if a seed hit it.
+    their own, of which the best counts. Whole texts are compared.
+
+    Every run of eight words is a hit, so the item's words that lie in windows
+    hit by a document are at least those covered; only pairs in which these reach
+    ``min_share`` have their words compared.
     """
     item_seeds = seeds(items, item_key, item_text)
     bits = seed_filter(item_seeds)
+    windows = item_seeds.groupBy(F.col("key").alias("item")).agg((F.max("pos") + SPAN).alias("n_item"))
     hits = (
         seeds(docs, doc_key, doc_text, bits).select(F.col("key").alias("doc"), "mask", "seed").distinct()
-        .join(item_seeds.select(F.col("key").alias("item"), "mask", "seed").distinct(), ["mask", "seed"])
-        .select("doc", "item").distinct()
+        .join(item_seeds.select(F.col("key").alias("item"), "mask", "seed", F.col("pos").alias("at")).distinct(), ["mask", "seed"])
+        .groupBy("doc", "item").agg(F.sort_array(F.collect_set("at")).alias("at"))
+        .join(windows, "item").filter(_words_hit("at") >= F.lit(min_share) * F.col("n_item"))
     )
     per_doc = hits.groupBy("doc").agg(F.collect_set("item").alias("items"))
     texts = docs.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("text")).join(per_doc, "doc")
@@ -187,7 +200,8 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
             yield pd.DataFrame(rows, columns=["doc", "item", "n_words", "n_covered"])
 
     schema = f"doc {dict(docs.dtypes)[doc_key]}, item {dict(items.dtypes)[item_key]}, n_words bigint, n_covered bigint"
-    found = pairs.select("doc", "item", "text", "item_text").mapInPandas(verify, schema).filter("n_covered > 0")
+    found = pairs.select("doc", "item", "text", "item_text").mapInPandas(verify, schema)
+    found = found.filter((F.col("n_covered") > 0) & (F.col("n_covered") >= F.lit(min_share) * F.col("n_words")))
     best = found.groupBy("doc", "item").agg(F.max(F.struct(F.col("n_covered") / F.col("n_words"), "n_words", "n_covered")).alias("b"))
     return best.select(
         F.col("doc").alias(doc_key), F.col("item").alias(item_key), "b.n_words", "b.n_covered", (F.col("b.n_covered") / F.col("b.n_words")).alias("share")

@@ -9,18 +9,19 @@ from chronocount.llm.leak import leaks
 from chronocount.session import read
 
 
-def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks(read(spark, folder, "documents"), "doc_id", "text", read(spark, folder, "eval_items"), "item_id", "item_text")
+def _leaks(spark: SparkSession, folder: str, min_share: float) -> DataFrame:
+    docs, items = read(spark, folder, "documents"), read(spark, folder, "eval_items")
+    return leaks(docs, "doc_id", "text", items, "item_id", "item_text", min_share)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold at least half of an item."""
-    return _leaks(spark, folder).filter("share >= 0.5").select("doc_id", "item_id").distinct()
+    return _leaks(spark, folder, 0.5).select("doc_id", "item_id").distinct()
 
 
 def p6_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Every leaked item with the number of documents that hold half of it, and its largest share in one."""
-    return _leaks(spark, folder).groupBy("item_id").agg(
+    """Items of which a document holds a fifth: the number of documents with half of it, and its largest share in one."""
+    return _leaks(spark, folder, 0.2).groupBy("item_id").agg(
         F.sum((F.col("share") >= 0.5).cast("bigint")).alias("n_docs"), F.max("share").alias("largest_share")
     )
 
