@@ -28,8 +28,8 @@ from chronocount.session import cut
 #: Rows, lowest by hash, on which the slot width of the k-nearest search is fitted. All rows are indexed.
 FIT_ROWS = 20_000
 
-_SKETCH = 8  # directions of the sketch, 16 bits each
-_STEP_PARTS = 256.0  # parts of the radius in a step of the sketch
+_SKETCH = 8  # directions of the sketch, 8 bits each
+_STEP_PARTS = 16.0  # steps of the sketch in the radius
 
 
 @dataclass(frozen=True)
@@ -137,18 +137,17 @@ def near_pairs(vectors: DataFrame, dim: int, radius: float, seed: int = 0) -> tu
             own = score == 0
             keep = (own & (at == home)) | (at > home)
             row, at, own = row[keep], at[keep], at[keep] == home[keep]
-            q = np.floor(v @ rest / step).astype(np.int64) & 0xFFFF
-            q = np.pad(q, ((0, 0), (0, _SKETCH - q.shape[1])))
-            s = [(q[:, i] | q[:, i + 1] << 16 | q[:, i + 2] << 32 | q[:, i + 3] << 48)[row] for i in (0, 4)]
-            yield pd.DataFrame({"bucket": at, "rep": b["rep"].to_numpy()[row], "s0": s[0], "s1": s[1], "own": own})
-
-    rows = reps.mapInPandas(index, f"bucket bigint, rep {kind}, s0 bigint, s1 bigint, own boolean")
-    home = rows.filter("own").select("bucket", F.col("rep").alias("rep_a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    # Differences modulo 2^16 steps, less the step lost to rounding: never more
+            q = np.floor(v @ rest / step).astype(np.int64) & 0xFF
+            sketch = (q << 8 * np.arange(q.shape[1])).sum(axis=1)[row]
+            yield pd.DataFrame({"bucket": at, "rep": b["rep"].to_numpy()[row], "s": sketch, "own": own})
+
+    rows = reps.mapInPandas(index, f"bucket bigint, rep {kind}, s bigint, own boolean")
+    home = rows.filter("own").select("bucket", F.col("rep").alias("rep_a"), F.col("s").alias("a"))
+    # Differences modulo 2^8 steps, less the step lost to rounding: never more
     # than the true difference, so no pair within the radius is turned away.
     parts = [
-        F.greatest(F.abs(F.shiftright(F.shiftleft(_part(f"a{i}", k) - _part(f"s{i}", k), 48), 48).cast("double")) - 1, F.lit(0.0))
-        for i in (0, 1) for k in range(4)
+        F.greatest(F.abs(F.shiftright(F.shiftleft(_part("a", k) - _part("s", k), 56), 56).cast("double")) - 1, F.lit(0.0))
+        for k in range(min(_SKETCH, dim))
     ]
     low = reduce(lambda x, y: x + y, (p * p for p in parts))
     maybe = (
@@ -163,7 +162,7 @@ def near_pairs(vectors: DataFrame, dim: int, radius: float, seed: int = 0) -> tu
 
 
 def _part(sketch: str, k: int) -> Column:
-    return F.shiftright(sketch, 16 * k).bitwiseAND(F.lit(0xFFFF))
+    return F.shiftright(sketch, 8 * k).bitwiseAND(F.lit(0xFF))
 
 
 def _distance(a: str, b: str, dim: int) -> Column:
