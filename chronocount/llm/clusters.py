@@ -61,6 +61,8 @@ def components(profiles: DataFrame, width: int, most: int = 20) -> tuple[np.ndar
             total += a.T @ a
         yield pd.DataFrame({"i": np.arange(total.size), "s": total.ravel()})
 
+    if not width:
+        return np.zeros(0), np.zeros((0, 0))
     found = profiles.select("x").mapInPandas(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas()
     g = np.zeros((width + 1) ** 2)
     g[found["i"]] = found["s"]
@@ -71,7 +73,8 @@ def components(profiles: DataFrame, width: int, most: int = 20) -> tuple[np.ndar
     lead = np.argsort(-value)[: min(most, width)]
     lead = lead[value[lead] > 1e-9]
     vector = vector[:, lead]
-    return mean, vector * np.sign(vector[np.abs(vector).argmax(axis=0), np.arange(vector.shape[1])] + 1e-300)
+    # One sign of the two that an axis can have: that of its largest entry.
+    return mean, vector * np.sign(vector[np.abs(vector).argmax(axis=0), np.arange(len(lead))])
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:

@@ -135,20 +135,23 @@ def _shared_runs(a: list[str], b: list[str], least: int) -> list[tuple[int, int,
 def covered(item: list[str], doc: list[str], least: int = SPAN) -> int:
     """Most words of ``item`` that stand in ``doc`` in the item's order, in runs of ``least`` or more.
 
-    Runs are chained by dynamic programming; where two overlap, the later one
-    counts from the end of the earlier as long as ``least`` words remain.
+    Dynamic programming over the ends of pieces of equal runs: a piece goes on
+    from the word before, or begins ``least`` words back after the best chain
+    that ends before it in both texts.
     """
-    runs = sorted(_shared_runs(item, doc, least))
-    best: list[int] = []
-    for k, (i, j, n) in enumerate(runs):
-        most = n
-        for p in range(k):
-            pi, pj, pn = runs[p]
-            cut = max(pi + pn - i, pj + pn - j, 0)
-            if pi <= i and pj <= j and n - cut >= least:
-                most = max(most, best[p] + n - cut)
-        best.append(most)
-    return max(best, default=0)
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for i, j, n in _shared_runs(item, doc, least):
+        for t in range(least - 1, n):
+            ends.setdefault(i + t, []).append((j + t, t))
+    upto = np.zeros(len(doc) + 1, dtype=np.int64)  # best chain by number of the document's words, over the item's words up to least before i
+    best: dict[tuple[int, int], int] = {}
+    for i in range(least - 1, len(item)):
+        for j, _ in ends.get(i - least, ()):
+            np.maximum(upto[j + 1 :], best[i - least, j], out=upto[j + 1 :])
+        for j, t in ends.get(i, ()):
+            begun = int(upto[j - least + 1]) + least
+            best[i, j] = max(begun, best[i - 1, j - 1] + 1) if t >= least else begun
+    return max(best.values(), default=0)
 
 
 def _words_hit(at: str) -> Column:
