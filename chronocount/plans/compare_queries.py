@@ -45,13 +45,13 @@ def count_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return _hist(spark, folder, "time_h")
 
 
-@query(_BY_TIME + _EARLY + "SELECT gene_id, round(max(gap), 6) AS ks FROM cum GROUP BY gene_id")
+@query(_BY_TIME + _EARLY + "SELECT gene_id, round(max(gap), 6) + 0 AS ks FROM cum GROUP BY gene_id")
 def ks_two_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Early cells against late ones."""
     return rounded(compare.ks_two_sample(_hist(spark, folder, "time_h"), ["gene_id"], F.col("time_h") < 36), "ks")
 
 
-@query(_BY_TIME + _EARLY + "SELECT gene_id, round(sum(gap * width), 6) AS w1 FROM cum GROUP BY gene_id")
+@query(_BY_TIME + _EARLY + "SELECT gene_id, round(sum(gap * width), 6) + 0 AS w1 FROM cum GROUP BY gene_id")
 def ot_distance_exact(spark: SparkSession, folder: str) -> DataFrame:
     """Transport cost between early and late cells, gene by gene."""
     return rounded(compare.wasserstein(_hist(spark, folder, "time_h"), ["gene_id"], F.col("time_h") < 36), "w1")
@@ -62,13 +62,13 @@ u AS (SELECT gene_id, time_h, x, n AS a, 0 AS b FROM hist JOIN st USING (time_h)
 ab AS (SELECT gene_id, time_h, x, sum(a) AS a, sum(b) AS b FROM u GROUP BY ALL),
 k AS (SELECT gene_id, time_h, max(gap) AS ks FROM (SELECT gene_id, time_h, abs(sum(a) OVER w / sum(a) OVER g - sum(b) OVER w / sum(b) OVER g) AS gap FROM ab
   WINDOW w AS (PARTITION BY gene_id, time_h ORDER BY x ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY gene_id, time_h)) GROUP BY ALL)
-SELECT gene_id, time_h, round(ks * (SELECT min(nx - time_h) FROM st) / (nx - time_h), 6) AS ks FROM k JOIN st USING (time_h)""")
+SELECT gene_id, time_h, round(ks * (SELECT min(nx - time_h) FROM st) / (nx - time_h), 6) + 0 AS ks FROM k JOIN st USING (time_h)""")
 def ks_distance_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(compare.ks_distance_matrix(_hist(spark, folder, "time_h")), "ks")
 
 
 @query(_MOMENTS + """, p AS (SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, sum(CAST(a.x AS DOUBLE) * b.x) AS p FROM x a JOIN x b ON a.cell_id = b.cell_id AND a.gene_id < b.gene_id GROUP BY ALL)
-SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, round(CASE WHEN a.var > 1e-12 AND b.var > 1e-12 THEN (coalesce(p, 0) / a.n_cells - a.mean * b.mean) / sqrt(a.var * b.var) END, 6) AS r
+SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, round(CASE WHEN a.var > 1e-12 AND b.var > 1e-12 THEN (coalesce(p, 0) / a.n_cells - a.mean * b.mean) / sqrt(a.var * b.var) END, 6) + 0 AS r
 FROM m a JOIN m b ON a.gene_id < b.gene_id LEFT JOIN p ON p.gene_a = a.gene_id AND p.gene_b = b.gene_id""")
 def pearson_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(compare.pearson_matrix(base.counts(spark, folder), base.cells(spark, folder)), "r")
@@ -77,18 +77,18 @@ def pearson_matrix(spark: SparkSession, folder: str) -> DataFrame:
 _MEANS = _BY_TIME + ", mt AS (SELECT gene_id, time_h, sum(x * n) / sum(n) AS mean, sqrt(greatest(sum(CAST(x AS DOUBLE) * x * n) / sum(n) - (sum(x * n) / sum(n)) * (sum(x * n) / sum(n)), 0)) AS sd FROM hist GROUP BY gene_id, time_h) "
 
 
-@query(_MEANS + "SELECT gene_id, time_h, round(mean, 6) AS mean, round(sd, 6) AS sd FROM mt")
+@query(_MEANS + "SELECT gene_id, time_h, round(mean, 6) + 0 AS mean, round(sd, 6) + 0 AS sd FROM mt")
 def mean_sd_by_time(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(compare.mean_sd_by_time(_hist(spark, folder, "time_h")), "mean", "sd")
 
 
-@query(_MEANS + "SELECT gene_id, round(var_pop(mean), 6) AS spread FROM mt GROUP BY gene_id ORDER BY round(var_pop(mean), 9) DESC, gene_id LIMIT 10")
+@query(_MEANS + "SELECT gene_id, round(var_pop(mean), 6) + 0 AS spread FROM mt GROUP BY gene_id ORDER BY round(var_pop(mean), 9) DESC, gene_id LIMIT 10")
 def top_variable_genes(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(compare.top_variable_genes(compare.mean_sd_by_time(_hist(spark, folder, "time_h"))), "spread")
 
 
 _SHARE = """, n AS (SELECT {g}, cell_type, count(*) AS n FROM cell WHERE {g} IS NOT NULL AND cell_type IS NOT NULL GROUP BY ALL)
-SELECT {g}, cell_type, round(100 * coalesce(n.n, 0) / t.t, 6) AS percent FROM (SELECT {g}, sum(n) AS t FROM n GROUP BY {g}) t CROSS JOIN (SELECT DISTINCT cell_type FROM n) c LEFT JOIN n USING ({g}, cell_type)"""
+SELECT {g}, cell_type, round(100 * coalesce(n.n, 0) / t.t, 6) + 0 AS percent FROM (SELECT {g}, sum(n) AS t FROM n GROUP BY {g}) t CROSS JOIN (SELECT DISTINCT cell_type FROM n) c LEFT JOIN n USING ({g}, cell_type)"""
 
 
 @query(_SHARE.format(g="dataset"))
@@ -102,13 +102,13 @@ def celltype_timeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(_MOMENTS + """, z AS (SELECT gene_id, mean, sqrt(var) AS sd FROM m WHERE var > 1e-12 AND gene_id <= 10), k AS (SELECT sum(-mean / sd) AS zero, count(*) AS k FROM z),
-u AS (SELECT cell_id, sum(x / sd) AS up FROM x JOIN z USING (gene_id) GROUP BY cell_id) SELECT cell_id, round((coalesce(up, 0) + zero) / nullif(k, 0), 6) AS score FROM (SELECT cell_id FROM cell) LEFT JOIN u USING (cell_id), k""")
+u AS (SELECT cell_id, sum(x / sd) AS up FROM x JOIN z USING (gene_id) GROUP BY cell_id) SELECT cell_id, round((coalesce(up, 0) + zero) / nullif(k, 0), 6) + 0 AS score FROM (SELECT cell_id FROM cell) LEFT JOIN u USING (cell_id), k""")
 def zscore_signature(spark: SparkSession, folder: str) -> DataFrame:
     counts, cells = base.counts(spark, folder), base.cells(spark, folder)
     return rounded(compare.zscore_signature(counts, cells, depth.gene_moments(counts, cells), base.genes(spark, folder).filter("gene_id <= 10")), "score")
 
 
-@query(_BY_TYPE + "SELECT gene_id, cell_type, round(sum(x * n) / sum(n), 6) AS mean FROM hist GROUP BY gene_id, cell_type")
+@query(_BY_TYPE + "SELECT gene_id, cell_type, round(sum(x * n) / sum(n), 6) + 0 AS mean FROM hist GROUP BY gene_id, cell_type")
 def group_mean(spark: SparkSession, folder: str) -> DataFrame:
     h = _hist(spark, folder, "cell_type")
     return rounded(h.groupBy("gene_id", "cell_type").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean")), "mean")
@@ -122,19 +122,19 @@ def dominant_label(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(_BY_TIME + """, tp AS (SELECT *, max(x) OVER g AS top, sum(n) OVER g AS total FROM hist WINDOW g AS (PARTITION BY gene_id, time_h))
-SELECT gene_id, time_h, CAST(least(x * 25 // top, 24) AS INT) AS bin, round(sum(n) / (any_value(total) * any_value(top) / 25), 6) AS density FROM tp WHERE top > 0 GROUP BY ALL""")
+SELECT gene_id, time_h, CAST(least(x * 25 // top, 24) AS INT) AS bin, round(sum(n) / (any_value(total) * any_value(top) / 25), 6) + 0 AS density FROM tp WHERE top > 0 GROUP BY ALL""")
 def histogram_density(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(compare.histogram_density(_hist(spark, folder, "time_h"), ["gene_id", "time_h"]), "density")
 
 
-@query(""", z AS (SELECT time_h, gene_id, sum(n) FILTER (x = 0) / sum(n) AS share FROM hist GROUP BY ALL) SELECT gene_id, time_h, round(coalesce(share, 0), 6) AS share FROM z""".join((_BY_TIME, "")))
+@query(""", z AS (SELECT time_h, gene_id, sum(n) FILTER (x = 0) / sum(n) AS share FROM hist GROUP BY ALL) SELECT gene_id, time_h, round(coalesce(share, 0), 6) + 0 AS share FROM z""".join((_BY_TIME, "")))
 def zero_ratio(spark: SparkSession, folder: str) -> DataFrame:
     h = _hist(spark, folder, "time_h")
     return rounded(h.groupBy("gene_id", "time_h").agg((F.sum(F.when(F.col("x") == 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("share")), "share")
 
 
 @query(""", p AS (SELECT a.embedding AS a, b.embedding AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-SELECT round(sum(list_inner_product(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[]))) / sum(sqrt(list_inner_product(CAST(a AS DOUBLE[]), CAST(a AS DOUBLE[]))) * sqrt(list_inner_product(CAST(b AS DOUBLE[]), CAST(b AS DOUBLE[])))), 6) AS cosine FROM p""")
+SELECT round(sum(list_inner_product(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[]))) / sum(sqrt(list_inner_product(CAST(a AS DOUBLE[]), CAST(a AS DOUBLE[]))) * sqrt(list_inner_product(CAST(b AS DOUBLE[]), CAST(b AS DOUBLE[])))), 6) + 0 AS cosine FROM p""")
 def weighted_cosine(spark: SparkSession, folder: str) -> DataFrame:
     e = read(spark, folder, "embeddings")
     pairs = e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")

@@ -25,7 +25,8 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    # Adding 0 makes one zero of both.
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
 
 
 @query("SELECT time_h, sample_id, count(*) AS n_cells FROM cell GROUP BY time_h, sample_id")
@@ -37,13 +38,13 @@ _MOMENTS = """, m AS (SELECT gene_id, n AS n_cells, s / n AS mean, q / n - (s /
   FROM (SELECT gene_id, CAST(sum(x) AS DOUBLE) AS s, sum(CAST(x AS DOUBLE) * x) AS q FROM x GROUP BY gene_id), (SELECT count(*) AS n FROM cell)) """
 
 
-@query(_MOMENTS + "SELECT gene_id, n_cells, round(mean, 6) AS mean, round(var, 6) AS var FROM m")
+@query(_MOMENTS + "SELECT gene_id, n_cells, round(mean, 6) + 0 AS mean, round(var, 6) + 0 AS var FROM m")
 def gene_moments(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(depth.gene_moments(base.counts(spark, folder), base.cells(spark, folder)), "mean", "var")
 
 
 @query(_MOMENTS + """, g AS (SELECT * FROM m WHERE mean > 0.1), z AS (SELECT c.cell_id, coalesce(sum(x.x / g.mean), 0) AS z FROM cell c LEFT JOIN (x JOIN g USING (gene_id)) ON x.cell_id = c.cell_id GROUP BY c.cell_id)
-SELECT p AS n_genes, round(greatest(((SELECT var_samp(z) FROM z) - d) / (p * (p - 1)), 0), 6) AS cv2
+SELECT p AS n_genes, round(greatest(((SELECT var_samp(z) FROM z) - d) / (p * (p - 1)), 0), 6) + 0 AS cv2
 FROM (SELECT count(*) AS p, sum(var * n_cells / (n_cells - 1) / (mean * mean)) AS d FROM g)""")
 def cv2_read_depth(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(depth.cv2_read_depth(base.counts(spark, folder), base.cells(spark, folder)), "cv2")
@@ -59,18 +60,18 @@ _FLAGGED = "(SELECT gene_id FROM genes WHERE is_poissonian_rd)"
 
 @query(f""", s AS (SELECT c.cell_id, CAST(coalesce(sum(x.x), 0) AS DOUBLE) AS s FROM cell c LEFT JOIN x ON x.cell_id = c.cell_id AND x.gene_id IN {_FLAGGED} GROUP BY c.cell_id),
 r AS (SELECT cell_id, least(greatest(s / (SELECT avg(s) FROM s), 0.2), 5) AS r FROM s)
-SELECT cell_id, round(r / (SELECT avg(r) FROM r), 6) AS rd FROM r""")
+SELECT cell_id, round(r / (SELECT avg(r) FROM r), 6) + 0 AS rd FROM r""")
 def read_depth(spark: SparkSession, folder: str) -> DataFrame:
     flagged = base.genes(spark, folder).filter("is_poissonian_rd")
     return rounded(depth.read_depth(base.counts(spark, folder), base.cells(spark, folder), flagged), "rd")
 
 
-@query("SELECT cell_id, round(rd / ((SELECT median(rd) FROM cell) + 1e-16), 6) AS rd FROM cell")
+@query("SELECT cell_id, round(rd / ((SELECT median(rd) FROM cell) + 1e-16), 6) + 0 AS rd FROM cell")
 def normalise_rd_median(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(depth.normalised_rd(base.cells(spark, folder), "median"), "rd")
 
 
-@query("SELECT cell_id, round(rd / ((SELECT avg(rd) FROM cell) + 1e-16), 6) AS rd FROM cell")
+@query("SELECT cell_id, round(rd / ((SELECT avg(rd) FROM cell) + 1e-16), 6) + 0 AS rd FROM cell")
 def normalise_rd_mean(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(depth.normalised_rd(base.cells(spark, folder), "mean"), "rd")
 
@@ -80,7 +81,7 @@ def depth_correct_counts(spark: SparkSession, folder: str) -> DataFrame:
     return depth.depth_corrected(base.counts(spark, folder), base.cells(spark, folder))
 
 
-@query(", t AS (SELECT cell_id, gene_id, x, sum(x) OVER (PARTITION BY cell_id) AS t FROM x) SELECT cell_id, gene_id, round(ln(1 + x / t * 10000), 6) AS y FROM t WHERE t > 0")
+@query(", t AS (SELECT cell_id, gene_id, x, sum(x) OVER (PARTITION BY cell_id) AS t FROM x) SELECT cell_id, gene_id, round(ln(1 + x / t * 10000), 6) + 0 AS y FROM t WHERE t > 0")
 def normalise_log1p(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(depth.log_normalised(base.counts(spark, folder)), "y")
 
@@ -134,17 +135,17 @@ def _upper(spark: SparkSession, folder: str) -> DataFrame:
     return base.counts(spark, folder).filter("x > 5").select("cell_id", "gene_id")
 
 
-@query(_TEMPORAL + "SELECT gene_id, time_h, round(variation, 6) AS variation FROM tv")
+@query(_TEMPORAL + "SELECT gene_id, time_h, round(variation, 6) + 0 AS variation FROM tv")
 def temporal_variation(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(selection.temporal_variation(_upper(spark, folder), base.cells(spark, folder)), "variation")
 
 
-@query(_UP + _TYPES + "SELECT gene_id, cell_type, round(variation, 6) AS variation FROM cv")
+@query(_UP + _TYPES + "SELECT gene_id, cell_type, round(variation, 6) + 0 AS variation FROM cv")
 def celltype_variation(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(selection.celltype_variation(_upper(spark, folder), base.cells(spark, folder)), "variation")
 
 
-_TOP = "SELECT gene_id, '{kind}' AS kind, CAST({at} AS VARCHAR) AS at, r AS rank FROM (SELECT gene_id, {at}, round(variation, 9) AS v, row_number() OVER (PARTITION BY {at} ORDER BY round(variation, 9) DESC, gene_id) AS r FROM {t}) WHERE r <= {n} AND v >= 0.01"
+_TOP = "SELECT gene_id, '{kind}' AS kind, CAST({at} AS VARCHAR) AS at, r AS rank FROM (SELECT gene_id, {at}, round(variation, 9) + 0 AS v, row_number() OVER (PARTITION BY {at} ORDER BY round(variation, 9) DESC, gene_id) AS r FROM {t}) WHERE r <= {n} AND v >= 0.01"
 
 
 @query(_TEMPORAL + _TYPES + _TOP.format(kind="temporal", at="time_h", t="tv", n=5) + " UNION ALL " + _TOP.format(kind="type", at="cell_type", t="cv", n=3))

@@ -38,31 +38,31 @@ def states(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("cell_id", "gene_id", (x / (x + 10.0)).alias("prot"), F.when(F.col("x") > 5, 1.0).otherwise(0.1).alias("kon"), F.coalesce("d1", F.lit(0.05)).alias("d1"), "time_h", "sample_id", "dataset")
 
 
-@query(_STATE + "SELECT cell_id, gene_id, round(kon + ((0.1 + (prot - 0.1) * exp(-d1 * 0.4 * 6)) - kon) * exp(-d1 * 0.6 * 6), 6) AS prot FROM st")
+@query(_STATE + "SELECT cell_id, gene_id, round(kon + ((0.1 + (prot - 0.1) * exp(-d1 * 0.4 * 6)) - kon) * exp(-d1 * 0.6 * 6), 6) + 0 AS prot FROM st")
 def next_state(spark: SparkSession, folder: str) -> DataFrame:
     """States after 6 hours, 40 % of them towards the lower mode."""
     p = trajectory.next_state(F.col("prot"), F.col("d1"), F.lit(0.1), F.col("kon"), F.lit(0.4), F.lit(1.0), F.lit(6.0))
     return states(spark, folder).select("cell_id", "gene_id", F.round(p, 6).alias("prot"))
 
 
-@query(_STATE + "SELECT cell_id, gene_id, round(prot * exp(-d1 * 6), 6) AS prot FROM st")
+@query(_STATE + "SELECT cell_id, gene_id, round(prot * exp(-d1 * 6), 6) + 0 AS prot FROM st")
 def decay_flow(spark: SparkSession, folder: str) -> DataFrame:
     return states(spark, folder).select("cell_id", "gene_id", F.round(dynamics.decay(F.col("prot"), F.col("d1"), F.lit(6.0)), 6).alias("prot"))
 
 
-@query(_STATE + "SELECT cell_id, gene_id, round(kon + (prot - kon) * exp(-d1 * 0.5), 6) AS prot FROM st")
+@query(_STATE + "SELECT cell_id, gene_id, round(kon + (prot - kon) * exp(-d1 * 0.5), 6) + 0 AS prot FROM st")
 def ode_step(spark: SparkSession, folder: str) -> DataFrame:
     p = dynamics.ode_step(F.col("prot"), F.col("kon"), F.lit(1.0), F.col("d1"), F.lit(0.5))
     return states(spark, folder).select("cell_id", "gene_id", F.round(p, 6).alias("prot"))
 
 
-@query(_STATE + "SELECT gene_id, time_h, round(avg(d1 * (kon - prot)), 6) AS velocity FROM st GROUP BY gene_id, time_h")
+@query(_STATE + "SELECT gene_id, time_h, round(avg(d1 * (kon - prot)), 6) + 0 AS velocity FROM st GROUP BY gene_id, time_h")
 def velocity(spark: SparkSession, folder: str) -> DataFrame:
     v = dynamics.velocity(F.col("prot"), F.col("kon"), F.col("d1"))
     return rounded(states(spark, folder).groupBy("gene_id", "time_h").agg(F.avg(v).alias("velocity")), "velocity")
 
 
-@query(", w AS (SELECT cell_id, gene_id, x, pow(abs(x - 20.0) / 40.0, 2) AS a FROM x) SELECT cell_id, gene_id, round(x * (1 - a / (1 + a)) + 20 * (a / (1 + a)), 6) AS x FROM w")
+@query(", w AS (SELECT cell_id, gene_id, x, pow(abs(x - 20.0) / 40.0, 2) AS a FROM x) SELECT cell_id, gene_id, round(x * (1 - a / (1 + a)) + 20 * (a / (1 + a)), 6) + 0 AS x FROM w")
 def shrink_to_mode(spark: SparkSession, folder: str) -> DataFrame:
     s = trajectory.shrunk_to_mode(F.col("x").cast("double"), F.lit(20.0))
     return base.counts(spark, folder).select("cell_id", "gene_id", F.round(s, 6).alias("x"))
@@ -71,7 +71,7 @@ def shrink_to_mode(spark: SparkSession, folder: str) -> DataFrame:
 @query(""", md AS (SELECT cell_id, gene_id, x, CASE WHEN x > 5 THEN 1 ELSE 0 END AS mode FROM x), mm AS (SELECT *, CASE WHEN mode = 1 THEN 20.0 ELSE 2.0 END AS mean FROM md),
 sh AS (SELECT *, pow(abs(x - mean) / (2 * mean), 2) AS a FROM mm), s AS (SELECT cell_id, gene_id, mode, x * (1 - a / (1 + a)) + mean * (a / (1 + a)) AS s FROM sh),
 b AS (SELECT *, min(s) OVER g AS lo, max(s) OVER g AS hi, dense_rank() OVER (PARTITION BY gene_id ORDER BY mode) - 1 AS z FROM s WINDOW g AS (PARTITION BY gene_id, mode))
-SELECT cell_id, gene_id, round((z + coalesce(sqrt((s - lo) / nullif(hi - lo, 0)), 0)) / (max(z) OVER (PARTITION BY gene_id) + 1), 6) AS prot FROM b""")
+SELECT cell_id, gene_id, round((z + coalesce(sqrt((s - lo) / nullif(hi - lo, 0)), 0)) / (max(z) OVER (PARTITION BY gene_id) + 1), 6) + 0 AS prot FROM b""")
 def init_from_mode(spark: SparkSession, folder: str) -> DataFrame:
     rows = base.counts(spark, folder).withColumn("mode", (F.col("x") > 5).cast("int")).withColumn("mean", F.when(F.col("mode") == 1, 20.0).otherwise(2.0))
     return rounded(trajectory.initial_states(rows), "prot")
@@ -80,12 +80,12 @@ def init_from_mode(spark: SparkSession, folder: str) -> DataFrame:
 _MEAN = _STATE + ", mt AS (SELECT dataset, gene_id, time_h, avg(prot) AS prot FROM st GROUP BY ALL) "
 
 
-@query(_MEAN + "SELECT dataset, gene_id, time_h, round(nt, 6) AS next_time, round(nv - prot, 6) AS step FROM (SELECT *, lead(time_h) OVER w AS nt, lead(prot) OVER w AS nv FROM mt WINDOW w AS (PARTITION BY dataset, gene_id ORDER BY time_h)) WHERE nt IS NOT NULL")
+@query(_MEAN + "SELECT dataset, gene_id, time_h, round(nt, 6) + 0 AS next_time, round(nv - prot, 6) + 0 AS step FROM (SELECT *, lead(time_h) OVER w AS nt, lead(prot) OVER w AS nv FROM mt WINDOW w AS (PARTITION BY dataset, gene_id ORDER BY time_h)) WHERE nt IS NOT NULL")
 def join_next_time(spark: SparkSession, folder: str) -> DataFrame:
     """Mean states of each dataset paired with those of the next time."""
     m = states(spark, folder).groupBy("dataset", "gene_id", "time_h").agg(F.avg("prot").alias("prot"))
     n = trajectory.next_time(m, ["dataset", "gene_id"], "time_h", "prot")
-    return n.select("dataset", "gene_id", "time_h", F.round("next_time", 6).alias("next_time"), F.round(F.col("next_value") - F.col("prot"), 6).alias("step"))
+    return n.select("dataset", "gene_id", "time_h", F.round("next_time", 6).alias("next_time"), (F.round(F.col("next_value") - F.col("prot"), 6) + 0.0).alias("step"))
 
 
 @query(""", w AS (SELECT DISTINCT CAST(round(rd * 50, 1) AS DOUBLE) AS time FROM cell WHERE rd IS NOT NULL), k AS (SELECT DISTINCT time_h AS known_time FROM cell WHERE time_h IS NOT NULL)
@@ -107,7 +107,7 @@ def update_alpha(spark: SparkSession, folder: str) -> DataFrame:
     return trajectory.switch_fraction(rows, 25, lambda t: trajectory.relaxed(F.col("start"), F.col("end"), F.col("d1"), t * 12))
 
 
-@query(_STATE + "SELECT gene_id, round(avg(-(kon * ln(least(greatest(prot, 1e-6), 1 - 1e-6)) + (1 - kon) * ln(1 - least(greatest(prot, 1e-6), 1 - 1e-6)))), 6) AS loss FROM st GROUP BY gene_id")
+@query(_STATE + "SELECT gene_id, round(avg(-(kon * ln(least(greatest(prot, 1e-6), 1 - 1e-6)) + (1 - kon) * ln(1 - least(greatest(prot, 1e-6), 1 - 1e-6)))), 6) + 0 AS loss FROM st GROUP BY gene_id")
 def fit_error(spark: SparkSession, folder: str) -> DataFrame:
     loss = network.cross_entropy(F.col("prot"), F.col("kon"))
     return rounded(states(spark, folder).groupBy("gene_id").agg(F.avg(loss).alias("loss")), "loss")
@@ -115,7 +115,7 @@ def fit_error(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_STATE + """, ed AS (SELECT s.gene_id AS src, t.gene_id AS tgt, avg(w) AS w FROM ref_network JOIN genes s ON s.gene_name = index_name JOIN genes t ON t.gene_name = ref_network.tgt WHERE w IS NOT NULL GROUP BY ALL),
 pl AS (SELECT cell_id, tgt, sum(prot * w) AS s FROM st JOIN ed ON ed.src = st.gene_id GROUP BY ALL), tg AS (SELECT DISTINCT tgt FROM ed)
-SELECT c.cell_id, tgt, round(0.1 * (1 - 1 / (1 + exp(-(-1 + coalesce(s, 0))))) + 1 / (1 + exp(-(-1 + coalesce(s, 0)))), 6) AS kon FROM (SELECT DISTINCT cell_id FROM st) c CROSS JOIN tg LEFT JOIN pl USING (cell_id, tgt)""")
+SELECT c.cell_id, tgt, round(0.1 * (1 - 1 / (1 + exp(-(-1 + coalesce(s, 0))))) + 1 / (1 + exp(-(-1 + coalesce(s, 0)))), 6) + 0 AS kon FROM (SELECT DISTINCT cell_id FROM st) c CROSS JOIN tg LEFT JOIN pl USING (cell_id, tgt)""")
 def kon(spark: SparkSession, folder: str) -> DataFrame:
     """Mode values of the prior networks' targets in every cell."""
     edges = _edges(spark, folder)
@@ -207,14 +207,14 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(_PAIR + """, y AS (SELECT gene_id, dt, CASE WHEN abs(p0 - kon) > 1e-3 AND (p1 - kon) / nullif(p0 - kon, 0) > 1e-6 THEN -ln((p1 - kon) / nullif(p0 - kon, 0)) END AS y FROM pr)
-SELECT gene_id, round(greatest(sum(y * dt) / nullif(sum(dt * dt) FILTER (y IS NOT NULL), 0), 0), 6) AS d1 FROM y GROUP BY gene_id""")
+SELECT gene_id, round(greatest(sum(y * dt) / nullif(sum(dt * dt) FILTER (y IS NOT NULL), 0), 0), 6) + 0 AS d1 FROM y GROUP BY gene_id""")
 def learn_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Decay rates from mean states of consecutive times."""
     return rounded(dynamics.learned_rates(_pairs(spark, folder)), "d1")
 
 
 @query(_PAIR + """, re AS (SELECT gene_id, pow(p1 - p0, 2) AS r, dt AS e FROM pr), ed AS (SELECT gene_id, quantile_cont(r, 0.9) AS edge FROM re GROUP BY gene_id)
-SELECT gene_id, round(greatest(sum(r) / sum(e) - coalesce(sum(r) FILTER (r <= edge) / sum(e) FILTER (r <= edge), 0), 0.01), 6) AS noise FROM re JOIN ed USING (gene_id) GROUP BY gene_id""")
+SELECT gene_id, round(greatest(sum(r) / sum(e) - coalesce(sum(r) FILTER (r <= edge) / sum(e) FILTER (r <= edge), 0), 0.01), 6) + 0 AS noise FROM re JOIN ed USING (gene_id) GROUP BY gene_id""")
 def noise_ratio(spark: SparkSession, folder: str) -> DataFrame:
     p = _pairs(spark, folder).select("gene_id", (F.col("p1") - F.col("p0")).alias("residual"), F.col("dt").alias("expected"))
     return rounded(dynamics.noise_ratio(p), "noise")
@@ -223,7 +223,7 @@ def noise_ratio(spark: SparkSession, folder: str) -> DataFrame:
 _KNOWN = ", kn AS (SELECT gene_name AS known, d1 AS v FROM genes WHERE d1 IS NOT NULL AND gene_name IS NOT NULL), nm AS (SELECT DISTINCT gene AS name FROM gene_list WHERE trim(gene) <> ''), tr AS (SELECT name, substr(name, 1, CAST(floor(length(name) * (10 - i) / 10) AS INT)) AS part FROM nm, (SELECT unnest(range(0, 10)) AS i)), mt AS (SELECT name, part, count(*) AS n_known, avg(v) AS value FROM (SELECT DISTINCT name, part FROM tr WHERE part <> '') JOIN kn ON starts_with(known, part) GROUP BY ALL), bs AS (SELECT name, arg_max({'p': part, 'n': n_known, 'v': value}, length(part)) AS b FROM mt GROUP BY name) "
 
 
-@query(_KNOWN + "SELECT name, coalesce(b.p, '') AS matched, coalesce(b.n, (SELECT count(*) FROM kn)) AS n_known, round(coalesce(b.v, (SELECT avg(v) FROM kn)), 6) AS value FROM nm LEFT JOIN bs USING (name)")
+@query(_KNOWN + "SELECT name, coalesce(b.p, '') AS matched, coalesce(b.n, (SELECT count(*) FROM kn)) AS n_known, round(coalesce(b.v, (SELECT avg(v) FROM kn)), 6) + 0 AS value FROM nm LEFT JOIN bs USING (name)")
 def join_prefix_fallback(spark: SparkSession, folder: str) -> DataFrame:
     """A rate for every listed name, by the longest prefix that known genes share."""
     known = base.genes(spark, folder).filter("d1 is not null and gene_name is not null").select(F.col("gene_name").alias("known"), F.col("d1").alias("v"))

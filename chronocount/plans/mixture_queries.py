@@ -44,29 +44,29 @@ def _all(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFr
     return hist, fit, mixture.initial_modes(fit)
 
 
-@query(_FIT + "SELECT gene_id, round(k, 6) AS k, round(c, 6) AS c FROM fit")
+@query(_FIT + "SELECT gene_id, round(k, 6) + 0 AS k, round(c, 6) + 0 AS c FROM fit")
 def nb_moment_fit(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_all(spark, folder)[1], "k", "c")
 
 
-@query(_FIT + "SELECT gene_id, mode, round(k, 6) AS k, round(c, 6) AS c FROM md")
+@query(_FIT + "SELECT gene_id, mode, round(k, 6) + 0 AS k, round(c, 6) + 0 AS c FROM md")
 def mixture_init(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_all(spark, folder)[2], "k", "c")
 
 
-@query(_HX + "SELECT gene_id, x, mode, round(l, 6) AS l FROM lp")
+@query(_HX + "SELECT gene_id, x, mode, round(l, 6) + 0 AS l FROM lp")
 def nb_logpmf(spark: SparkSession, folder: str) -> DataFrame:
     hist, _, modes = _all(spark, folder)
     return hist.join(modes, "gene_id").select("gene_id", "x", "mode", F.round(nb.nb_logpmf(F.col("x"), F.col("k"), F.col("c")), 6).alias("l"))
 
 
-@query(_HX + "SELECT gene_id, x, mode, round(exp(l), 9) AS p FROM lp")
+@query(_HX + "SELECT gene_id, x, mode, round(exp(l), 9) + 0 AS p FROM lp")
 def nb_pmf(spark: SparkSession, folder: str) -> DataFrame:
     hist, _, modes = _all(spark, folder)
     return hist.join(modes, "gene_id").select("gene_id", "x", "mode", F.round(nb.nb_pmf(F.col("x"), F.col("k"), F.col("c")), 9).alias("p"))
 
 
-@query(_HX + "SELECT gene_id, x, mode, round(CASE WHEN x = 0 THEN ln(0.1 + 0.9 * exp(l)) ELSE ln(0.9) + l END, 6) AS l FROM lp")
+@query(_HX + "SELECT gene_id, x, mode, round(CASE WHEN x = 0 THEN ln(0.1 + 0.9 * exp(l)) ELSE ln(0.9) + l END, 6) + 0 AS l FROM lp")
 def zinb_logpmf(spark: SparkSession, folder: str) -> DataFrame:
     hist, _, modes = _all(spark, folder)
     value = nb.zinb_logpmf(F.col("x"), F.col("k"), F.col("c"), F.lit(0.1))
@@ -77,7 +77,7 @@ _P = _HX + """, pr AS (SELECT gene_id, x, n, mode, joint, top, greatest(exp(join
 pn AS (SELECT gene_id, x, n, mode, joint, top, p / sum(p) OVER (PARTITION BY gene_id, x) AS p FROM pr) """
 
 
-@query(_P + "SELECT gene_id, x, n, mode, round(p, 6) AS p FROM pn")
+@query(_P + "SELECT gene_id, x, n, mode, round(p, 6) + 0 AS p FROM pn")
 def responsibilities(spark: SparkSession, folder: str) -> DataFrame:
     hist, _, modes = _all(spark, folder)
     return rounded(mixture.responsibilities(hist, modes), "p").drop("joint")
@@ -92,20 +92,20 @@ def mode_class(spark: SparkSession, folder: str) -> DataFrame:
 _LL = _P + ", ll AS (SELECT gene_id, sum(n) AS n, sum(n * l) AS loglik FROM (SELECT gene_id, x, any_value(n) AS n, any_value(top) + ln(sum(exp(joint - top))) AS l FROM pn GROUP BY gene_id, x) GROUP BY gene_id) "
 
 
-@query(_LL + "SELECT gene_id, CAST(n AS BIGINT) AS n, round(loglik, 4) AS loglik FROM ll")
+@query(_LL + "SELECT gene_id, CAST(n AS BIGINT) AS n, round(loglik, 4) + 0 AS loglik FROM ll")
 def mixture_loglik(spark: SparkSession, folder: str) -> DataFrame:
     hist, _, modes = _all(spark, folder)
     return rounded(mixture.log_likelihood(hist, modes), "loglik", digits=4)
 
 
-@query(_LL + "SELECT gene_id, round(ln(n) * 4 - 2 * loglik, 4) AS bic FROM ll")
+@query(_LL + "SELECT gene_id, round(ln(n) * 4 - 2 * loglik, 4) + 0 AS bic FROM ll")
 def mixture_bic(spark: SparkSession, folder: str) -> DataFrame:
     hist, _, modes = _all(spark, folder)
     return rounded(mixture.bic(mixture.log_likelihood(hist, modes), 2), "bic", digits=4)
 
 
 @query(_HX + """, tp AS (SELECT gene_id, max(x) AS top FROM hx WHERE n > 0 GROUP BY gene_id), gr AS (SELECT gene_id, CAST(unnest(range(0, top + 1)) AS INT) AS x FROM tp)
-SELECT gene_id, x, round(sum(0.5 * exp(lgamma(x + kk) - lgamma(kk) - lgamma(x + 1.0) + kk * ln(c) - (x + kk) * ln(1 + c))), 9) AS density FROM (SELECT gr.*, least(greatest(k, 1e-8), 1e5) AS kk, c FROM gr JOIN md USING (gene_id)) GROUP BY gene_id, x""")
+SELECT gene_id, x, round(sum(0.5 * exp(lgamma(x + kk) - lgamma(kk) - lgamma(x + 1.0) + kk * ln(c) - (x + kk) * ln(1 + c))), 9) + 0 AS density FROM (SELECT gr.*, least(greatest(k, 1e-8), 1e5) AS kk, c FROM gr JOIN md USING (gene_id)) GROUP BY gene_id, x""")
 def mixture_curve(spark: SparkSession, folder: str) -> DataFrame:
     hist, _, modes = _all(spark, folder)
     return rounded(mixture.mixture_curve(modes, hist.groupBy("gene_id").agg(F.max("x").alias("top"))), "density", digits=9)

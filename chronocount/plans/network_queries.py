@@ -108,13 +108,13 @@ def prior_mask(spark: SparkSession, folder: str) -> DataFrame:
     return network.prior_mask(prior_matrix(spark, folder), read(spark, folder, "genes").filter("not is_poissonian_rd").select("gene_id"))
 
 
-@query("SELECT src, tgt, round(w, 6) AS w FROM (SELECT *, sum(abs(w)) OVER (PARTITION BY tgt) AS s FROM nw) WHERE abs(w) >= 0.2 AND abs(w) >= 0.1 * s")
+@query("SELECT src, tgt, round(w, 6) + 0 AS w FROM (SELECT *, sum(abs(w)) OVER (PARTITION BY tgt) AS s FROM nw) WHERE abs(w) >= 0.2 AND abs(w) >= 0.1 * s")
 def filter_edges(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(network.filter_edges(_mean_net(spark, folder), 0.2, 0.1), "w")
 
 
-@query(""", c AS (SELECT *, round(abs(w - coalesce(lag(w) OVER (PARTITION BY src, tgt ORDER BY net_id), 0)), 9) AS change FROM n)
-SELECT net_id AS frame, src, tgt, w, round(change, 6) AS change FROM (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY change DESC, net_id) AS r FROM c) WHERE r = 1""")
+@query(""", c AS (SELECT *, round(abs(w - coalesce(lag(w) OVER (PARTITION BY src, tgt ORDER BY net_id), 0)), 9) + 0 AS change FROM n)
+SELECT net_id AS frame, src, tgt, w, round(change, 6) + 0 AS change FROM (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY change DESC, net_id) AS r FROM c) WHERE r = 1""")
 def edges_at_max_change(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(network.edges_at_max_change(_nets(spark, folder).withColumnRenamed("net_id", "frame")), "change")
 
@@ -124,17 +124,17 @@ def new_edges_by_frame(spark: SparkSession, folder: str) -> DataFrame:
     return network.new_edges_by_frame(_nets(spark, folder).withColumnRenamed("net_id", "frame"))
 
 
-@query("SELECT src, tgt, round(w, 6) AS w, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY abs(w) DESC, tgt) AS r FROM nw WHERE src <> tgt AND w <> 0) WHERE r <= 8")
+@query("SELECT src, tgt, round(w, 6) + 0 AS w, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY abs(w) DESC, tgt) AS r FROM nw WHERE src <> tgt AND w <> 0) WHERE r <= 8")
 def top_targets(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(network.top_targets(_mean_net(spark, folder)), "w")
 
 
-@query(", s AS (SELECT src, round(sum(abs(w)), 9) AS strength FROM nw GROUP BY src) SELECT src, round(strength, 6) AS strength, row_number() OVER (ORDER BY strength DESC, src) AS rank FROM s")
+@query(", s AS (SELECT src, round(sum(abs(w)), 9) + 0 AS strength FROM nw GROUP BY src) SELECT src, round(strength, 6) + 0 AS strength, row_number() OVER (ORDER BY strength DESC, src) AS rank FROM s")
 def regulator_rank(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(network.regulator_rank(_mean_net(spark, folder)), "strength")
 
 
-@query("SELECT src, tgt, round(w, 6) AS w FROM nw WHERE src <> tgt AND abs(w) >= (SELECT quantile_cont(abs(w), 0.9) FROM nw WHERE w <> 0)")
+@query("SELECT src, tgt, round(w, 6) + 0 AS w FROM nw WHERE src <> tgt AND abs(w) >= (SELECT quantile_cont(abs(w), 0.9) FROM nw WHERE w <> 0)")
 def top_fraction_edges(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(network.top_fraction_edges(_mean_net(spark, folder)), "w")
 
@@ -148,23 +148,23 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SCORED = """, tr AS (SELECT DISTINCT s.gene_id AS src, t.gene_id AS tgt, 1 AS truth FROM e JOIN genes s ON s.gene_name = e.src JOIN genes t ON t.gene_name = e.tgt),
-sc AS (SELECT src, tgt, round(w, 9) AS score, coalesce(truth, 0) AS truth FROM nw LEFT JOIN tr USING (src, tgt) WHERE src <> tgt AND tgt >= 1) """
+sc AS (SELECT src, tgt, round(w, 9) + 0 AS score, coalesce(truth, 0) AS truth FROM nw LEFT JOIN tr USING (src, tgt) WHERE src <> tgt AND tgt >= 1) """
 _CURVE = """, pt AS (SELECT abs(score) AS s, sum(truth) AS p, count(*) AS n FROM {t} GROUP BY 1), cm AS (SELECT s, sum(p) OVER w AS tp, sum(n) OVER w - sum(p) OVER w AS fp, sum(p) OVER () AS ap, sum(n) OVER () - sum(p) OVER () AS an FROM pt WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
 cv AS (SELECT s, fp / nullif(an, 0) AS fpr, tp / nullif(ap, 0) AS tpr, tp / (tp + fp) AS pre FROM cm) """
-_AUPR = "SELECT round(sum((tpr - x0) * (pre + y0) / 2), 6) AS aupr FROM (SELECT *, coalesce(lag(tpr) OVER (ORDER BY s DESC), 0) AS x0, coalesce(lag(pre) OVER (ORDER BY s DESC), 1) AS y0 FROM cv)"
+_AUPR = "SELECT round(sum((tpr - x0) * (pre + y0) / 2), 6) + 0 AS aupr FROM (SELECT *, coalesce(lag(tpr) OVER (ORDER BY s DESC), 0) AS x0, coalesce(lag(pre) OVER (ORDER BY s DESC), 1) AS y0 FROM cv)"
 
 
-@query(_SCORED + _CURVE.format(t="sc") + "SELECT s, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM cv")
+@query(_SCORED + _CURVE.format(t="sc") + "SELECT s, round(fpr, 6) + 0 AS fpr, round(tpr, 6) + 0 AS tpr FROM cv")
 def roc(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.roc(_scored(spark, folder), "score", "truth"), "fpr", "tpr")
 
 
-@query(_SCORED + _CURVE.format(t="sc") + "SELECT round(sum((fpr - x0) * (tpr + y0) / 2), 6) AS auroc FROM (SELECT *, coalesce(lag(fpr) OVER (ORDER BY s DESC), 0) AS x0, coalesce(lag(tpr) OVER (ORDER BY s DESC), 0) AS y0 FROM cv)")
+@query(_SCORED + _CURVE.format(t="sc") + "SELECT round(sum((fpr - x0) * (tpr + y0) / 2), 6) + 0 AS auroc FROM (SELECT *, coalesce(lag(fpr) OVER (ORDER BY s DESC), 0) AS x0, coalesce(lag(tpr) OVER (ORDER BY s DESC), 0) AS y0 FROM cv)")
 def auroc(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.auroc(_scored(spark, folder), "score", "truth"), "auroc")
 
 
-@query(_SCORED + _CURVE.format(t="sc") + "SELECT s, round(tpr, 6) AS recall, round(pre, 6) AS precision FROM cv")
+@query(_SCORED + _CURVE.format(t="sc") + "SELECT s, round(tpr, 6) + 0 AS recall, round(pre, 6) + 0 AS precision FROM cv")
 def pr(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.pr(_scored(spark, folder), "score", "truth"), "recall", "precision")
 
@@ -179,19 +179,19 @@ def aupr_undirected(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.aupr(evaluate.undirected(_scored(spark, folder)), "score", "truth"), "aupr")
 
 
-@query(_SCORED + "SELECT round(avg(truth), 6) AS share FROM sc")
+@query(_SCORED + "SELECT round(avg(truth), 6) + 0 AS share FROM sc")
 def random_baseline(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.random_baseline(_scored(spark, folder), "truth"), "share")
 
 
-@query(_SCORED + "SELECT src, tgt, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, src, tgt) AS rank FROM sc")
+@query(_SCORED + "SELECT src, tgt, round(score, 6) + 0 AS score, row_number() OVER (ORDER BY score DESC, src, tgt) AS rank FROM sc")
 def link_list(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.link_list(_scored(spark, folder)).select("src", "tgt", "score", "rank"), "score")
 
 
 @query(""", cu AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY tgt) - 1 AS INT) AS step, w FROM nw), k AS (SELECT DISTINCT src, CAST(unnest(range(0, 20)) AS INT) AS step FROM cu),
 f AS (SELECT k.src, k.step, last_value(w IGNORE NULLS) OVER (PARTITION BY k.src ORDER BY k.step ROWS UNBOUNDED PRECEDING) AS v FROM k LEFT JOIN cu USING (src, step))
-SELECT step, round(avg(v), 6) AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) AS se FROM f WHERE v IS NOT NULL GROUP BY step""")
+SELECT step, round(avg(v), 6) + 0 AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) + 0 AS se FROM f WHERE v IS NOT NULL GROUP BY step""")
 def pad_last(spark: SparkSession, folder: str) -> DataFrame:
     step = (F.row_number().over(Window.partitionBy("src").orderBy("tgt")) - 1).alias("step")
     curves = _mean_net(spark, folder).select("src", step, "w")
