@@ -240,6 +240,75 @@ def fit_gene(time: np.ndarray, x: np.ndarray, n: np.ndarray, n_modes: int = 2, f
     return k[order], c, {t: w[order] for t, w in weights.items()}
 
 
+def soft_em(x: np.ndarray, n: np.ndarray, k: np.ndarray, c: float, w: np.ndarray, rounds: int = 100, tolerance: float = 1e-5) -> tuple[np.ndarray, float, np.ndarray, list[float]]:
+    """Shapes, rate, weights and the log likelihood of each round of expectation maximisation; the likelihood never falls.
+
+    A maximisation step moves all shapes by damped Newton and sets the rate in
+    closed form; it is halved towards the old parameters while it would lose
+    likelihood.
+    """
+    n, path = n.astype(float), []
+    value = lambda k, c, w: float((n * np.log(np.maximum(np.exp(logpmf(x, k, c)) @ w, 1e-300))).sum())
+    j, total = np.arange(int(x.max()) if len(x) else 0), float((n * x).sum())
+    now = value(k, c, w)
+    for _ in range(rounds):
+        r = _shares(x, k, c, w) * n[:, None]
+        w2, size = r.sum(axis=0) / n.sum(), r.sum(axis=0)
+        k2 = k.copy()
+        for m in range(len(k)):
+            inv = 1 / (k[m] + j)
+            g = (r[:, m] * np.append(0, np.cumsum(inv))[x]).sum() + size[m] * (np.log(c) - np.log1p(c))
+            h = -(r[:, m] * np.append(0, np.cumsum(inv * inv))[x]).sum()
+            k2[m] = np.clip(k[m] - 0.7 * g / h if h < 0 else k[m], max(k[m] / 3, 1e-4), min(k[m] * 3, 1e5))
+        c2 = (size * k2).sum() / total if total > 0 else c
+        new = value(k2, c2, w2)
+        for _ in range(20):
+            if new >= now:
+                break
+            k2, c2, w2 = (k + k2) / 2, (c + c2) / 2, (w + w2) / 2
+            new = value(k2, c2, w2)
+        if new < now:
+            break
+        path.append(new)
+        k, c, w, gain, now = k2, c2, w2, new - now, new
+        if gain < tolerance:
+            break
+    return k, c, w, path
+
+
+def merged_modes(k: np.ndarray, c: float, w: np.ndarray, nearest: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shapes and weights in order, neighbours nearer than ``nearest`` * c made one by their weighted mean."""
+    order = np.argsort(k)
+    out: list[list[float]] = []
+    for a, b in zip(k[order], w[order]):
+        if out and a - out[-1][0] < nearest * c:
+            p, q = out[-1]
+            out[-1] = [(p * q + a * b) / (q + b), q + b]
+        else:
+            out.append([a, b])
+    return np.array([o[0] for o in out]), np.array([o[1] for o in out])
+
+
+def fit_soft(hist: DataFrame, n_modes: int = 2, nearest: float = 5.0) -> DataFrame:
+    """``gene_id, mode, k, c, w, loglik``: one mixture per gene over all times by expectation maximisation, near modes merged and fitted again."""
+
+    def fit(b: pd.DataFrame) -> pd.DataFrame:
+        one = b.groupby("x", as_index=False)["n"].sum()
+        x, n = one["x"].to_numpy(np.int64), one["n"].to_numpy()
+        k, c, by_time = fit_gene(np.zeros(len(x)), x, n, n_modes)
+        w = by_time[0.0]
+        while True:
+            k, c, w, path = soft_em(x, n, k, c, np.maximum(w, 1e-6) / np.maximum(w, 1e-6).sum())
+            k2, w2 = merged_modes(k, c, w, nearest)
+            if len(k2) == len(k):
+                break
+            k, w = k2, w2
+        order = np.argsort(k)
+        return pd.DataFrame({"gene_id": b["gene_id"].iloc[0], "mode": range(len(k)), "k": k[order], "c": c, "w": w[order], "loglik": path[-1] if path else float("nan")})
+
+    return hist.select("gene_id", "x", "n").groupBy("gene_id").applyInPandas(fit, "gene_id int, mode int, k double, c double, w double, loglik double")
+
+
 def fit_mixtures(hist: DataFrame, n_modes: int = 2, forcing: float = 0.5) -> DataFrame:
     """``gene_id, time_h, mode, k, c, w``: shapes, rate and weights of each gene from its histogram by time.
 

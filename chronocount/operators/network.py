@@ -191,3 +191,16 @@ def regress(states: DataFrame, targets: DataFrame, mask: DataFrame, key: str, st
         return pd.DataFrame({"src": [*range(len(w) - 1), -1], "tgt": int(b["tgt"].iloc[0]), "w": w})
 
     return rows.groupBy("tgt").applyInPandas(fit, "src int, tgt int, w double")
+
+
+def filtered_over_time(frames: DataFrame, least: float = 0.05, change: float = 0.01) -> DataFrame:
+    """``frame, src, tgt, w``: each edge from the frame of its strongest change on, if it is strong and varies enough.
+
+    ``frames`` has frame, src, tgt, w. An edge whose largest |w| is below
+    ``least``, or whose |w| varies by less than ``change`` over the frames
+    (absent before its first), is dropped.
+    """
+    start = edges_at_max_change(frames).select("src", "tgt", F.col("frame").alias("start"))
+    keep = frames.groupBy("src", "tgt").agg(F.max(F.abs("w")).alias("m"), F.min(F.abs("w")).alias("l"), F.count(F.lit(1)).alias("n"))
+    keep = keep.filter((F.col("m") >= least) & (F.when(F.col("n") > 1, F.col("m") - F.col("l")).otherwise(F.col("m")) >= change))
+    return frames.join(start, ["src", "tgt"]).filter("frame >= start").join(keep.select("src", "tgt"), ["src", "tgt"], "left_semi").select("frame", "src", "tgt", "w")

@@ -24,28 +24,53 @@ def first_per_group(cells: DataFrame, groups: list[str], n: int | Column, order:
     return cells.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
 
 
+def group_rank(rows: DataFrame, groups: list[str], key: str, seed: int = 0) -> DataFrame:
+    """``rows`` with ``rank`` and ``group_size``: the place of each row in its group by a seeded hash of ``key``.
+
+    A hot group is ranked in 64 parts of the hash's range: the parts are sorted
+    by tasks of their own, and their sizes say where each one's ranks begin.
+    """
+    rows = rows.withColumn("_h", seeded(key, seed=seed)).withColumn("_part", F.shiftright("_h", 58)).withColumn("_g", F.to_json(F.struct(F.lit(0), *groups)))
+    sizes = rows.groupBy("_g", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy("_g")
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_g", "_part", before.alias("_start"), F.sum("_n").over(group).alias("group_size"))
+    rank = F.row_number().over(Window.partitionBy("_g", "_part").orderBy("_h", key))
+    return rows.withColumn("rank", rank).join(starts, ["_g", "_part"]).withColumn("rank", F.col("rank") + F.col("_start")).drop("_h", "_part", "_g", "_start")
+
+
+def _ranked(rows: DataFrame, groups: list[str], key: str, order: list | None) -> DataFrame:
+    if order is None:
+        return group_rank(rows, groups, key)
+    w = Window.partitionBy(*groups)
+    return rows.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("group_size", F.count(F.lit(1)).over(w))
+
+
 def subsample_per_group(cells: DataFrame, per_run: int = 10_000, order: list | None = None) -> DataFrame:
     """At most ``per_run`` / number of times cells per (time, sample), by seeded hash unless an order is given."""
     n_times = cells.agg(F.greatest(F.count_distinct("time_h"), F.lit(1)).alias("n_times"))
-    ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy("time_h", "sample_id").orderBy(*(order or [seeded("cell_id"), "cell_id"]))))
-    return ranked.join(F.broadcast(n_times)).filter(F.col("rank") <= F.floor(F.lit(per_run) / F.col("n_times"))).drop("rank", "n_times")
+    ranked = _ranked(cells, ["time_h", "sample_id"], "cell_id", order).join(F.broadcast(n_times))
+    return ranked.filter(F.col("rank") <= F.floor(F.lit(per_run) / F.col("n_times"))).drop("rank", "group_size", "n_times")
 
 
 def split_train_test(cells: DataFrame, rate: float = 0.6, order: list | None = None) -> DataFrame:
     """``cells`` with ``part``: of n cells of a (time, sample) the first floor(n * rate) are 'train', the others 'test'."""
-    group = Window.partitionBy("time_h", "sample_id")
-    rank = F.row_number().over(group.orderBy(*(order or [seeded("cell_id"), "cell_id"])))
-    limit = F.floor(F.count(F.lit(1)).over(group) * F.lit(rate))
-    return cells.withColumn("part", F.when(rank <= limit, F.lit("train")).otherwise(F.lit("test")))
+    ranked = _ranked(cells, ["time_h", "sample_id"], "cell_id", order)
+    part = F.when(F.col("rank") <= F.floor(F.col("group_size") * F.lit(rate)), F.lit("train")).otherwise(F.lit("test"))
+    return ranked.withColumn("part", part).drop("rank", "group_size")
 
 
-def repeat_min_choice(keys: DataFrame, n_wanted: int, order: list | None = None) -> DataFrame:
+def repeat_min_choice(keys: DataFrame, n_wanted: int, key: str, order: list | None = None) -> DataFrame:
     """``keys`` with ``times``: how often each is chosen when ``n_wanted`` are: all equally often, the rest once more, first in order."""
-    rank = F.row_number().over(Window.orderBy(*(order or [seeded(*keys.columns), *keys.columns])))
-    n = keys.agg(F.count(F.lit(1)).alias("n"))
-    ranked = keys.withColumn("rank", rank).join(F.broadcast(n))
-    times = F.floor(F.lit(n_wanted) / F.col("n")) + (F.col("rank") <= F.lit(n_wanted) % F.col("n")).cast("bigint")
-    return ranked.withColumn("times", times.cast("bigint")).drop("rank", "n")
+    ranked = _ranked(keys, [], key, order)
+    times = F.floor(F.lit(n_wanted) / F.col("group_size")) + (F.col("rank") <= F.lit(n_wanted) % F.col("group_size")).cast("bigint")
+    return ranked.withColumn("times", times.cast("bigint")).drop("rank", "group_size")
+
+
+def select_cells_for_rates(cells: DataFrame, most: int = 200, order: list | None = None) -> DataFrame:
+    """``cell_id, sample_id`` of at most ``most`` cells of each sample at time 0."""
+    ranked = _ranked(cells.filter("time_h = 0"), ["sample_id"], "cell_id", order)
+    return ranked.filter(F.col("rank") <= most).select("cell_id", "sample_id")
 
 
 def batch_size_plan(cells: DataFrame, quantile: float = 0.8, largest: int = 1024) -> DataFrame:

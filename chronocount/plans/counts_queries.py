@@ -111,7 +111,7 @@ def split_train_test(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT cell_id, (10000 // n + CASE WHEN r <= 10000 % n THEN 1 ELSE 0 END) AS times FROM (SELECT cell_id, row_number() OVER (ORDER BY cell_id) AS r, count(*) OVER () AS n FROM cell WHERE time_h = 0)")
 def repeat_min_choice(spark: SparkSession, folder: str) -> DataFrame:
-    return selection.repeat_min_choice(base.cells(spark, folder).filter("time_h = 0").select("cell_id"), 10_000, ["cell_id"])
+    return selection.repeat_min_choice(base.cells(spark, folder).filter("time_h = 0").select("cell_id"), 10_000, "cell_id", ["cell_id"])
 
 
 @query("SELECT sample_id, CAST(floor(quantile_cont(n, 0.8)) AS BIGINT) AS n_traj, least(CAST(floor(quantile_cont(n, 0.8)) AS BIGINT), 1024) AS batch_size FROM (SELECT sample_id, time_h, count(*) AS n FROM cell WHERE time_h IS NOT NULL GROUP BY ALL) GROUP BY sample_id")
@@ -170,3 +170,21 @@ def panel_bins(spark: SparkSession, folder: str) -> DataFrame:
 def project_genes(spark: SparkSession, folder: str) -> DataFrame:
     listed = read(spark, folder, "gene_list").select(F.col("gene").alias("gene_name")).distinct()
     return base.genes(spark, folder).select("gene_id", "gene_name").join(listed, "gene_name", "left_semi").orderBy("gene_name")
+
+
+@query("SELECT cell_id, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY cell_id) AS r FROM cell WHERE time_h = 0) WHERE r <= 200")
+def select_cells_for_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.select_cells_for_rates(base.cells(spark, folder), 200, ["cell_id"])
+
+
+@query("SELECT dataset, count(*) AS n_cells FROM cell WHERE time_h = 24 AND cell_type IN ('stemearly', 'stemlate') GROUP BY dataset")
+def isin_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of two types at one time, by dataset."""
+    c = base.cells(spark, folder).filter((F.col("time_h") == 24) & F.col("cell_type").isin("stemearly", "stemlate"))
+    return c.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@query()
+def seeded_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The split by seeded hash, with hot groups ranked in parts."""
+    return selection.split_train_test(base.cells(spark, folder)).select("cell_id", "part")

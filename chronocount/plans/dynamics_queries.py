@@ -229,3 +229,43 @@ def join_prefix_fallback(spark: SparkSession, folder: str) -> DataFrame:
     known = base.genes(spark, folder).filter("d1 is not null and gene_name is not null").select(F.col("gene_name").alias("known"), F.col("d1").alias("v"))
     names = read(spark, folder, "gene_list").filter(F.trim("gene") != "").select(F.col("gene").alias("name")).distinct()
     return rounded(trajectory.prefix_fallback(names, known, "v"), "value")
+
+
+@query()
+def alternate_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Three rounds of coupling and regression: each round couples on the modes that the last network predicts, mixed with the measured ones.
+
+    Result: the edges of the last round with its error (mean cross entropy).
+    """
+    v = cut(_vectors(spark, folder).filter("sample_id is not null"))
+    times = [r[0] for r in v.select("time_h").distinct().orderBy("time_h").collect()]
+    pairs = spark.createDataFrame(list(zip(times, times[1:])), "time_h double, next_time double")
+    mask = spark.range(1, PANEL + 1).select(F.col("id").cast("int").alias("tgt"), F.transform(F.sequence(F.lit(0), F.lit(PANEL)), lambda g: F.when(g == 0, 0.2).when(g == F.col("id"), 0.0).otherwise(1.0)).alias("m"))
+    state, edges, error = v, None, None
+    for turn in range(1, 4):
+        successor = cut(trajectory.couple(state, pairs, rounds_done=turn, seed=turn))
+        # The state of a cell explains the mode of its successor.
+        y = successor.select(F.col("src").alias("cell_id"), "dst").join(v.select(F.col("cell_id").alias("dst"), "kon"), "dst").select("cell_id", F.posexplode("kon").alias("tgt", "y")).filter("tgt > 0")
+        edges = cut(network.regress(v.select("cell_id", "prot"), y, mask, "cell_id", rounds=60))
+        w = np.zeros((PANEL + 2, PANEL + 1))
+        for r in edges.collect():  # panel squared
+            w[r["src"], r["tgt"]] = r["w"]
+        predicted = _predicted(v, w)
+        loss = network.cross_entropy(F.col("z.p"), F.col("z.k"))
+        error = predicted.select(F.explode(F.arrays_zip(F.col("guess").alias("p"), F.col("kon").alias("k"))).alias("z")).agg(F.avg(loss).alias("e")).first()["e"]
+        state = cut(predicted.select("cell_id", "sample_id", "time_h", F.zip_with("kon", "guess", lambda a, b: (a / turn) + (1 - 1 / turn) * b).alias("kon"), "prot"))
+    return edges.withColumn("error", F.lit(error))
+
+
+def _predicted(v: DataFrame, w: np.ndarray) -> DataFrame:
+    """``v`` with ``guess``, the modes that edges (rows by source, the last the intercept) predict; the stimulus' own is kept."""
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                p = np.stack(b["prot"].to_numpy())
+                guess = 1 / (1 + np.exp(-np.clip(p @ w[:-1] + w[-1], -50, 50)))
+                guess[:, 0] = np.stack(b["kon"].to_numpy())[:, 0]
+                yield b.assign(guess=list(guess))
+
+    return v.select("cell_id", "sample_id", "time_h", "kon", "prot").mapInPandas(run, "cell_id bigint, sample_id string, time_h double, kon array<double>, prot array<double>, guess array<double>")

@@ -138,3 +138,20 @@ def sample_nb(spark: SparkSession, folder: str) -> DataFrame:
     counts, cells = base.counts(spark, folder), base.cells(spark, folder)
     fit = mixture.moment_fit(depth.gene_moments(counts, cells))
     return mixture.sample_nb(counts.join(fit, "gene_id"), ["cell_id", "gene_id"], F.col("k"), F.col("c"))
+
+
+@query(_P + """, wt AS (SELECT time_h, gene_id, mode, round(sum(p) / count(DISTINCT cell_id), 6) + 0 AS w FROM (SELECT cell.cell_id, time_h, g.gene_id, coalesce(x.x, 0) AS x FROM cell CROSS JOIN (SELECT DISTINCT gene_id FROM x) g LEFT JOIN x ON x.cell_id = cell.cell_id AND x.gene_id = g.gene_id WHERE time_h IS NOT NULL) d
+  JOIN pn USING (gene_id, x) GROUP BY ALL) SELECT gene_id, time_h, mode, w FROM wt""")
+def mixture_weights_per_cell(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean probability of each mode at each time, over all cells."""
+    hist, _, modes = _all(spark, folder)
+    p = mixture.responsibilities(hist, modes).select("gene_id", "x", "mode", "p")
+    by_time = compare.histogram(base.counts(spark, folder), base.cells(spark, folder), ["time_h"])
+    w = by_time.join(p, ["gene_id", "x"]).groupBy("gene_id", "time_h", "mode").agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("w"))
+    return rounded(w, "w")
+
+
+@query()
+def em_soft(spark: SparkSession, folder: str) -> DataFrame:
+    """One mixture per gene over all times, by expectation maximisation."""
+    return mixture.fit_soft(compare.histogram(base.counts(spark, folder), base.cells(spark, folder), ["time_h"]))

@@ -196,3 +196,17 @@ def pad_last(spark: SparkSession, folder: str) -> DataFrame:
     step = (F.row_number().over(Window.partitionBy("src").orderBy("tgt")) - 1).alias("step")
     curves = _mean_net(spark, folder).select("src", step, "w")
     return rounded(evaluate.padded_curves(curves, "src", "step", "w", 20), "mean", "se")
+
+
+@query(""", c AS (SELECT *, round(abs(w - coalesce(lag(w) OVER (PARTITION BY src, tgt ORDER BY net_id), 0)), 9) AS change FROM n),
+s AS (SELECT src, tgt, net_id AS start FROM (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY change DESC, net_id) AS r FROM c) WHERE r = 1),
+k AS (SELECT src, tgt FROM n GROUP BY ALL HAVING max(abs(w)) >= 0.05 AND CASE WHEN count(*) > 1 THEN max(abs(w)) - min(abs(w)) ELSE max(abs(w)) END >= 0.01)
+SELECT net_id AS frame, src, tgt, w FROM n JOIN s USING (src, tgt) JOIN k USING (src, tgt) WHERE net_id >= start""")
+def filter_network_time(spark: SparkSession, folder: str) -> DataFrame:
+    return network.filtered_over_time(_nets(spark, folder).withColumnRenamed("net_id", "frame"))
+
+
+@query("SELECT src, tgt, round(CASE WHEN abs(w) < 0.001 THEN w * w / 0.002 + 0.0005 ELSE abs(w) END, 6) + 0 AS penalty FROM nw")
+def penalty(spark: SparkSession, folder: str) -> DataFrame:
+    """Smoothed absolute weight of every edge."""
+    return _mean_net(spark, folder).select("src", "tgt", (F.round(network.smoothed_l1(F.col("w")), 6) + 0.0).alias("penalty"))
