@@ -100,7 +100,7 @@ def mixture_curve(modes: DataFrame, top: DataFrame) -> DataFrame:
 def lgamma(z: np.ndarray) -> np.ndarray:
     w = z + 8
     shift = np.prod([z + i for i in range(8)], axis=0)
-    return (w - 0.5) * np.log(w) - w + 0.9189385332046727 + 1 / (12 * w) - 1 / (360 * w**3) + 1 / (1260 * w**5) - 1 / (1680 * w**7) - np.log(shift)
+    return (w - 0.5) * np.log(w) - w + 0.9189385332046727 + 1 / (12 * w) - 1 / (360 * w**3) + 1 / (1260 * w**5) - 1 / (1680 * w**7) + 1 / (1188 * w**9) - 691 / (360360 * w**11) - np.log(shift)
 
 
 def logpmf(x: np.ndarray, k: np.ndarray, c: float) -> np.ndarray:
@@ -115,6 +115,13 @@ def _shares(x: np.ndarray, k: np.ndarray, c: float, w: np.ndarray) -> np.ndarray
     return p / p.sum(axis=1, keepdims=True)
 
 
+def _weighted(e: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Shares of the modes from relative probabilities and weights."""
+    p = e * np.maximum(w, 1e-300)
+    p = np.maximum(p / p.sum(axis=1, keepdims=True), 1e-12)
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def mean_constrained(w0: np.ndarray, means: np.ndarray, mean: float, alpha: float) -> np.ndarray:
     """Weights that trade the mean of the data (``alpha`` = 0) against ``w0`` (1); closed form for two modes, projected steps beyond."""
     m = max(mean, 1e-12)
@@ -179,13 +186,6 @@ def _newton_shapes(x: np.ndarray, n: np.ndarray, mode: np.ndarray, k: np.ndarray
     return np.maximum(k, max(c / 2, k.max() / 100)), c
 
 
-def _ks(x: np.ndarray, n: np.ndarray, k: np.ndarray, c: float, w: np.ndarray) -> float:
-    grid = np.arange(int(x.max()) + 1)
-    model = np.cumsum(np.exp(logpmf(grid, k, c)) @ w)
-    data = np.cumsum(np.bincount(x, weights=n, minlength=len(grid))) / n.sum()
-    return float(np.abs(model - data).max())
-
-
 def fit_gene(time: np.ndarray, x: np.ndarray, n: np.ndarray, n_modes: int = 2, forcing: float = 0.5, rounds: int = 50) -> tuple[np.ndarray, float, dict[float, np.ndarray]]:
     """Shapes (ascending), rate and weights by time of one gene by hard assignment: responsibilities, weights, transport, Newton."""
     n = n.astype(float)
@@ -202,20 +202,24 @@ def fit_gene(time: np.ndarray, x: np.ndarray, n: np.ndarray, n_modes: int = 2, f
     while len({int(v / c) for v in k}) < n_modes and share > 1 / n.sum():
         k = np.linspace(min(low, SMALLEST + quantile(share) * c), max(high, SMALLEST + quantile(1 - share) * c), n_modes)
         share /= 2
-    times = np.unique(time)
+    times, grid = np.unique(time), np.arange(int(x.max()) + 1)
+    values, at = np.unique(x, return_inverse=True)
     by = [time == t for t in times]
     means = np.array([(n[b] * x[b]).sum() / n[b].sum() for b in by])
     weights, best = {t: np.full(n_modes, 1 / n_modes) for t in times}, (-np.inf, None)
     for step in range(rounds):
         mode, gain, new_weights = np.zeros(len(x), int), 0.0, {}
+        # Probabilities of all counts under all modes, once a round.
+        each = logpmf(values, k, c)
+        cdf, each = np.cumsum(np.exp(logpmf(grid, k, c)), axis=0), np.exp(each - each.max(axis=1, keepdims=True))
         for t, b, m in zip(times, by, means):
-            p = _shares(x[b], k, c, weights[t])
-            likely = (n[b][:, None] * p).sum(axis=0) / n[b].sum()
-            star = likely
+            e, size_t = each[at[b]], n[b].sum()
+            p = _weighted(e, weights[t])
+            likely = star = n[b] @ p / size_t
             for _ in range(20):
-                q = _shares(x[b], k, c, star)
-                star = (n[b][:, None] * q).sum(axis=0) / n[b].sum()
-            alpha = 1.0 if forcing == 0 else min(_ks(x[b], n[b], k, c, star) / forcing, 1.0)
+                star = n[b] @ _weighted(e, star) / size_t
+            data = np.cumsum(np.bincount(x[b], weights=n[b], minlength=len(grid))) / size_t
+            alpha = 1.0 if forcing == 0 else min(float(np.abs(cdf @ star - data).max()) / forcing, 1.0)
             target = np.maximum(mean_constrained(likely, k / c, m, alpha), 1e-12)
             target /= target.sum()
             new_weights[t] = target

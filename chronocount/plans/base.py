@@ -17,8 +17,9 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
 
 def counts(spark: SparkSession, folder: str) -> DataFrame:
     """``cell_id, gene_id, x``: valid counts of the cells of ``cells``, each (cell, gene) once."""
-    valid = read(spark, folder, "counts").filter((F.col("x") >= 0) & (F.col("x") < ABSURD))
-    one = valid.groupBy("cell_id", "gene_id").agg(F.max("x").alias("x"))
+    valid = read(spark, folder, "counts").select("cell_id", "gene_id", "x").filter((F.col("x") >= 0) & (F.col("x") < ABSURD) & F.col("cell_id").isNotNull())
+    # One shuffle by cell serves the grouping by (cell, gene) and every later join on cells.
+    one = valid.repartition("cell_id").groupBy("cell_id", "gene_id").agg(F.max("x").alias("x"))
     return one.join(read(spark, folder, "cells").select("cell_id").distinct(), "cell_id", "left_semi")
 
 
