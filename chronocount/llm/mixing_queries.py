@@ -32,4 +32,10 @@ def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_shares": p7_shares, "p7_documents": p7_documents}
-SQL: dict[str, str] = {}
+# Any usual measure of size gives the same sources; SQL has characters.
+SQL = {
+    "p7_found": """
+WITH t AS (SELECT source, max(target_share) AS share, max(max_repeats) AS cap FROM mix_targets WHERE source IS NOT NULL GROUP BY source),
+o AS (SELECT source, sum(length(text)) AS own FROM documents GROUP BY source)
+SELECT source FROM t LEFT JOIN o USING (source) WHERE cap * coalesce(own, 0) < share * (SELECT sum(own) FROM o JOIN t USING (source))"""
+}

@@ -31,4 +31,8 @@ def p3_nearest_umap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_nearest_pca": p3_nearest_pca, "p3_nearest_umap": p3_nearest_umap}
-SQL: dict[str, str] = {}
+SQL = {
+    "p3_found": """
+WITH v AS (SELECT DISTINCT cell_id, CAST(x_pca_sig AS DOUBLE[]) AS v FROM cells WHERE len(x_pca_sig) = 24 AND len(list_filter(x_pca_sig, lambda x: isfinite(x))) = 24)
+SELECT DISTINCT a.cell_id AS cell_a, b.cell_id AS cell_b FROM v a JOIN v b ON a.cell_id < b.cell_id AND list_distance(a.v, b.v) <= 0.5"""
+}
