@@ -70,11 +70,11 @@ def gene_and_x(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code >> _BITS, (code & ((1 << _BITS) - 1)) - 1
 
 
-def counts_long(packed: DataFrame) -> DataFrame:
-    """``cell_id, gene_id, x`` of packed rows; ``x`` is null where the gene was not measured."""
+def counts_long(packed: DataFrame, *keep: str) -> DataFrame:
+    """``cell_id, keep, gene_id, x`` of packed rows; ``x`` is null where the gene was not measured."""
     code = F.explode("codes").alias("code")
     x = F.col("code").bitwiseAND(F.lit((1 << _BITS) - 1)) - 1
-    return packed.select("cell_id", code).select("cell_id", F.shiftright("code", _BITS).cast("int").alias("gene_id"), F.when(x >= 0, x).alias("x"))
+    return packed.select("cell_id", *keep, code).select("cell_id", *keep, F.shiftright("code", _BITS).cast("int").alias("gene_id"), F.when(x >= 0, x).alias("x"))
 
 
 #: Words for an unknown label, in letters and digits only.
