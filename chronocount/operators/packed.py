@@ -7,6 +7,8 @@ string and array work, so a field never leaves the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,16 @@ def split_packed(field: Column | str, delimiters: str = NAME_DELIMITERS) -> Colu
     """
     raw = F.coalesce(F.col(field) if isinstance(field, str) else field, F.lit(""))
     text = _inside(F.replace(raw, F.lit(_MARK), F.lit(_HELD)))
-    spans = F.regexp_extract_all(text, F.lit(_SPAN), F.lit(1))
+    spans = lambda t: F.struct(t.alias("text"), F.regexp_extract_all(t, F.lit(_SPAN), F.lit(1)).alias("spans"))
+    return _let(text, lambda t: _let(spans(t), lambda v: _values(v["text"], v["spans"], delimiters)))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once, also where ``body`` uses it for each of many elements."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _values(text: Column, spans: Column, delimiters: str) -> Column:
     held = F.array_join(
         F.transform(
             F.split(F.regexp_replace(text, _SPAN, _MARK + "1"), _MARK + "1", -1),

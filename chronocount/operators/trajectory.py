@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronocount.operators.selection import group_rank
+
 #: Cells of one side of a coupling that one task holds; larger groups are cut into batches by seeded hash.
 BATCH = 1024
 
@@ -121,8 +123,7 @@ def couple(states: DataFrame, pairs: DataFrame, rounds_done: int = 1, soft: floa
     sizes = pairs.join(n, "time_h").join(n.select("sample_id", F.col("time_h").alias("next_time"), F.col("n").alias("m")), ["sample_id", "next_time"])
     # As many batches as the larger side needs, but no more than the smaller has cells.
     sizes = sizes.select("sample_id", "time_h", "next_time", F.least(F.greatest(F.ceil(F.col("n") / BATCH), F.ceil(F.col("m") / BATCH)), "n", "m").alias("parts"))
-    place = lambda time: F.row_number().over(Window.partitionBy("sample_id", time).orderBy(F.xxhash64(F.lit(seed), "cell_id"), "cell_id"))
-    placed = states.withColumn("place", place("time_h"))
+    placed = group_rank(states, ["sample_id", "time_h"], "cell_id", seed).withColumnRenamed("rank", "place")
     src = placed.join(sizes, ["sample_id", "time_h"]).select("sample_id", "time_h", F.pmod("place", "parts").alias("part"), F.lit(0).alias("side"), "cell_id", "kon", "prot")
     dst = placed.withColumnRenamed("time_h", "next_time").join(sizes, ["sample_id", "next_time"]).select("sample_id", "time_h", F.pmod("place", "parts").alias("part"), F.lit(1).alias("side"), "cell_id", "kon", "prot")
 

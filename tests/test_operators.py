@@ -122,6 +122,8 @@ def test_simulation_and_perturbation(spark):
     assert end[2, 0]["prot"][1] > 0.99 and end[2, 0]["prot"][2] > 0.8 and end[2, 0]["prot"][3] < 0.3
     jumps = np.array([r["prot"] for r in dynamics.simulate(states, _net(), [0.0, 40.0], jumps=True).filter("time_h = 40").collect()])
     assert (jumps >= 0).all() and 0.4 < jumps[:, 1].mean() < 1.6
+    again = [sorted((r["cell_id"], r["time_h"], tuple(r["prot"])) for r in dynamics.simulate(states.repartition(n), _net(), [0.0, 5.0], jumps=True).collect()) for n in (1, 6)]
+    assert again[0] == again[1]
 
 
 def test_ode_without_edges_is_exact():
