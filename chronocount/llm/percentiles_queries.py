@@ -24,11 +24,9 @@ def count_summary(spark: SparkSession, folder: str, part: str) -> DataFrame:
         "cell_id", (F.col("dataset") if part == "dataset" else F.to_date("load_ts").cast("string")).alias("part"),
         "time_h", F.coalesce(plain_label("cell_type"), F.lit("unknown")).alias("cell_type"),
     )
-    long = counts_long(pack_by_cell(read(spark, folder, "counts")))
-    seen = cut(
-        long.join(group, "cell_id").groupBy("part", "gene_id", "time_h", "cell_type", F.col("x").cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    # Cells are joined while a cell is one row.
+    long = counts_long(pack_by_cell(read(spark, folder, "counts")).join(group, "cell_id"), "part", "time_h", "cell_type")
+    seen = cut(long.groupBy("part", "gene_id", "time_h", "cell_type", F.col("x").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
     # Zeros that have no row: all cells of a group less those with a row of the gene.
     n_cells = group.groupBy("part", "time_h", "cell_type").agg(F.count(F.lit(1)).alias("n_cells"))
     panel = seen.agg(F.collect_set("gene_id").alias("panel"))  # one row
