@@ -151,10 +151,9 @@ def propagate_trajectories(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def infer_network(spark: SparkSession, folder: str) -> DataFrame:
     """Edges into each gene of the panel: penalised regression of its mode on the states of all genes."""
-    v = cut(_vectors(spark, folder))
-    y = v.select("cell_id", F.posexplode("kon").alias("tgt", "y")).filter("tgt > 0")
+    v = _vectors(spark, folder).select("prot", F.sequence(F.lit(1), F.lit(PANEL)).alias("tgt"), F.slice("kon", 2, PANEL).alias("y"))
     mask = spark.range(1, PANEL + 1).select(F.col("id").cast("int").alias("tgt"), F.transform(F.sequence(F.lit(0), F.lit(PANEL)), lambda g: F.when(g == 0, 0.2).when(g == F.col("id"), 0.0).otherwise(1.0)).alias("m"))
-    return network.regress(v.select("cell_id", "prot"), y, mask, "cell_id")
+    return network.regress_rows(v, mask)
 
 
 def _network(spark: SparkSession, folder: str) -> dynamics.Network:

@@ -150,6 +150,26 @@ def test_planted_network_is_found(spark):
     assert signs[1, 2] > 0 > signs[3, 4]
 
 
+def test_regression_is_the_optimum_over_all_tasks(spark):
+    rng = np.random.default_rng(7)
+    common = rng.random((600, 1))
+    prot = 0.97 * common + 0.03 * rng.random((600, 6))  # nearly equal states: gradient rounds stop far from the optimum
+    prob = 1 / (1 + np.exp(-60 * (prot[:, 1] - prot[:, 2]) - 4 * (prot[:, 0] - 0.5)))
+    y = (rng.random((600, 2)) < np.stack([prob, 1 - prob], axis=1)).astype(float)
+    states = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(prot)], "k int, prot array<double>")
+    ys = spark.createDataFrame([(i, t, float(y[i, t])) for i in range(600) for t in range(2)], "k int, tgt int, y double")
+    mask = spark.createDataFrame([(t, [0.5] + [1.0] * 5) for t in range(2)], "tgt int, m array<double>")
+    parts = [{(r["src"], r["tgt"]): r["w"] for r in network.regress(states.repartition(n), ys, mask, "k", 0.002).collect()} for n in (1, 5)]
+    assert parts[0] == pytest.approx(parts[1], abs=1e-6)
+    for t in range(2):
+        w = np.array([parts[0][i, t] for i in (*range(6), -1)])
+        m = np.array([0.5] + [1.0] * 5)
+        off = 1 / (1 + np.exp(-(prot @ w[:-1] + w[-1]))) - y[:, t]
+        slope = m * (prot.T @ off) / 600
+        assert abs(off.mean()) < 1e-5
+        assert np.allclose(slope[w[:-1] != 0], -0.002 * np.sign(w[:-1][w[:-1] != 0]), atol=1e-5) and (np.abs(slope) < 0.002 + 1e-5).all()
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "m.tsv").write_text("0\t0\t6\n0\t0\t1\n1\t5\t7\n\n")
     got = {tuple(r) for r in text.scan_text_matrix(spark, str(tmp_path / "m.tsv")).collect()}
