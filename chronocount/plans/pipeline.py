@@ -10,11 +10,13 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from chronocount.operators import compare, depth, mixture, selection
-from chronocount.plans import base, dynamics_queries
+from chronocount.operators import compare, depth, dynamics, mixture, network, selection, trajectory
+from chronocount.plans import base
+from chronocount.session import cut
 from chronocount.sources.text import sink_tables
 
 
@@ -57,25 +59,84 @@ def selection_step(spark: SparkSession, source: str, out: str) -> None:
     sink_tables({"selected": selection.select_de_genes(selection.temporal_variation(up, cells), selection.celltype_variation(up, cells))}, out)
 
 
+def _genes(spark: SparkSession, out: str) -> list[int]:
+    """The selected genes in order; position i + 1 of the states' arrays is the i-th of them, position 0 the stimulus."""
+    found = sorted(r[0] for r in spark.read.parquet(f"{out}/selected.parquet").filter("gene_id > 0").select("gene_id").distinct().collect())
+    if not found:
+        raise ValueError("no gene was selected")
+    return found
+
+
+def states_step(spark: SparkSession, source: str, out: str) -> None:
+    """states: arrays kon and prot of the train cells over the stimulus and the selected genes.
+
+    kon is the shape of the count's mode over the largest one of its gene and
+    time, prot the count shrunk to its mode and spread over the mode's step.
+    Both depend on (gene, time, count) alone; absent counts are zeros.
+    """
+    genes, read = _genes(spark, out), lambda t: spark.read.parquet(f"{out}/{t}.parquet")
+    listed = F.broadcast(spark.createDataFrame([(g, i + 1) for i, g in enumerate(genes)], "gene_id int, at int"))
+    means = read("mixture").select("gene_id", "time_h", "mode", (F.col("k") / F.col("c")).alias("mean"))
+    level = read("modes").join(listed, "gene_id", "left_semi").join(means, ["gene_id", "time_h", "mode"])
+    prot = trajectory.initial_states(level.withColumn("cell_id", F.struct("time_h", "x"))).select("gene_id", F.col("cell_id.time_h").alias("time_h"), F.col("cell_id.x").alias("x"), "prot")
+    level = cut(level.select("gene_id", "time_h", "x", "kon").join(prot, ["gene_id", "time_h", "x"]).join(listed, "gene_id").select("gene_id", "at", "time_h", "x", F.struct("kon", "prot").alias("s")))
+    train = base.cells(spark, source).filter("time_h is not null").join(read("split").filter("part = 'train'"), "cell_id", "left_semi").select("cell_id", "sample_id", "time_h")
+    corrected = depth.depth_corrected(base.counts(spark, source), read("rd")).filter("x > 0")
+    seen = corrected.join(train.select("cell_id", "time_h"), "cell_id").join(level, ["gene_id", "time_h", "x"]).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "s"))).alias("m"))
+    # A (gene, time) without a zero in any cell needs none.
+    zero = level.filter("x = 0").groupBy("time_h").agg(F.map_from_entries(F.collect_list(F.struct("at", "s"))).alias("z"))
+    rows = train.join(seen, "cell_id", "left").join(F.broadcast(zero), "time_h", "left")
+    of = lambda f: F.transform(F.sequence(F.lit(1), F.lit(len(genes))), lambda g: F.coalesce(F.try_element_at("m", g)[f], F.try_element_at("z", g)[f], F.lit(0.0)))
+    stim = F.array(F.when(F.col("time_h") > 0, 1.0).otherwise(0.0))
+    sink_tables({"states": rows.select("cell_id", "sample_id", "time_h", F.concat(stim, of("kon")).alias("kon"), F.concat(stim, of("prot")).alias("prot"))}, out)
+
+
+def _times(spark: SparkSession, source: str) -> list[float]:
+    return sorted(r[0] for r in base.cells(spark, source).select("time_h").dropna().distinct().collect())
+
+
 def coupling_step(spark: SparkSession, source: str, out: str) -> None:
-    """successors: one cell of the next time for every cell."""
-    sink_tables({"successors": dynamics_queries.propagate_trajectories(spark, source)}, out)
+    """successors: one train cell of the next time of its sample for every train cell of a sample."""
+    times = _times(spark, source)
+    pairs = spark.createDataFrame(list(zip(times, times[1:])), "time_h double, next_time double")
+    sink_tables({"successors": trajectory.couple(spark.read.parquet(f"{out}/states.parquet").filter("sample_id is not null"), pairs)}, out)
 
 
 def network_step(spark: SparkSession, source: str, out: str) -> None:
-    """edges: the inferred network."""
-    sink_tables({"edges": dynamics_queries.infer_network(spark, source)}, out)
+    """edges: each selected gene's mode, explained by the states of all of them, over all train cells."""
+    genes = _genes(spark, out)
+    n = len(genes)
+    rows = spark.read.parquet(f"{out}/states.parquet").select("prot", F.sequence(F.lit(1), F.lit(n)).alias("tgt"), F.slice("kon", 2, n).alias("y"))
+    mask = spark.createDataFrame([(t, [0.2] + [float(t != s) for s in range(1, n + 1)]) for t in range(1, n + 1)], "tgt int, m array<double>")
+    edges = network.regress_rows(rows, mask)
+    ids = F.array(*[F.lit(g) for g in (0, *genes)])
+    sink_tables({"edges": edges.select(F.when(F.col("src") < 0, F.col("src")).otherwise(F.get(ids, "src")).alias("src"), F.get(ids, "tgt").alias("tgt"), "w")}, out)
 
 
 def simulation_step(spark: SparkSession, source: str, out: str) -> None:
-    """simulated: mean states over time of the simulated cells."""
-    path = dynamics_queries.ode_simulate(spark, source).select("time_h", F.posexplode("prot").alias("gene_id", "prot"))
-    sink_tables({"simulated": path.groupBy("time_h", "gene_id").agg(F.avg("prot").alias("prot"))}, out)
+    """simulated: mean states of the selected genes at all times of the data, from the train cells of the first one under the edges found."""
+    genes, times = _genes(spark, out), _times(spark, source)
+    at = {g: i for i, g in enumerate((0, *genes))}
+    w, b, d1 = np.zeros((len(at), len(at))), np.zeros(len(at)), np.full(len(at), 0.05)
+    for r in spark.read.parquet(f"{out}/edges.parquet").collect():  # selected genes squared
+        if r["src"] < 0:
+            b[at[r["tgt"]]] = r["w"]
+        else:
+            w[at[r["src"]], at[r["tgt"]]] = r["w"]
+    for r in base.genes(spark, source).filter("d1 is not null").select("gene_id", "d1").collect():
+        if r["gene_id"] in at:
+            d1[at[r["gene_id"]]] = max(r["d1"], 1e-3)
+    # The edges are fitted on kon itself, so no lower mode's value is added.
+    net = dynamics.Network(w, b, np.zeros(len(at)), d1, d1 * 5)
+    starts = spark.read.parquet(f"{out}/states.parquet").filter(F.col("time_h") == times[0]).select("cell_id", F.concat(F.array(F.lit(1.0)), F.slice("prot", 2, len(genes))).alias("prot"))
+    path = dynamics.simulate(starts, net, times).select("time_h", F.posexplode("prot").alias("at", "prot")).filter("at > 0")
+    ids = F.array(*[F.lit(g) for g in (0, *genes)])
+    sink_tables({"simulated": path.groupBy("time_h", F.get(ids, "at").alias("gene_id")).agg(F.avg("prot").alias("prot"))}, out)
 
 
 STEPS: dict[str, Callable[[SparkSession, str, str], None]] = {
     "depth": depth_step, "split": split_step, "mixture": mixture_step, "modes": modes_step, "selection": selection_step,
-    "coupling": coupling_step, "network": network_step, "simulation": simulation_step,
+    "states": states_step, "coupling": coupling_step, "network": network_step, "simulation": simulation_step,
 }
 
 
