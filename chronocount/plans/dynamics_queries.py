@@ -185,15 +185,36 @@ def jump_simulate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def perturb(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean state of each gene under each perturbation of the list, after 12 hours, from the mean state of the cells of time 0."""
+    """Mean state of each gene under each perturbation of the list at every time of the data, over all cells of time 0 of its dataset.
+
+    ``combo_id, dataset, time_h, gene_id, prot, n_cells, unknown, reason``.
+    ``unknown`` lists the names that are no gene of the panel; they are left
+    out, the others act. A gene in both lists is held on, which comes last. A
+    combination that can't be simulated is one row with its ``reason``.
+    """
     panel = base.genes(spark, folder).filter(F.col("gene_id").between(1, PANEL)).select("gene_name", "gene_id")
-    combos = read(spark, folder, "ko_ov_list").select("combo_id", "ko", "ov").distinct()
-    sides = [combos.select("combo_id", F.explode(split_packed(c)).alias("gene_name")).join(panel, "gene_name").groupBy("combo_id").agg(F.array_sort(F.collect_set("gene_id")).alias(side)) for c, side in (("ko", "off"), ("ov", "on"))]
-    known = sides[0].join(sides[1], "combo_id", "full").select("combo_id", *[F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in ("off", "on")])
-    start = _starts(spark, folder).select(F.posexplode("prot").alias("g", "p")).groupBy("g").agg(F.avg("p").alias("p"))
-    one = start.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "p"))), lambda x: x["p"]).alias("prot")).select(F.lit(0).cast("bigint").alias("cell_id"), "prot")
-    end = dynamics.simulate(one, _network(spark, folder), [0.0, 12.0], combos=known.filter("size(array_intersect(off, on)) = 0")).filter("time_h = 12")
-    return end.select("combo_id", F.posexplode("prot").alias("gene_id", "prot")).filter("gene_id > 0")
+    listed = read(spark, folder, "ko_ov_list").select("combo_id", "dataset", "ko", "ov").distinct().select("combo_id", "dataset", split_packed("ko").alias("ko"), split_packed("ov").alias("ov"))
+    key = ["combo_id", "dataset"]
+    each = listed.select(*key, F.explode(F.concat(F.transform("ko", lambda g: F.struct(F.lit(False).alias("up"), g.alias("gene_name"))), F.transform("ov", lambda g: F.struct(F.lit(True).alias("up"), g.alias("gene_name"))))).alias("g")).select(*key, "g.*")
+    each = each.join(F.broadcast(panel), "gene_name", "left").groupBy(F.col("combo_id").alias("c"), F.col("dataset").alias("d")).agg(
+        F.array_sort(F.collect_set(F.when(~F.col("up"), F.col("gene_id")))).alias("off"), F.array_sort(F.collect_set(F.when(F.col("up"), F.col("gene_id")))).alias("on"),
+        F.array_sort(F.collect_set(F.when(F.col("gene_id").isNull(), F.col("gene_name")))).alias("unknown"),
+    )
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    known = listed.select(*key).distinct().join(each, (F.col("combo_id") == F.col("c")) & F.col("dataset").eqNullSafe(F.col("d")), "left").select(*key, empty("off", "array<int>"), empty("on", "array<int>"), empty("unknown", "array<string>"))
+    # A cell without counts starts from zeros.
+    nothing = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), PANEL))
+    first = base.cells(spark, folder).filter("time_h = 0 and dataset is not null").select("cell_id", "dataset")
+    starts = cut(first.join(_starts(spark, folder), "cell_id", "left").select("cell_id", "dataset", F.coalesce("prot", nothing).alias("prot")))
+    there = starts.select(F.col("dataset").alias("d"), F.lit(True).alias("there")).distinct()
+    reason = F.when(F.size("off") + F.size("on") + F.size("unknown") == 0, "no genes listed").when(F.size("off") + F.size("on") == 0, "no gene of the panel").when(F.col("there").isNull(), "no cells of time 0")
+    known = known.withColumn("off", F.array_except("off", "on")).join(F.broadcast(there), F.col("dataset") == F.col("d"), "left").withColumn("reason", reason).drop("d", "there")
+    known = cut(known.withColumn("set_id", F.xxhash64("dataset", "off", "on")))
+    times = sorted(r[0] for r in base.cells(spark, folder).select("time_h").dropna().distinct().collect())
+    sets = known.filter("reason is null").select("set_id", "dataset", "off", "on").distinct()
+    means = dynamics.perturbed_means(starts, sets, _network(spark, folder), times)
+    done = known.filter("reason is null").drop("reason").join(means, "set_id").select(*key, "time_h", F.posexplode("prot").alias("gene_id", "prot"), "n_cells", "unknown", F.lit(None).cast("string").alias("reason")).filter("gene_id > 0")
+    return done.unionByName(known.filter("reason is not null").select(*key, "unknown", "reason"), allowMissingColumns=True)
 
 
 _PAIR = _MEAN + ", pr AS (SELECT gene_id, prot AS p0, nv AS p1, nt - time_h AS dt, CASE WHEN nv > prot THEN 1.0 ELSE 0.0 END AS kon FROM (SELECT *, lead(time_h) OVER w AS nt, lead(prot) OVER w AS nv FROM mt WINDOW w AS (PARTITION BY dataset, gene_id ORDER BY time_h)) WHERE nt IS NOT NULL) "
