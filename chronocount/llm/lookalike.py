@@ -1,10 +1,10 @@
 """Texts that look the same but are made of other characters.
 
 Method: compatibility normalisation in composed form, full case folding, one
-kind of blank, and removal of default-ignorable characters, computed once per
-distinct value of a batch. Texts of one common form are then compared by what a
-reader sees, in which case, accents, raised digits and the number of blanks
-still count.
+kind of blank, look-alike letters and removal of default-ignorable characters,
+computed once per distinct value of a batch. Texts of one common form are one
+class; what a reader tells apart (case, accents, raised digits, the number of
+blanks) then divides a class, as the exact check behind the method.
 """
 
 from __future__ import annotations
@@ -27,7 +27,13 @@ LOOK_ALIKES = {
     # Cyrillic, capital
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W",
     # Greek
-    "ο": "o", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    "ο": "o", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ϲ": "c", "ϳ": "j",
+    # Armenian
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "զ": "q", "ց": "g", "Օ": "O", "Տ": "S", "Ս": "U", "Լ": "L",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Latin letters of phonetic alphabets
+    "ɑ": "a", "ɡ": "g",
     # hyphens
     "‐": "-", "‑": "-",
 }
@@ -65,11 +71,27 @@ def seen(text: str) -> str:
     return text.replace("\r\n", "\n")
 
 
-def common_form(shown: str) -> str:
-    """The common form of a text already put through ``seen``."""
-    if shown.isascii():
-        return _blanks(shown.lower())
-    return _blanks(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", shown).casefold()))
+def folded(text: str) -> str:
+    """The text after compatibility decomposition, with look-alikes and blanks made one and ignorables gone, case folded, composed; line breaks stay."""
+    if text.isascii():
+        return text.lower().replace("\r\n", "\n")
+    text = unicodedata.normalize("NFKD", text)
+    become = _letters()
+    for c in become.keys() & set(text):
+        text = text.replace(c, become[c])
+    # Folding can bring back a decomposed letter, so the composition comes last.
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold()).replace("\r\n", "\n")
+
+
+@cache
+def _letters() -> dict[str, str]:
+    """The characters of ``_rules`` that a compatibility decomposition leaves."""
+    return {c: to for c, to in _rules().items() if unicodedata.normalize("NFKD", c) == c}
+
+
+def common_form(text: str) -> str:
+    """The common form of a text: ``folded``, with each line break and control blank as one blank."""
+    return _blanks(folded(text))
 
 
 def _blanks(text: str) -> str:
@@ -82,8 +104,8 @@ def _forms(key: str, text: str, with_form: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             code, values = pd.factorize(b[text])
+            forms = [common_form(v) for v in values]
             shown = [seen(v) for v in values]
-            forms = [common_form(v) for v in shown]
             digest = {
                 "form_key": [xxhash.xxh3_128_digest(v.encode("utf-8", "surrogatepass")) for v in forms],
                 "seen_key": [xxhash.xxh3_128_digest(v.encode("utf-8", "surrogatepass")) for v in shown],
@@ -104,7 +126,7 @@ def text_forms(df: DataFrame, key: str, text: str, with_form: bool = False) -> D
     """``row_key, form_key, seen_key, text_key[, form], n_chars, blank`` of every row with a text.
 
     The keys are 128-bit hashes of the common form, of what a reader sees, and
-    of the text itself. Null texts give no row; empty and invisible ones have
+    of the text itself; each distinct text of a batch is worked on once. Null texts give no row; empty and invisible ones have
     ``blank`` set. Whole texts are read; other columns are not.
     """
     schema = f"row_key {dict(df.dtypes)[key]}, form_key binary, seen_key binary, text_key binary, "
@@ -115,24 +137,34 @@ def text_forms(df: DataFrame, key: str, text: str, with_form: bool = False) -> D
 def look_alike_classes(forms: DataFrame) -> DataFrame:
     """``row_key, class_key, text_key, n_texts, n_rows`` of rows whose class holds two different texts or more.
 
-    A class is the rows of one common form that a reader sees as the same. Exact
-    copies are members of their text; they are counted per text before any
-    grouping by class, so a text that is a third of all rows stays one row there.
+    The common form makes the classes; only those with two different texts go
+    on, and each is divided by what a reader tells apart. Exact copies are
+    members of their text; they are counted per text before any grouping by
+    class, so a text that is a third of all rows stays one row there.
+    ``forms`` is read several times: pass a written table.
     """
     lit = forms.filter(~F.col("blank"))
     texts = lit.groupBy("form_key", "seen_key", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    mixed = texts.groupBy("form_key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("form_key")
     classes = (
-        texts.groupBy("form_key", "seen_key")
+        texts.join(mixed, "form_key", "left_semi").groupBy("form_key", "seen_key")
         .agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_rows"))
         .filter("n_texts > 1")
-    )
+    )
     return lit.join(classes, ["form_key", "seen_key"]).select(
-        "row_key", F.hex(F.col("seen_key")).alias("class_key"), "text_key", "n_texts", "n_rows"
+        "row_key", F.hex(F.xxhash64("form_key", "seen_key")).alias("class_key"), "form_key", "seen_key", "text_key", "n_texts", "n_rows"
     )
 
 
 def look_alike_pairs(classes: DataFrame) -> DataFrame:
-    """``row_a, row_b`` (a < b) of rows in one class with different texts."""
-    a = classes.select("class_key", F.col("row_key").alias("row_a"), F.col("text_key").alias("text_a"))
-    b = classes.select("class_key", F.col("row_key").alias("row_b"), F.col("text_key").alias("text_b"))
-    return a.join(b, "class_key").filter("row_a < row_b and text_a <> text_b").select("row_a", "row_b")
+    """``row_a, row_b`` (a < b) of rows in one class with different texts.
+
+    Pairs are made between the classes' texts, of which copies are one; rows are
+    put in for each text at the end, since the result asks for them.
+    """
+    texts = classes.select("form_key", "seen_key", "text_key").distinct()
+    a, b = (texts.withColumnRenamed("text_key", f"text_{side}") for side in "ab")
+    pairs = a.join(b, ["form_key", "seen_key"]).filter("text_a < text_b").select("text_a", "text_b")
+    x, y = (classes.select(F.col("text_key").alias(f"text_{side}"), F.col("row_key").alias(f"row_{side}")) for side in "ab")
+    rows = pairs.join(x, "text_a").join(y, "text_b").filter("row_a <> row_b")
+    return rows.select(F.least("row_a", "row_b").alias("row_a"), F.greatest("row_a", "row_b").alias("row_b"))

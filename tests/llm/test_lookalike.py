@@ -1,3 +1,6 @@
+from hypothesis import given
+from hypothesis import strategies as st
+
 from chronocount.llm.lookalike import common_form, look_alike_classes, look_alike_pairs, seen, text_forms
 
 
@@ -17,7 +20,12 @@ def test_what_a_reader_sees():
 
 
 def test_common_form():
-    assert common_form(seen("STRASSE ²")) == common_form(seen("straße 2")) and common_form("a\nb") == "a b"
+    assert common_form("STRASSE ²") == common_form("straße 2") and common_form("a\nb") == "a b"
+
+
+@given(st.text(st.sampled_from("aàéÉßſµμΩΩеЕоОıİﬁ²½℃½ \u00a0\u200b\u0301\u034f\u0323ǅ한ﾊﾞ𝐀Ａ\n\r"), max_size=12))
+def test_what_looks_the_same_has_one_common_form(text):
+    assert common_form(seen(text)) == common_form(text) and common_form(common_form(text)) == common_form(text)
 
 
 def test_pairs(spark):
