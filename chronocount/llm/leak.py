@@ -2,8 +2,10 @@
 
 Method: spaced-seed hashing. Fixed masks over windows of eight words leave some
 positions out, so a window still hits when a word at such a position was
-changed; hashes of items and documents are joined, and around every hit the
-words themselves are compared.
+changed; hashes of items and documents are joined. A hit also carries a hash of
+the whole window: where it agrees all eight words are equal, where it doesn't
+the word at the position left out was changed. The hits' windows, one at every
+word, overlap to passages, whose words are then counted both ways.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronocount.llm.lookalike import common_form, seen
+from chronocount.llm.lookalike import folded
+from chronocount.session import cut
 
 #: Positions of a window that are hashed. Any run of eight equal words hits under
 #: both; with one changed word it hits under the mask that ignores its place.
@@ -25,8 +28,9 @@ MASKS = ((0, 1, 3, 4, 5, 6, 7), (0, 1, 2, 3, 4, 6, 7))
 SPAN = 8
 
 # Bits of the filter that documents' hashes go through before they leave their
-# task; its size doesn't depend on the data.
-_FILTER_BITS = 1 << 22
+# task: so many for each of the items' seeds, between the two bounds (half a
+# megabyte and 16 MB). A fuller filter lets more through, but drops nothing.
+_BITS_PER_SEED, _LEAST_BITS, _MOST_BITS = 32, 1 << 22, 1 << 27
 
 _INLINE = re.compile(r"</?(?:b|i|u|em|sub|sup|strong|span|font|a)\b[^<>]{0,80}>", re.I)
 _TAG = re.compile(r"</?[a-z][^<>]{0,80}>", re.I)
@@ -42,7 +46,7 @@ def words(text: str) -> list[str]:
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
     # A hyphen at the end of a line may or may not belong to the word.
-    return _WORD.findall(common_form(seen(text).replace("-\n", "").replace("-", "")))
+    return _WORD.findall(folded(text).replace("-\n", "").replace("-", ""))
 
 
 def _word_ids(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,136 +80,94 @@ def _seeds(bits: np.ndarray | None):
                 known.clear()
             ids, starts = _word_ids(b["text"].tolist(), known)
             row = np.repeat(np.arange(len(b)), np.diff(starts))
+            n = max(len(ids) - SPAN + 1, 0)
+            inside = row[:n] == row[SPAN - 1 : SPAN - 1 + n]
+            whole = _seed_hashes(ids, tuple(range(SPAN)))
             for number, mask in enumerate(MASKS):
                 h = _seed_hashes(ids, mask)
-                ok = row[: len(h)] == row[SPAN - 1 : SPAN - 1 + len(h)]
+                ok = inside
                 if bits is not None:
-                    slot = h % np.uint64(_FILTER_BITS)
-                    ok &= (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    slot = h % np.uint64(len(bits) * 8)
+                    ok = inside & (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 at = np.flatnonzero(ok)
+                if bits is not None:
+                    # A window that a document repeats leaves it once.
+                    at = at[~pd.DataFrame({"row": row[at], "whole": whole[at]}).duplicated().to_numpy()]
                 yield pd.DataFrame(
-                    {"key": b["key"].to_numpy()[row[at]], "mask": np.int32(number), "seed": h[at].view(np.int64), "pos": at - starts[row[at]]}
+                    {"key": b["key"].to_numpy()[row[at]], "mask": np.int8(number), "seed": h[at].view(np.int64), "whole": whole[at].view(np.int64), "pos": (at - starts[row[at]]).astype(np.int32)}
                 )
 
     return run
 
 
 def seeds(df: DataFrame, key: str, text: str, bits: np.ndarray | None = None) -> DataFrame:
-    """``key, mask, seed, pos`` of every window, or of those that pass the filter ``bits``."""
+    """``key, mask, seed, whole, pos`` of every window, or of the different ones of each text that pass the filter ``bits``."""
     kind = dict(df.dtypes)[key]
     few = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return few.mapInPandas(_seeds(bits), f"key {kind}, mask int, seed bigint, pos bigint")
+    return few.mapInPandas(_seeds(bits), f"key {kind}, mask tinyint, seed bigint, whole bigint, pos int")
 
 
 def seed_filter(item_seeds: DataFrame) -> np.ndarray:
-    """A bit field of the items' hashes: of one fixed size, however many items there are."""
+    """A bit field of the items' hashes; its size is bounded, however many items there are."""
+    wanted = _BITS_PER_SEED * item_seeds.count()
+    size = min(max(_LEAST_BITS, 1 << max(wanted - 1, 1).bit_length()), _MOST_BITS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(_FILTER_BITS, dtype=bool)
+        bits = np.zeros(size, dtype=bool)
         for b in batches:
-            bits[(b["seed"].to_numpy().view(np.uint64) % np.uint64(_FILTER_BITS)).astype(np.int64)] = True
+            bits[(b["seed"].to_numpy().view(np.uint64) % np.uint64(size)).astype(np.int64)] = True
         yield pd.DataFrame({"bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    out = np.zeros(_FILTER_BITS // 8, dtype=np.uint8)
-    # One field of half a megabyte per partition, read one after the other.
+    out = np.zeros(size // 8, dtype=np.uint8)
+    # One field per partition, read one after the other.
     for r in item_seeds.select("seed").coalesce(4).mapInPandas(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(r["bits"], dtype=np.uint8)
     return out
 
 
-def _shared_runs(a: list[str], b: list[str], least: int) -> list[tuple[int, int, int]]:
-    """``(start in a, start in b, length)`` of all longest runs of equal words of at least ``least``."""
-    where: dict[tuple[str, ...], list[int]] = {}
-    for j in range(len(b) - least + 1):
-        where.setdefault(tuple(b[j : j + least]), []).append(j)
-    ends: dict[int, int] = {}  # by diagonal, where its last run ended in a
-    runs = []
-    for i in range(len(a) - least + 1):
-        for j in where.get(tuple(a[i : i + least]), ()):
-            if ends.get(j - i, -1) >= i + least:
-                continue
-            n = least
-            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-                n += 1
-            ends[j - i] = i + n
-            runs.append((i, j, n))
-    return runs
-
-
-def covered(item: list[str], doc: list[str], least: int = SPAN) -> int:
-    """Most words of ``item`` that stand in ``doc`` in the item's order, in runs of ``least`` or more.
-
-    Dynamic programming over the ends of pieces of equal runs: a piece goes on
-    from the word before, or begins ``least`` words back after the best chain
-    that ends before it in both texts.
-    """
-    ends: dict[int, list[tuple[int, int]]] = {}
-    for i, j, n in _shared_runs(item, doc, least):
-        for t in range(least - 1, n):
-            ends.setdefault(i + t, []).append((j + t, t))
-    upto = np.zeros(len(doc) + 1, dtype=np.int64)  # best chain by number of the document's words, over the item's words up to least before i
-    best: dict[tuple[int, int], int] = {}
-    for i in range(least - 1, len(item)):
-        for j, _ in ends.get(i - least, ()):
-            np.maximum(upto[j + 1 :], best[i - least, j], out=upto[j + 1 :])
-        for j, t in ends.get(i, ()):
-            begun = int(upto[j - least + 1]) + least
-            best[i, j] = max(begun, best[i - 1, j - 1] + 1) if t >= least else begun
-    return max(best.values(), default=0)
-
-
-def _words_hit(at: str) -> Column:
-    """Words that lie in windows beginning at the sorted positions ``at``."""
-    gaps = F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda b, a: F.least(b - a, F.lit(SPAN).cast("bigint")))
-    return F.aggregate(gaps, F.lit(SPAN).cast("bigint"), lambda total, x: total + x)
+def _words_in(at: Column) -> Column:
+    """Words that lie in windows beginning at the sorted positions ``at``; 0 without any."""
+    gaps = F.zip_with(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(SPAN)))
+    return F.when(F.size(at) > 0, F.aggregate(gaps, F.lit(SPAN), lambda total, x: total + x)).otherwise(F.lit(0))
 
 
 def leaks(
-    docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, min_share: float = 0.5
+    docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, min_share: float = 0.5, changed_words: bool = False
 ) -> DataFrame:
-    """``doc_key, item_key, n_words, n_covered, share`` of documents that hold at least ``min_share`` of an item.
-
-    ``share`` is the part of the item's words that stand in the document in the
-    item's order, in runs of eight or more. Null and empty texts and items of
-    fewer than eight words give no row; several rows of one key are texts of
-    their own, of which the best counts. Whole texts are compared.
-
-    Every run of eight words is a hit, so the item's words that lie in windows
-    hit by a document are at least those covered; only pairs in which these reach
-    ``min_share`` have their words compared.
+    """``doc_key, item_key, n_words, n_covered, n_alike, share`` of documents that hold at least ``min_share`` of an item.
+
+    ``n_covered`` counts the item's words that stand in the document in runs of
+    eight or more in the item's order; the runs themselves may come in any order,
+    as the parts of a passage do that was taken apart. ``n_alike`` counts the
+    words that lie in windows of eight with at most one changed word (at a place
+    that a mask leaves out), without those changed. ``share`` is the part that
+    ``n_covered`` (with ``changed_words``: ``n_alike``) is of all the item's words.
+
+    Null and empty texts and items of fewer than eight words give no row; rows of
+    one key count as one text. Whole texts are read; only hashes of windows that
+    pass the items' filter leave a document's task. Equal hashes of 64 bits count
+    as equal words.
     """
-    item_seeds = seeds(items, item_key, item_text)
+    item_seeds = seeds(items, item_key, item_text).select(F.col("key").alias("item"), "mask", "seed", F.col("whole").alias("item_whole"), F.col("pos").alias("at")).distinct()
+    item_seeds = cut(item_seeds)
+    sizes = item_seeds.groupBy("item").agg((F.max("at") + SPAN).alias("n_words"))
     bits = seed_filter(item_seeds)
-    windows = item_seeds.groupBy(F.col("key").alias("item")).agg((F.max("pos") + SPAN).alias("n_item"))
-    hits = (
-        seeds(docs, doc_key, doc_text, bits).select(F.col("key").alias("doc"), "mask", "seed").distinct()
-        .join(item_seeds.select(F.col("key").alias("item"), "mask", "seed", F.col("pos").alias("at")).distinct(), ["mask", "seed"])
-        .groupBy("doc", "item").agg(F.sort_array(F.collect_set("at")).alias("at"))
-        .join(windows, "item").filter(_words_hit("at") >= F.lit(min_share) * F.col("n_item"))
+    # A seed that a third of all documents hold is a hot key on their side of the
+    # join only: it is split there, by a broadcast of the items' side while that
+    # is small, else as a skewed key.
+    hits = seeds(docs, doc_key, doc_text, bits).select(F.col("key").alias("doc"), "mask", "seed", "whole").join(item_seeds, ["mask", "seed"])
+    same = F.col("whole") == F.col("item_whole")
+    one = hits.groupBy("doc", "item").agg(
+        F.sort_array(F.collect_set(F.when(same, F.col("at")))).alias("equal"),
+        *[F.collect_set(F.when(~same & (F.col("mask") == m), F.col("at"))).alias(f"near{m}") for m in range(len(MASKS))],
     )
-    per_doc = hits.groupBy("doc").agg(F.collect_set("item").alias("items"))
-    texts = docs.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("text")).join(per_doc, "doc")
-    item_words = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("item_text")).filter("item_text is not null")
-    pairs = texts.select("doc", "text", F.explode("items").alias("item")).join(item_words, "item")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc_words: tuple[str, list[str]] = ("", [])
-        cache: dict[str, list[str]] = {}
-        for b in batches:
-            rows = []
-            for doc, item, text, item_text in zip(b["doc"], b["item"], b["text"], b["item_text"]):
-                if doc_words[0] != text:
-                    doc_words = (text, words(text))
-                if len(cache) > 5000:
-                    cache.clear()
-                mine = cache.setdefault(item_text, words(item_text))
-                rows.append((doc, item, len(mine), covered(mine, doc_words[1])))
-            yield pd.DataFrame(rows, columns=["doc", "item", "n_words", "n_covered"])
-
-    schema = f"doc {dict(docs.dtypes)[doc_key]}, item {dict(items.dtypes)[item_key]}, n_words bigint, n_covered bigint"
-    found = pairs.select("doc", "item", "text", "item_text").mapInPandas(verify, schema)
-    found = found.filter((F.col("n_covered") > 0) & (F.col("n_covered") >= F.lit(min_share) * F.col("n_words")))
-    best = found.groupBy("doc", "item").agg(F.max(F.struct(F.col("n_covered") / F.col("n_words"), "n_words", "n_covered")).alias("b"))
-    return best.select(
-        F.col("doc").alias(doc_key), F.col("item").alias(item_key), "b.n_words", "b.n_covered", (F.col("b.n_covered") / F.col("b.n_words")).alias("share")
+    places = lambda at, mask: F.flatten(F.transform(at, lambda p: F.array(*[p + i for i in mask])))
+    alike = F.size(F.array_distinct(F.concat(places("equal", tuple(range(SPAN))), *[places(f"near{m}", mask) for m, mask in enumerate(MASKS)])))
+    # The cheaper count first: words in any window hit are at least those that count.
+    most = _words_in(F.sort_array(F.array_distinct(F.concat("equal", *[f"near{m}" for m in range(len(MASKS))]))) if changed_words else F.col("equal"))
+    some = one.join(sizes, "item").filter(most >= F.lit(min_share) * F.col("n_words"))
+    counted = some.select("doc", "item", "n_words", _words_in(F.col("equal")).alias("n_covered"), alike.alias("n_alike"))
+    share = F.col("n_alike" if changed_words else "n_covered") / F.col("n_words")
+    return counted.withColumn("share", share).filter((F.col("share") > 0) & (F.col("share") >= min_share)).select(
+        F.col("doc").alias(doc_key), F.col("item").alias(item_key), *[F.col(c).cast("bigint").alias(c) for c in ("n_words", "n_covered", "n_alike")], "share"
     )

@@ -20,9 +20,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Items of which a document holds a fifth: the number of documents with half of it, and its largest share in one."""
-    return _leaks(spark, folder, 0.2).groupBy("item_id").agg(
-        F.sum((F.col("share") >= 0.5).cast("bigint")).alias("n_docs"), F.max("share").alias("largest_share")
+    """Items of which a document holds a fifth, changed words allowed: the number of documents with half of it as it stands, and its largest shares in one."""
+    docs, items = read(spark, folder, "documents"), read(spark, folder, "eval_items")
+    found = leaks(docs, "doc_id", "text", items, "item_id", "item_text", 0.2, changed_words=True)
+    exact = F.col("n_covered") / F.col("n_words")
+    return found.groupBy("item_id").agg(
+        F.sum((exact >= 0.5).cast("bigint")).alias("n_docs"), F.max(exact).alias("largest_share"), F.max("share").alias("largest_share_changed")
     )
 
 

@@ -1,6 +1,6 @@
 import random
 
-from chronocount.llm.leak import covered, leaks, words
+from chronocount.llm.leak import leaks, words
 
 WORDS = [f"w{i}" for i in range(3000)]
 
@@ -12,17 +12,10 @@ def run(spark, docs, items, share=0.5):
 
 
 def brute(item, doc, least=8):
-    """Words of the item covered, by dynamic programming over single words."""
+    """Words of the item that lie in a run of ``least`` words that the document has too."""
     a, b = words(item), words(doc)
-    run = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            run[i][j] = run[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else 0
-            best[i][j] = max(best[i - 1][j], best[i][j - 1])
-            for n in range(least, run[i][j] + 1):
-                best[i][j] = max(best[i][j], best[i - n][j - n] + n)
-    return best[-1][-1]
+    runs = {tuple(b[j : j + least]) for j in range(len(b) - least + 1)}
+    return len({k for i in range(len(a) - least + 1) if tuple(a[i : i + least]) in runs for k in range(i, i + least)})
 
 
 def test_words():
@@ -30,15 +23,6 @@ def test_words():
     assert words("Тest ｆｏｏ") == ["test", "foo"] and words("") == []
 
 
-def test_covered_against_brute_force():
-    rng = random.Random(0)
-    for _ in range(200):
-        vocabulary = WORDS[: rng.choice([3, 12, 200])]
-        item = [rng.choice(vocabulary) for _ in range(40)]
-        doc = [rng.choice(vocabulary) for _ in range(20)] + item[rng.randrange(10) : rng.randrange(20, 40)] + [rng.choice(vocabulary) for _ in range(10)] + item[25:]
-        assert covered(item, doc) == brute(" ".join(item), " ".join(doc))
-
-
 def test_leaks_against_brute_force(spark):
     rng = random.Random(1)
     items = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(20, 60))) for _ in range(12)]
@@ -47,6 +31,8 @@ def test_leaks_against_brute_force(spark):
         doc = [rng.choice(WORDS) for _ in range(80)]
         if rng.random() < 0.7:
             part = items[rng.randrange(12)].split()
+            if rng.random() < 0.3:  # taken apart, the second half first
+                part = part[len(part) // 2 :] + ["between"] + part[: len(part) // 2]
             for _ in range(rng.randrange(4)):
                 part[rng.randrange(len(part))] = "changed"
             doc[30:30] = part[rng.randrange(12) :]
@@ -61,3 +47,20 @@ def test_edge_cases(spark):
     long = " ".join(["filler"] * 100_000) + " " + item
     assert set(run(spark, [None, "", item, item, long, "w0 w1"], [item, None, "", "too short"])) == {(2, 0), (3, 0), (4, 0)}
     assert run(spark, [None], [item]) == {} and run(spark, [item], [None]) == {}
+
+
+def test_changed_words(spark):
+    item = WORDS[:24]
+    doc = [*item[:2], "changed", *item[3:]]
+    d = spark.createDataFrame([(1, " ".join(["x", *doc, "y"])), (2, " ".join(["changed" if i % 4 == 2 else w for i, w in enumerate(item)]))], "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, " ".join(item), "clash")], "item_id bigint, item_text string, doc string")
+    got = [tuple(r) for r in leaks(d, "doc_id", "text", i, "item_id", "item_text", 0.5, changed_words=True).collect()]
+    # One changed word is bridged, every fourth isn't.
+    assert got == [(1, 7, 24, 21, 23, 23 / 24)]
+
+
+def test_rows_of_one_key_are_one_text(spark):
+    item = " ".join(WORDS[:40])
+    d = spark.createDataFrame([(1, " ".join(WORDS[:12])), (1, " ".join(WORDS[20:32])), (2, " ".join(WORDS[:12]))], "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, item)], "item_id bigint, item_text string")
+    assert [tuple(r)[:4] for r in leaks(d, "doc_id", "text", i, "item_id", "item_text").collect()] == [(1, 7, 40, 24)]
