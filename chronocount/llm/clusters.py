@@ -1,11 +1,10 @@
 """Grouping records into similarity clusters.
 
-Method: parallel pivot correlation clustering. In rounds, of the free records
-with the lowest hashes those that no similar free record precedes (the local
-minima of the hash order) become pivots; all records similar to a pivot are
-taken by it and leave. This gives the same pivots as going through all records
-one by one in hash order. Then members go to the closest pivot, and pivots
-become the medoids of their members.
+Method: parallel pivot correlation clustering. In rounds, the free records that
+no similar free record precedes in hash order (the local minima) become pivots;
+all records similar to a pivot are taken by it and leave. This gives the same
+pivots as going through all records one by one in hash order. Then members go to
+the closest pivot, and pivots become the medoids of their members.
 
 Two records are similar if the cosine of their profiles is at least a threshold.
 Profiles are log counts less their means, seen in the leading principal
@@ -15,6 +14,7 @@ components, for which sums over all records are made once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from chronocount.operators.counts import gene_and_x, unpacked
 from chronocount.session import cut
 
-#: Free records that a round looks for pivots among; doubled from round to round up to the second number.
-FIRST_ROUND, LARGEST_ROUND = 256, 4096
+#: Free records that a round looks for local minima among, those of lowest hash; doubled from round to round up to the
+#: second number, which is also the most vectors that any task holds besides its own batch.
+FIRST_ROUND, BLOCK = 256, 4096
 
 
 def count_profiles(packed: DataFrame, panel: list[int], least_total: int = 20) -> DataFrame:
@@ -48,10 +49,11 @@ def count_profiles(packed: DataFrame, panel: list[int], least_total: int = 20) -
     return packed.mapInPandas(run, "key bigint, total bigint, x array<int>")
 
 
-def components(profiles: DataFrame, width: int, most: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and leading principal directions of ``log1p(x)`` over all records.
+def components(profiles: DataFrame, width: int, explained: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and leading principal directions of ``log1p(x)`` over all records: as many as explain that part of the variance.
 
-    The driver sees width * (width + 1) sums, whatever the number of records.
+    Each task sends one row per gene; the driver sees width + 1 of them, whatever
+    the number of records.
     """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,19 +61,22 @@ def components(profiles: DataFrame, width: int, most: int = 20) -> tuple[np.ndar
         for b in batches:
             a = np.hstack([np.log1p(_matrix(b["x"], width)), np.ones((len(b), 1))])
             total += a.T @ a
-        yield pd.DataFrame({"i": np.arange(total.size), "s": total.ravel()})
+        yield pd.DataFrame({"i": np.arange(width + 1, dtype=np.int32), "s": list(total)})
 
     if not width:
         return np.zeros(0), np.zeros((0, 0))
-    found = profiles.select("x").mapInPandas(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas()
-    g = np.zeros((width + 1) ** 2)
-    g[found["i"]] = found["s"]
-    g = g.reshape(width + 1, width + 1)
+    whole = F.array(*[F.sum(F.col("s")[j]) for j in range(width + 1)]).alias("s")
+    found = profiles.select("x").mapInPandas(sums, "i int, s array<double>").groupBy("i").agg(whole).orderBy("i").toPandas()
+    g = _matrix(found["s"], width + 1)
+    if not len(g):
+        return np.zeros(width), np.zeros((width, 0))
     n = max(g[-1, -1], 1.0)
     mean = g[-1, :-1] / n
     value, vector = np.linalg.eigh(g[:-1, :-1] / n - np.outer(mean, mean))
-    lead = np.argsort(-value)[: min(most, width)]
-    lead = lead[value[lead] > 1e-9]
+    value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
+    lead = np.flatnonzero(value > 1e-9)
+    if len(lead):
+        lead = lead[: 1 + np.searchsorted(np.cumsum(value[lead]), explained * value[lead].sum() * (1 - 1e-12))]
     vector = vector[:, lead]
     # One sign of the two that an axis can have: that of its largest entry.
     return mean, vector * np.sign(vector[np.abs(vector).argmax(axis=0), np.arange(len(lead))])
@@ -82,115 +87,120 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 
 def unit_profiles(profiles: DataFrame, mean: np.ndarray, directions: np.ndarray, seed: int = 0) -> DataFrame:
-    """``key, order, z``: unit vectors in the directions' space, and the seeded hash of the key. A record at the mean has the zero vector."""
+    """``key, order, z``: unit vectors in the directions' space, and the seeded hash of the key.
+
+    One more place holds 1 for a record at the mean, which so is similar to its like alone.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             z = (np.log1p(_matrix(b["x"], len(mean))) - mean) @ directions
-            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+            size = np.linalg.norm(z, axis=1, keepdims=True)
+            z = np.hstack([np.where(size < 1e-12, 0, z / np.maximum(size, 1e-12)), size < 1e-12])
             yield b[["key", "order"]].assign(z=list(z.astype(np.float32)))
 
     return profiles.select("key", F.xxhash64(F.lit(seed), "key").alias("order"), "x").mapInPandas(run, "key bigint, order bigint, z array<float>")
 
 
-def pivots(units: DataFrame, width: int, threshold: float) -> np.ndarray:
-    """The pivots' vectors, one per row, in hash order of their rounds.
+def pivots(units: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The rows of ``units`` (key, order, z) that are pivots.
 
-    A round brings at most ``LARGEST_ROUND`` vectors to the driver. The records
-    similar to no pivot so far are kept as a table.
+    A round looks at the free records of lowest hash, so whatever precedes one of
+    them is among them too: those that no similar one precedes are local minima
+    of all free records. A round's records and pivots are ``BLOCK`` at most; the
+    pivots are a table, and so are the records still free.
     """
     free, batch, made = units, FIRST_ROUND, []
     while True:
-        low = free.orderBy("order", "key").limit(batch).select("z").toPandas()
-        if not len(low):
-            return np.concatenate(made) if made else np.zeros((0, width))
-        z = _matrix(low["z"], width)
-        near = z @ z.T >= threshold
-        new: list[int] = []
-        for i in range(len(z)):
-            if not near[i, new].any():
-                new.append(i)
-        found = z[new]
-        made.append(found)
-        last = len(low) < batch
-
-        def still_free(batches: Iterator[pd.DataFrame], found: np.ndarray = found) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                zb = _matrix(b["z"], width)
-                # A record at the mean is similar to nothing, itself included; it is done when it was a pivot.
-                taken = (zb @ found.T >= threshold).any(axis=1) | ((zb == 0).all(axis=1) & (found == 0).all(axis=1).any())
-                yield b[~taken]
-
-        if last:
-            return np.concatenate(made)
-        free, batch = cut(free.mapInPandas(still_free, units.schema)), min(batch * 2, LARGEST_ROUND)
+        low = cut(free.orderBy("order", "key").limit(batch))
+        seen = low.orderBy("order", "key").toPandas()
+        if not len(seen):
+            return reduce(DataFrame.unionByName, made) if made else low
 
+        def minima(batches: Iterator[pd.DataFrame], z: np.ndarray = _matrix(seen["z"], width), order: np.ndarray = seen["order"].to_numpy(), key: np.ndarray = seen["key"].to_numpy()) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                o, k = b["order"].to_numpy()[:, None], b["key"].to_numpy()[:, None]
+                before = (order < o) | ((order == o) & (key < k))
+                yield b[~(before & (_matrix(b["z"], width) @ z.T >= threshold)).any(axis=1)]
 
-def _assigned(units: DataFrame, centres: np.ndarray, width: int, extra: str = "") -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = _matrix(b["z"], width) @ centres.T
-            at = s.argmax(axis=1) if len(centres) else np.zeros(len(b), int)
-            yield b.assign(cluster=at, closeness=s[np.arange(len(b)), at])
+        new = cut(low.repartition(units.sparkSession.sparkContext.defaultParallelism, "key").mapInPandas(minima, units.schema))
+        made.append(new)
 
-    return units.mapInPandas(run, "key bigint, order bigint, z array<float>, cluster bigint, closeness double")
+        def still_free(batches: Iterator[pd.DataFrame], z: np.ndarray = _matrix(new.select("z").toPandas()["z"], width)) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                # A pivot is similar to itself, but for the last digit.
+                yield b[~(_matrix(b["z"], width) @ z.T >= min(threshold, 1 - 1e-6)).any(axis=1)]
 
+        free, batch = cut(free.mapInPandas(still_free, units.schema)), min(batch * 2, BLOCK)
 
-def medoids(units: DataFrame, centres: np.ndarray, width: int) -> np.ndarray:
-    """The medoids of the clusters around ``centres``: the member with the highest sum of cosines to all members.
 
-    That sum is the product with the sum of the members' vectors, so two passes
-    over all records find it exactly; each task sends one row per cluster. Empty
-    clusters are left out.
-    """
+def _blocks(centres: DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of a table of centres, ``BLOCK`` at a time."""
+    rows = []
+    for r in centres.toLocalIterator():
+        rows.append(r)
+        if len(rows) == BLOCK:
+            yield pd.DataFrame(rows, columns=centres.columns)
+            rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=centres.columns)
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(centres), width))
-        for b in batches:
-            z = _matrix(b["z"], width)
-            np.add.at(total, (z @ centres.T).argmax(axis=1), z)
-        yield pd.DataFrame({"i": np.arange(total.size), "s": total.ravel()})
 
-    found = units.mapInPandas(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas()
-    total = np.zeros(len(centres) * width)
-    total[found["i"]] = found["s"]
-    total = total.reshape(len(centres), width)
+def assigned(units: DataFrame, centres: DataFrame, width: int) -> DataFrame:
+    """``key, z, cluster, closeness``: each record with the closest of ``centres`` (cluster, z); of equals the one with the smaller number.
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[int, tuple] = {}
-        for b in batches:
-            z = _matrix(b["z"], width)
-            at = (z @ centres.T).argmax(axis=1)
-            score = np.round((z * total[at]).sum(axis=1), 6)
-            for r in pd.DataFrame({"at": at, "score": score, "key": b["key"], "r": np.arange(len(b))}).sort_values(["score", "key"], ascending=[False, True]).drop_duplicates("at").itertuples():
-                if r.at not in kept or (-r.score, r.key) < kept[r.at][:2]:
-                    kept[r.at] = (-r.score, r.key, b["z"].iloc[r.r])
-        yield pd.DataFrame([(c, -s, k, v) for c, (s, k, v) in kept.items()], columns=["cluster", "score", "key", "z"])
+    Centres come to the tasks in blocks, one after the other, so a task holds no
+    more than one of them, however many clusters there are.
+    """
+    out = units.select("key", "z", F.lit(None).cast("bigint").alias("cluster"), F.lit(-2.0).alias("closeness"))
+    for block in _blocks(centres.select("cluster", "z").orderBy("cluster")):
 
-    top = units.mapInPandas(best, "cluster bigint, score double, key bigint, z array<float>")
-    one = top.groupBy("cluster").agg(F.min_by("z", F.struct(-F.col("score"), "key")).alias("z")).orderBy("cluster").toPandas()
-    return _matrix(one["z"], width)
+        def run(batches: Iterator[pd.DataFrame], names: np.ndarray = block["cluster"].to_numpy(), z: np.ndarray = _matrix(block["z"], width)) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                # Rounded, so that equal ones are equal in every batch.
+                s = np.round(_matrix(b["z"], width) @ z.T, 9)
+                at = s.argmax(axis=1)
+                best = s[np.arange(len(b)), at]
+                nearer = best > b["closeness"].to_numpy()
+                # A number, or none yet, in one column of 64 bits.
+                cluster = b["cluster"].astype("Int64").where(~nearer, names[at])
+                yield b[["key", "z"]].assign(cluster=cluster, closeness=np.where(nearer, best, b["closeness"]))
+
+        out = out.mapInPandas(run, "key bigint, z array<float>, cluster bigint, closeness double")
+        if len(block) == BLOCK:
+            out = cut(out)
+    return cut(out)
+
+
+def medoids(members: DataFrame, width: int) -> DataFrame:
+    """``cluster, z``: the medoid of each cluster of ``members`` (key, z, cluster): the member with the highest sum of cosines to all members.
+
+    That sum is the product with the sum of the members' vectors, which is made
+    before the shuffle, so a hot cluster is one row of each task.
+    """
+    total = members.groupBy("cluster").agg(F.array(*[F.sum(F.col("z")[i].cast("double")) for i in range(width)]).alias("s"))
+    score = reduce(lambda a, b: a + b, [F.col("z")[i].cast("double") * F.col("s")[i] for i in range(width)])
+    scored = members.join(total, "cluster").select("cluster", "z", F.struct(F.round(score, 6).alias("score"), (-F.col("key")).alias("k")).alias("best"))
+    return scored.groupBy("cluster").agg(F.max_by("z", "best").alias("z"))
 
 
 def cluster_cells(packed: DataFrame, threshold: float = 0.6, least_total: int = 20, rounds: int = 2, seed: int = 0) -> DataFrame:
     """``key, cluster, closeness``: every cell whose counts sum to ``least_total`` at least, with its cluster.
 
-    ``closeness`` is the cosine to the cluster's medoid. Clusters are numbered
-    in the order of their pivots' hashes; their number follows from the data.
-    Same input, seed and threshold give the same clusters, whatever the
-    partitions. No cells give no rows.
+    ``closeness`` is the cosine to the cluster's medoid. A cluster has the key of
+    its pivot as its number; how many there are follows from the data. Same
+    input, seed and threshold give the same clusters, whatever the partitions.
+    No cells give no rows.
     """
     panel = [r[0] for r in packed.select(F.explode("codes").alias("c")).select(F.shiftright("c", 21)).distinct().collect()]
     profiles = cut(count_profiles(packed, panel, least_total))
     mean, directions = components(profiles, len(panel))
-    width = directions.shape[1]
-    if not width:
-        return profiles.select("key", F.lit(0).cast("bigint").alias("cluster"), F.lit(1.0).alias("closeness"))
+    width = directions.shape[1] + 1
     units = cut(unit_profiles(profiles, mean, directions, seed))
-    centres = pivots(units, width, threshold)
+    centres = pivots(units, width, threshold).select(F.col("key").alias("cluster"), "z")
     for _ in range(rounds):
-        centres = medoids(units, centres, width)
-    return _assigned(units, centres, width).select("key", "cluster", "closeness")
+        centres = cut(medoids(assigned(units, centres, width), width))
+    return assigned(units, centres, width).select("key", "cluster", "closeness")
 
 
 def prevailing_labels(clustered: DataFrame, labels: DataFrame) -> DataFrame:

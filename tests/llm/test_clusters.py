@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from chronocount.llm.clusters import cluster_cells, describe, medoids, pivots, prevailing_labels
+from chronocount.llm.clusters import FIRST_ROUND, assigned, cluster_cells, components, describe, medoids, pivots, prevailing_labels
 from chronocount.operators.counts import pack_by_cell
 
 
@@ -28,26 +30,49 @@ def test_partitions_do_not_matter(spark):
     assert out[0] == out[1]
 
 
-def test_pivots_are_those_of_the_serial_algorithm(spark):
+@pytest.mark.parametrize(("n", "dim", "threshold"), [(600, 3, 0.9), (3000, 8, 0.85)])
+def test_pivots_are_those_of_the_serial_algorithm(spark, n, dim, threshold):
     rng = np.random.default_rng(1)
-    z = rng.normal(size=(600, 3))
+    z = rng.normal(size=(n, dim))
     z = (z / np.linalg.norm(z, axis=1, keepdims=True)).astype(np.float32)
-    order = rng.permutation(600)
-    units = spark.createDataFrame([(i, int(order[i]), z[i].tolist()) for i in range(600)], "key bigint, order bigint, z array<float>")
-    serial, free = [], np.ones(600, bool)
+    order = rng.permutation(n)
+    units = spark.createDataFrame([(i, int(order[i]), z[i].tolist()) for i in range(n)], "key bigint, order bigint, z array<float>")
+    serial, free = [], np.ones(n, bool)
     for i in np.argsort(order):
         if free[i]:
-            serial.append(i)
-            free &= z.astype(float) @ z[i].astype(float) < 0.9
-    got = pivots(units, 3, 0.9)
-    assert np.allclose(got, z[serial])
-    best = medoids(units, got, 3)
-    at = (z.astype(float) @ got.T).argmax(1)
-    for k in range(3):
+            serial.append(int(i))
+            free &= z.astype(float) @ z[i].astype(float) < threshold
+    got = pivots(units, dim, threshold)
+    assert {r["key"] for r in got.collect()} == set(serial) and (dim == 3 or len(serial) > FIRST_ROUND)
+    members = assigned(units, got.select(F.col("key").alias("cluster"), "z"), dim)
+    names = np.array(sorted(serial))
+    at = names[(z.astype(float) @ z[names].T.astype(float)).argmax(1)]
+    assert {r["key"]: r["cluster"] for r in members.collect()} == dict(enumerate(at.tolist()))
+    best = {r["cluster"]: r["z"] for r in medoids(members, dim).collect()}
+    assert set(best) == set(serial)
+    for k in serial[:5]:
         own = z[at == k].astype(float)
         assert np.allclose(best[k], own[(own @ own.T).sum(1).argmax()], atol=1e-5)
 
 
+def test_blocks_of_centres(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(200, 4)).astype(np.float32)
+    units = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(z)], "key bigint, order bigint, z array<float>")
+    centres = units.filter("key < 50").select(F.col("key").alias("cluster"), "z")
+    whole = {tuple(r) for r in assigned(units, centres, 4).drop("z").collect()}
+    monkeypatch.setattr("chronocount.llm.clusters.BLOCK", 7)
+    assert {tuple(r) for r in assigned(units, centres, 4).drop("z").collect()} == whole
+
+
+def test_components_explain_the_variance(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(np.exp(rng.normal(size=(500, 3)) * [1.0, 0.5, 0.1] + 5)).astype(int)
+    profiles = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "key bigint, total bigint, x array<int>")
+    mean, one = components(profiles, 3, 0.7)
+    assert np.allclose(mean, np.log1p(x).mean(axis=0)) and one.shape == (3, 1) and components(profiles, 3, 0.9)[1].shape == (3, 2) and components(profiles, 3, 1.0)[1].shape == (3, 3)
+
+
 def test_labels_and_description(spark):
     clustered = spark.createDataFrame([(1, 0, 0.9), (2, 0, 0.95), (3, 0, 0.9), (4, 1, 1.0)], "key bigint, cluster bigint, closeness double")
     labels = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, None), (9, "c")], "key bigint, label string")
