@@ -1,21 +1,31 @@
 """Percentiles of very large numeric columns.
 
 Method: exact bisection. For each group and percentile an interval of values is
-kept; a pass counts the rows up to the middles of all intervals at once, and the
-half that holds the target rank stays, until no interval is wider than the error
-that is allowed. The passes run over counts of values per group, which are made
-per part (dataset, day) and simply add up.
+kept; a pass counts the rows up to middles inside all intervals at once, and the
+part that holds the target rank stays, until no interval is wider than the error
+that is allowed. Values are bisected as 64-bit integers in their order, so there
+is an end after 64 halvings whatever the range. The passes run over counts of
+values per group, which are made per part (dataset, day) and simply add up; rows
+outside all open intervals are left behind, so of a continuous column each pass
+reads a part only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from chronocount.session import cut
 
+#: Parts that a pass divides each interval into: three halvings at once.
+WAYS = 8
+
 
 def value_counts(rows: DataFrame, groups: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """``groups, v, n``: how often each value occurs in each group; the summary that can be combined.
@@ -29,62 +39,99 @@ def value_counts(rows: DataFrame, groups: Sequence[str], value: str, weight: str
     return rows.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*groups, v.alias("v")).agg(n.cast("bigint").alias("n"))
 
 
+def _image(v: np.ndarray) -> np.ndarray:
+    bits = (v.astype(np.float64) + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+def _to_image(v: pd.Series) -> pd.Series:
+    return pd.Series(_image(v.to_numpy()))
+
+
+def _from_image(i: pd.Series) -> pd.Series:
+    bits = i.to_numpy(np.int64)
+    return pd.Series((bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64))
+
+
+def image(v: Column) -> Column:
+    """A double as a 64-bit integer of the same order; -0.0 is 0.0."""
+    return pandas_udf(_to_image, "bigint")(v)
+
+
+def from_image(i: Column) -> Column:
+    """The double of an image."""
+    return pandas_udf(_from_image, "double")(i)
+
+
 def percentiles(summary: DataFrame, groups: Sequence[str], at: Sequence[float], error: float = 0.0, whole: bool = False) -> DataFrame:
     """``groups, n, p, value`` for each group of a ``value_counts`` summary and each percentile of ``at``.
 
     The percentile p of n values is the smallest value with at least p * n
     values up to it (the first value for p = 0). ``value`` is not below it and
-    above by ``error`` at most; with ``whole`` the values are whole numbers and
-    ``error`` = 0 gives the percentile itself. Without ``whole`` an ``error`` of 0
-    bisects to neighbouring doubles. An empty summary gives no rows. Infinite
-    values are the ends of the range of doubles.
+    above by ``error`` at most; an ``error`` of 0 gives the percentile itself.
+    With ``whole`` the values are whole numbers (bisected as such, in fewer
+    passes). An empty summary gives no rows. Infinite values are values.
     """
-    keys = list(groups)
-    largest = 1.7976931348623157e308
-    data = cut(
-        summary.withColumn("v", F.least(F.greatest("v", F.lit(-largest)), F.lit(largest)))
-        .groupBy(F.struct(*keys).alias("g"), "v").agg(F.sum("n").alias("n")).filter("n > 0")
-    )
-    ends = data.groupBy("g").agg(F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    keys, count = list(groups), len(at)
+    v = F.col("v").cast("bigint") if whole else image(F.col("v"))
+    data = cut(summary.select(F.struct(*keys).alias("g"), v.alias("v"), "n").groupBy("g", "v").agg(F.sum("n").alias("n")).filter("n > 0"))
     rank = lambda p: F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)).cast("bigint")
-    # An interval is open below and closed above: the rank lies in (low, high].
-    below = F.col("least") - 1 if whole else F.col("least")
-    state = ends.select("g", "n", *[x for i, p in enumerate(at) for x in (rank(p).alias(f"r{i}"), below.alias(f"low{i}"), F.col("most").alias(f"high{i}"))])
-    if not whole:
-        # The lowest value itself may hold the rank.
-        lowest = data.join(ends.select("g", "least"), "g").filter("v = least").select("g", F.col("n").alias("x"))
-        state = state.join(lowest, "g")
-        for i in range(len(at)):
-            state = state.withColumn(f"high{i}", F.when(F.col("x") >= F.col(f"r{i}"), F.col(f"low{i}")).otherwise(F.col(f"high{i}")))
-        state = state.drop("x")
-    middle = lambda i: F.floor(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) / 2) if whole else F.col(f"low{i}") / 2 + F.col(f"high{i}") / 2
-    width = max(error, 1.0) if whole else error
+    ends = data.groupBy("g").agg(F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    # An interval is open below and closed above, and a rank counts from its lower end: the rank-th row of (low, high] is looked for.
+    state = ends.select("g", "n", *[x for i, p in enumerate(at) for x in (rank(p).alias(f"r{i}"), (F.col("least") - 1).alias(f"low{i}"), F.col("most").alias(f"high{i}"))])
+    turn = 0
     while True:
         state = cut(state)
-        mids = state.select("*", *[middle(i).cast("double").alias(f"mid{i}") for i in range(len(at))])
-        # Open: wider than allowed and still to be halved.
-        open_ = [(F.col(f"high{i}") - F.col(f"low{i}") > width) & (F.col(f"mid{i}") > F.col(f"low{i}")) & (F.col(f"mid{i}") < F.col(f"high{i}")) for i in range(len(at))]
-        busy = mids.filter(any_of(open_))
+        # Open: wider than allowed and still to be divided.
+        if whole:
+            open_ = [F.col(f"high{i}") - F.col(f"low{i}") > F.lit(int(max(error, 1.0))) for i in range(count)]
+        else:
+            open_ = [_between("low", "high", i, 1) & ((from_image(F.col(f"high{i}")) - from_image(F.col(f"low{i}") + 1) > error) if error else F.lit(True)) for i in range(count)]
+        marked = state.select("*", *[o.alias(f"open{i}") for i, o in enumerate(open_)])
+        busy = marked.filter(any_of([F.col(f"open{i}") for i in range(count)]))
         if busy.isEmpty():
             break
-        counted = (
-            data.join(busy.select("g", *[f"mid{i}" for i in range(len(at))]), "g").groupBy("g")
-            .agg(*[F.sum(F.when(F.col("v") <= F.col(f"mid{i}"), F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(len(at))])
-        )
-        step = mids.join(counted, "g", "left")
+        inside = [F.col(f"open{i}") & (F.col("v") > F.col(f"low{i}")) & (F.col("v") <= F.col(f"high{i}")) for i in range(count)]
+        met = data.join(busy.drop("n", *[f"r{i}" for i in range(count)]), "g").filter(any_of(inside))
+        if turn in (1, 2, 4):
+            # What lies outside all intervals is not read again.
+            data = cut(met.select("g", "v", "n"))
+            met = data.join(busy.drop("n", *[f"r{i}" for i in range(count)]), "g")
+        counted = met.groupBy("g").agg(*[
+            F.sum(F.when(inside[i] & (F.col("v") <= middle(i, j)), F.col("n")).otherwise(0)).alias(f"c{i}_{j}") for i in range(count) for j in range(1, WAYS)
+        ])
+        step = marked.join(counted, "g", "left")
         moved = []
-        for i in range(len(at)):
-            up = open_[i] & (F.col(f"c{i}") < F.col(f"r{i}"))
-            down = open_[i] & (F.col(f"c{i}") >= F.col(f"r{i}"))
-            moved += [f"r{i}", F.when(up, F.col(f"mid{i}")).otherwise(F.col(f"low{i}")).alias(f"low{i}"), F.when(down, F.col(f"mid{i}")).otherwise(F.col(f"high{i}")).alias(f"high{i}")]
-        state = step.select("g", "n", *moved)
-    found = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"high{i}").alias("value")) for i, p in enumerate(at)]))
-    return state.select("g", "n", found.alias("f")).select("g.*", "n", "f.p", "f.value")
+        for i in range(count):
+            # The part whose counts reach the rank first; before it the rank falls by what lies below.
+            r, low, high, gone = F.col(f"r{i}"), F.col(f"low{i}"), F.col(f"high{i}"), F.lit(0)
+            new_low, new_high = low, high
+            for j in range(1, WAYS):
+                short = F.col(f"c{i}_{j}") < r
+                new_low, gone = F.when(short, middle(i, j)).otherwise(new_low), F.when(short, F.col(f"c{i}_{j}")).otherwise(gone)
+            for j in reversed(range(1, WAYS)):
+                new_high = F.when(F.col(f"c{i}_{j}") >= r, middle(i, j)).otherwise(new_high)
+            still = F.col(f"open{i}")
+            moved += [F.when(still, r - gone).otherwise(r).alias(f"r{i}"), F.when(still, new_low).otherwise(low).alias(f"low{i}"), F.when(still, new_high).otherwise(high).alias(f"high{i}")]
+        state, turn = step.select("g", "n", *moved), turn + 1
+    value = (lambda i: F.col(f"high{i}").cast("double")) if whole else (lambda i: from_image(F.col(f"high{i}")))
+    found = state.select("g", "n", *[value(i).alias(f"value{i}") for i in range(count)])
+    pair = F.explode(F.array(*[F.struct(F.lit(p).cast("double").alias("p"), F.col(f"value{i}").alias("value")) for i, p in enumerate(at)]))
+    return found.select("g", "n", pair.alias("f")).select("g.*", "n", "f.p", "f.value")
+
+
+def middle(i: int, j: int) -> Column:
+    """The whole part of low + (high - low) * j / WAYS of interval ``i``, without going beyond 64 bits."""
+    low, high = F.col(f"low{i}"), F.col(f"high{i}")
+    rest = lambda x: x.bitwiseAND(F.lit(WAYS - 1))
+    return F.shiftright(low, 3) * (WAYS - j) + F.shiftright(high, 3) * j + F.shiftright(rest(low) * (WAYS - j) + rest(high) * j, 3)
+
+
+def _between(low: str, high: str, i: int, gap: int) -> Column:
+    """high - low > gap, where the difference may go beyond 64 bits."""
+    return F.col(f"{high}{i}") > F.col(f"{low}{i}") + gap
 
 
-def any_of(conditions):
+def any_of(conditions: Sequence[Column]) -> Column:
     """Whether one of the conditions holds."""
-    first, *rest = conditions
-    for c in rest:
-        first = first | c
-    return first
+    return reduce(lambda a, b: a | b, conditions)

@@ -13,44 +13,45 @@ AT = (0.05, 0.25, 0.5, 0.75, 0.95)
 GROUPS = ["gene_id", "time_h", "cell_type"]
 
 
-def count_summary(spark: SparkSession, folder: str, part: str) -> DataFrame:
-    """``part, gene_id, time_h, cell_type, v, n``: all cells of ``cells`` that have a time, absent rows as 0.
+def count_summary(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """``keys, gene_id, v, n``: all cells of ``cells`` that have a time, absent rows as 0; ``v`` = 0 may come in two rows.
 
-    ``part`` is ``dataset`` or ``load_day`` of the cell. A missing type is the
-    type 'unknown'. A cell in which a gene was not measured doesn't count for it.
+    ``keys`` are of ``dataset``, ``load_day`` (of the cell), ``time_h`` and
+    ``cell_type``. A missing type is the type 'unknown'. A cell in which a gene
+    was not measured doesn't count for it.
     """
     cells = one_row_per_cell(read(spark, folder, "cells").select("cell_id", "dataset", "time_h", "cell_type", "load_ts")).filter("time_h is not null")
     group = cells.select(
-        "cell_id", (F.col("dataset") if part == "dataset" else F.to_date("load_ts").cast("string")).alias("part"),
-        "time_h", F.coalesce(plain_label("cell_type"), F.lit("unknown")).alias("cell_type"),
-    )
-    # Cells are joined while a cell is one row.
-    long = counts_long(pack_by_cell(read(spark, folder, "counts")).join(group, "cell_id"), "part", "time_h", "cell_type")
-    seen = cut(long.groupBy("part", "gene_id", "time_h", "cell_type", F.col("x").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+        "cell_id", "dataset", F.to_date("load_ts").cast("string").alias("load_day"), "time_h", F.coalesce(plain_label("cell_type"), F.lit("unknown")).alias("cell_type")
+    ).select("cell_id", *keys)
+    # Cells are joined while a cell is one row; groups travel as numbers.
+    number = F.xxhash64(*keys).alias("group")
+    packed = pack_by_cell(read(spark, folder, "counts")).join(group.select("cell_id", number), "cell_id")
+    seen = cut(counts_long(packed, "group").groupBy("group", "gene_id", "x").agg(F.count(F.lit(1)).alias("n")))
+    n_cells = cut(group.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells")).withColumn("group", number))
     # Zeros that have no row: all cells of a group less those with a row of the gene.
-    n_cells = group.groupBy("part", "time_h", "cell_type").agg(F.count(F.lit(1)).alias("n_cells"))
     panel = seen.agg(F.collect_set("gene_id").alias("panel"))  # one row
-    grid = n_cells.join(F.broadcast(panel)).select("part", "time_h", "cell_type", "n_cells", F.explode("panel").alias("gene_id"))
-    with_row = seen.groupBy("part", "gene_id", "time_h", "cell_type").agg(F.sum("n").alias("n_rows"))
-    absent = grid.join(with_row, ["part", *GROUPS], "left").select("part", *GROUPS, F.lit(0.0).alias("v"), (F.col("n_cells") - F.coalesce("n_rows", F.lit(0))).alias("n"))
-    return seen.filter("v is not null").select("part", *GROUPS, "v", "n").unionByName(absent.filter("n > 0"))
+    grid = n_cells.join(F.broadcast(panel)).select("group", "n_cells", F.explode("panel").alias("gene_id"))
+    with_row = seen.groupBy("group", "gene_id").agg(F.sum("n").alias("n_rows"))
+    absent = grid.join(with_row, ["group", "gene_id"], "left").select("group", "gene_id", F.lit(0).cast("bigint").alias("x"), (F.col("n_cells") - F.coalesce("n_rows", F.lit(0))).alias("n"))
+    all_ = seen.filter("x is not null").unionByName(absent.filter("n > 0"))
+    return all_.join(n_cells.select("group", *keys), "group").select(*keys, "gene_id", F.col("x").cast("double").alias("v"), "n")
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles over all datasets, from the summaries of each."""
-    merged = value_counts(count_summary(spark, folder, "dataset"), GROUPS, "v", "n")
-    return percentiles(merged, GROUPS, AT, whole=True)
+    """Percentiles by gene, time and cell type over all datasets."""
+    return percentiles(count_summary(spark, folder, ["time_h", "cell_type"]), GROUPS, AT, whole=True)
 
 
 def p1_dataset_medians(spark: SparkSession, folder: str) -> DataFrame:
-    """Medians per dataset and gene, over all times and types."""
-    merged = value_counts(count_summary(spark, folder, "dataset"), ["part", "gene_id"], "v", "n")
-    return percentiles(merged, ["part", "gene_id"], (0.5,), whole=True).withColumnRenamed("part", "dataset")
+    """Medians per dataset and gene, from the summaries of each of its times and types."""
+    merged = value_counts(count_summary(spark, folder, ["dataset", "time_h", "cell_type"]), ["dataset", "gene_id"], "v", "n")
+    return percentiles(merged, ["dataset", "gene_id"], (0.5,), whole=True)
 
 
 def p1_day_medians(spark: SparkSession, folder: str) -> DataFrame:
     """Medians per gene, combined from the summaries of each load day of a cell."""
-    merged = value_counts(count_summary(spark, folder, "load_day"), ["gene_id"], "v", "n")
+    merged = value_counts(count_summary(spark, folder, ["load_day"]), ["gene_id"], "v", "n")
     return percentiles(merged, ["gene_id"], (0.5,), whole=True)
 
 

@@ -1,9 +1,11 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from chronocount.llm.percentiles import percentiles, value_counts
+from chronocount.llm.percentiles import _from_image, _image, percentiles, value_counts
 
 
 def expected(values, p):
@@ -27,6 +29,12 @@ def test_against_sorting(spark, whole):
             assert got[g, p] == want if whole else want <= got[g, p] <= want + 1e-3
 
 
+def test_images_keep_the_order():
+    v = np.array([-math.inf, -1e308, -2.5, -1e-320, 0.0, 5e-324, 1.0, 1.5, 1e308, math.inf])
+    i = _image(v)
+    assert (np.diff(i) > 0).all() and _image(np.array([-0.0]))[0] == 0 and (_from_image(pd.Series(i)).to_numpy() == v).all()
+
+
 def test_error_bound_saves_passes(spark):
     rows = [("a", float(i * i)) for i in range(1000)]
     df = value_counts(spark.createDataFrame(rows, "g string, x double"), ["g"], "x")
@@ -37,8 +45,8 @@ def test_error_bound_saves_passes(spark):
 
 
 def test_edge_cases(spark):
-    rows = [("a", None), ("a", float("nan")), (None, 5.0), (None, 5.0), ("b", -3.0), ("c", float("inf"))]
+    rows = [("a", None), ("a", float("nan")), (None, 5.0), (None, 5.0), ("b", -3.0), ("c", float("inf")), ("d", -math.inf), ("d", 1e-300), ("d", math.inf)]
     df = spark.createDataFrame(rows, "g string, x double")
     got = {(r["g"], r["n"], r["value"]) for r in percentiles(value_counts(df, ["g"], "x"), ["g"], (0.5,)).collect()}
-    assert got == {(None, 2, 5.0), ("b", 1, -3.0), ("c", 1, 1.7976931348623157e308)}
+    assert got == {(None, 2, 5.0), ("b", 1, -3.0), ("c", 1, math.inf), ("d", 3, 1e-300)}
     assert percentiles(value_counts(df.limit(0), ["g"], "x"), ["g"], (0.5,)).count() == 0
