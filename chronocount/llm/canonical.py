@@ -1,10 +1,11 @@
 """Mapping free-entered names to a reference list.
 
 Method: token-level repair. Each distinct token of the values is joined to the
-tokens of the reference list by edit distance, over their deletion variants, so
-it is an equi-join; corrected tokens are then combined with soft TF-IDF to rank
-the complete entries, and an entry stands only if it and the value agree in
-every number and differ by one slip at most.
+vocabulary of all tokens of the reference list by edit distance, over their
+deletion variants, so it is an equi-join; corrected tokens are then combined
+with soft TF-IDF to rank the complete entries, of which those below a score
+don't count. Behind it stands an exact check: value and entry agree in every
+number and, but for a slip or two, in their letters.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -57,25 +58,31 @@ def name_tokens(value: str) -> list[str]:
     return ["".join(tokens[:n]), *tokens[n:]] if n else []
 
 
-def osa_within_one(a: str, b: str) -> bool:
-    """Whether one insertion, deletion, substitution or swap of neighbours at most makes ``b`` of ``a``."""
+def osa_within(a: str, b: str, most: int = 1) -> bool:
+    """Whether ``most`` (0, 1 or more) insertions, deletions, substitutions or swaps of neighbours at most make ``b`` of ``a``."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 1:
+    if abs(len(a) - len(b)) > most or not most:
         return False
     i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    if len(a) == len(b):
-        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-    return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
+    a, b = a[i:], b[i:]
+    # The first difference is the place of a slip; each kind of it is tried.
+    return (
+        osa_within(a[1:], b[1:], most - 1) or osa_within(a[1:], b, most - 1) or osa_within(a, b[1:], most - 1)
+        or (len(a) > 1 and a[:2] == b[:2][::-1] and osa_within(a[2:], b[2:], most - 1))
+    )
+
 
+def _allowed(length: int, second_slip_from: int) -> int:
+    return 2 if length >= second_slip_from else 1
 
-def slips(value: list[str], entry: list[str]) -> int:
-    """0 for equal names, 1 for names within one slip in their letters, else 2. All numbers must be equal."""
-    numbers = [[t for t in name if t.isdigit()] for name in (value, entry)]
-    if numbers[0] != numbers[1]:
-        return 2
+
+def same_name(value: list[str], entry: list[str], second_slip_from: int) -> bool:
+    """Whether all numbers are equal and the letters are within the slips allowed for their number."""
+    if [t for t in value if t.isdigit()] != [t for t in entry if t.isdigit()]:
+        return False
     a, b = ("".join(t + "-" * t.isdigit() for t in name) for name in (value, entry))
-    return 0 if a == b else 1 if osa_within_one(a, b) else 2
+    return osa_within(a, b, _allowed(sum(c.isalpha() for c in a), second_slip_from))
 
 
 def _all_tokens(values: pd.Series) -> pd.Series:
@@ -86,56 +93,65 @@ def _tokens(column: str) -> Column:
     return pandas_udf(_all_tokens, "array<string>")(column)
 
 
-def _slips(a: str, b: str) -> Column:
+def _same_name(a: str, b: str, second_slip_from: int) -> Column:
     def both(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([slips(list(v), list(e)) for v, e in zip(x, y)], dtype="int32")
+        return pd.Series([same_name(list(v), list(e), second_slip_from) for v, e in zip(x, y)], dtype=bool)
 
-    return pandas_udf(both, "int")(a, b)
+    return pandas_udf(both, "boolean")(a, b)
 
 
-def _close(a: str, b: str) -> Column:
+def _close(a: str, b: str, second_slip_from: int) -> Column:
     def both(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([osa_within_one(*pair) for pair in zip(x, y)], dtype=bool)
+        return pd.Series([osa_within(v, e, _allowed(len(v), second_slip_from)) for v, e in zip(x, y)], dtype=bool)
 
     return pandas_udf(both, "boolean")(a, b)
 
 
-def _deletions(word: str) -> Column:
+def _deletions(word: Column) -> Column:
     """The word and all that one deletion makes of it."""
-    cut = F.transform(
-        F.sequence(F.lit(1), F.length(word)),
-        lambda i: F.concat(F.substring(F.col(word), F.lit(1), i - 1), F.substring(F.col(word), i + 1, F.length(word))),
-    )
-    return F.array_distinct(F.concat(F.array(F.col(word)), cut))
+    cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.when(F.length(word) > 0, F.array_distinct(F.concat(F.array(word), cut))).otherwise(F.array(word))
+
 
+def _variants(word: Column, second_slip_from: int | Column) -> Column:
+    """What up to one deletion makes of the word, up to two from a length on."""
+    twice = F.array_distinct(F.flatten(F.transform(_deletions(word), _deletions)))
+    return F.when(F.length(word) >= second_slip_from, twice).otherwise(_deletions(word))
 
-def repair_tokens(tokens: DataFrame, vocabulary: DataFrame, min_length: int = 2) -> DataFrame:
+
+def repair_tokens(tokens: DataFrame, vocabulary: DataFrame, min_length: int = 2, second_slip_from: int = 16) -> DataFrame:
     """``token, known, similarity`` from ``token`` and ``known``, one column each.
 
-    A token of the vocabulary stands for itself alone. Another one stands for
-    every word of the vocabulary within one slip, if it has ``min_length``
-    letters or more, each with 1 - 1 / length.
+    A token of the vocabulary stands for itself alone, and so does a number. Any
+    other token of ``min_length`` letters or more stands for every word of the
+    vocabulary within one slip (two from ``second_slip_from`` letters on), each
+    with 1 - 1 / length. Null and empty tokens stand for nothing.
     """
     same = tokens.join(vocabulary, F.col("token") == F.col("known")).select("token", "known", F.lit(1.0).alias("similarity"))
-    longest = vocabulary.agg(F.coalesce(F.max(F.length("known")), F.lit(0)).alias("longest"))
-    odd = tokens.join(vocabulary, F.col("token") == F.col("known"), "left_anti").filter(F.length("token") >= min_length)
-    # A token longer than any known one by more than a slip needs no variants.
-    odd = odd.join(F.broadcast(longest)).filter(F.length("token") <= F.col("longest") + 1)
-    a = odd.select("token", F.explode(_deletions("token")).alias("d"))
-    b = vocabulary.filter(F.length("known") >= min_length - 1).select("known", F.explode(_deletions("known")).alias("d"))
-    near = a.join(b, "d").select("token", "known").distinct().filter(_close("token", "known"))
+    letters = vocabulary.filter(~F.col("known").rlike("^[0-9]*$"))
+    longest = letters.agg(F.coalesce(F.max(F.length("known")), F.lit(0)).alias("longest"))
+    odd = tokens.join(vocabulary, F.col("token") == F.col("known"), "left_anti").filter((F.length("token") >= min_length) & ~F.col("token").rlike("^[0-9]*$"))
+    # A token longer than any known one by more than the slips needs no variants.
+    odd = odd.join(F.broadcast(longest)).filter(F.length("token") <= F.col("longest") + 2)
+    a = odd.select("token", F.explode(_variants(F.col("token"), second_slip_from)).alias("d"))
+    b = letters.filter(F.length("known") >= min_length - 1).select("known", F.explode(_variants(F.col("known"), second_slip_from - 2)).alias("d"))
+    near = a.join(b, "d").select("token", "known").distinct().filter(_close("token", "known", second_slip_from))
     length = F.greatest(F.length("token"), F.length("known"))
     return same.unionByName(near.select("token", "known", (1 - 1 / length).alias("similarity")))
 
 
-def match_names(values: DataFrame, reference: DataFrame, ref_id: str, ref_name: str) -> DataFrame:
+def match_names(values: DataFrame, reference: DataFrame, ref_id: str, ref_name: str, least_score: float = 0.5, second_slip_from: int = 16) -> DataFrame:
     """``value, ref_id, score`` for each distinct ``value`` (a column of ``values``) that is neither null nor blank.
 
-    ``ref_id`` is null where no entry agrees with the value in every number and,
-    but for one slip, in every letter. Of several the one with fewer slips
-    stands, then the higher score, then the smaller id. A name that the
-    reference has twice has the smaller id; reference rows without a name are
-    not looked at.
+    ``score`` is the soft TF-IDF cosine of the value's repaired tokens and the
+    entry's tokens. ``ref_id`` is null where no entry reaches ``least_score`` and
+    agrees with the value in every number and, but for the slips allowed, in
+    every letter. Of several the highest score stands, then the smaller id. A
+    name that the reference has twice has the smaller id; reference rows without
+    a name are not looked at.
+
+    Values meet entries by repaired stem and all numbers together, so an entry
+    list in which one stem has a third of all names is still met name by name.
     """
     distinct = values.select("value").filter(F.trim(F.regexp_replace("value", r"[\s\p{Z}\p{Cf}]+", "")) != "").distinct()
     read = cut(distinct.withColumn("tokens", _tokens("value")))
@@ -143,28 +159,30 @@ def match_names(values: DataFrame, reference: DataFrame, ref_id: str, ref_name:
         reference.filter(F.col(ref_name).isNotNull()).groupBy(F.col(ref_name).alias("name")).agg(F.min(ref_id).alias("ref"))
         .withColumn("entry", _tokens("name")).filter(F.size("entry") > 0)
     )
-    entries = cut(entries.withColumn("known", F.col("entry")[0]))
+    entries = cut(entries)
     # How rare a token is among the entries weighs it; one that no entry has is the rarest.
     n = entries.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    weight = entries.select(F.explode(F.array_distinct("entry")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
-    weight = weight.select("t", F.log(1 + F.col("n") / F.col("df")).alias("w"))
-    norm = lambda df, tokens, *keys: (
-        df.select(*keys, F.explode(tokens).alias("t")).join(weight, "t", "left")
-        .groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("t", F.coalesce("w", F.lit(8.0)).alias("w")))).alias("weights"))
+    known = entries.select(F.explode(F.array_distinct("entry")).alias("known")).groupBy("known").agg(F.count(F.lit(1)).alias("df"))
+    known = cut(known.join(F.broadcast(n)).select("known", F.log(1 + F.col("n") / F.col("df")).alias("known_w")))
+    tokens = read.select(F.explode("tokens").alias("token")).distinct()
+    repaired = (
+        repair_tokens(tokens, known.select("known"), second_slip_from=second_slip_from).join(known, "known")
+        .groupBy("token").agg(F.collect_list(F.struct("known", (F.col("similarity") * F.col("known_w")).alias("w"), "similarity", "known_w")).alias("fits"))
     )
-    e = entries.join(norm(entries, "entry", "ref"), "ref").withColumnRenamed("weights", "entry_w")
+    rarest = F.log(1 + F.col("n"))
+    # The weight of a token that was repaired is that of the rarest one, like that of an unknown one.
+    own = F.coalesce(F.get(F.filter("fits", lambda f: f["similarity"] == 1.0), F.lit(0))["known_w"], rarest)
     named = read.filter(F.size("tokens") > 0)
-    v = named.join(norm(named, "tokens", "value"), "value").withColumn("token", F.col("tokens")[0])
-    fixed = repair_tokens(v.select("token").distinct(), e.select("known").distinct())
-    pairs = v.join(fixed, "token").join(e, "known")
-    square = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, w: s + w * w)
-    rest = F.array_intersect(F.slice("tokens", 2, F.size("tokens")), F.slice("entry", 2, F.size("entry")))
-    product = F.aggregate(rest, F.col("similarity") * F.element_at("weights", F.col("token")) * F.element_at("entry_w", F.col("known")),
-        lambda s, t: s + F.element_at("weights", t) * F.element_at("entry_w", t))
-    scored = pairs.withColumn("score", product / F.sqrt(square("weights") * square("entry_w")))
-    digits = lambda c: F.filter(c, lambda t: t.rlike("^[0-9]"))
-    scored = scored.filter(digits("tokens") == digits("entry")).withColumn("slips", _slips("tokens", "entry")).filter("slips < 2")
-    order = Window.partitionBy("value").orderBy("slips", F.col("score").desc(), "ref")
-    ranked = scored.select("value", "ref", "slips", "score").withColumn("rank", F.row_number().over(order))
-    matched = ranked.filter("rank = 1").select("value", "ref", "score")
-    return distinct.join(matched, "value", "left").select("value", F.col("ref").alias("ref_id"), "score")
+    parts = named.select("value", F.posexplode("tokens").alias("at", "token")).join(repaired, "token", "left").join(F.broadcast(n))
+    v = parts.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("at", own.alias("w"), F.col("fits").alias("fits")))).alias("parts"))
+    numbers = lambda c: F.concat_ws("-", F.filter(c, lambda t: t.rlike("^[0-9]"))).alias("numbers")
+    v = named.join(v, "value").select("value", "tokens", "parts", numbers("tokens"), F.explode(F.col("parts")[0]["fits"]).alias("f")).withColumn("stem", F.col("f.known")).drop("f")
+    each = entries.select("ref", "entry", F.posexplode("entry").alias("at", "known")).join(known, "known").groupBy("ref", "entry").agg(F.sum(F.col("known_w") * F.col("known_w")).alias("square"))
+    e = each.select("ref", "entry", "square", numbers("entry"), F.col("entry")[0].alias("stem"))
+    pairs = v.join(e, ["stem", "numbers"])
+    best = lambda p: F.coalesce(F.array_max(F.transform(F.filter(p["fits"], lambda f: F.array_contains(F.col("entry"), f["known"])), lambda f: f["w"])), F.lit(0.0))
+    product = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["w"] * best(p))
+    norm = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["w"] * p["w"])
+    scored = pairs.select("value", "tokens", "ref", "entry", F.round(product / F.sqrt(norm * F.col("square")), 9).alias("score")).filter(F.col("score") >= least_score)
+    ranked = scored.filter(_same_name("tokens", "entry", second_slip_from)).groupBy("value").agg(F.max_by(F.struct("ref", "score"), F.struct("score", -F.col("ref"))).alias("m"))
+    return distinct.join(ranked, "value", "left").select("value", F.col("m.ref").alias("ref_id"), F.col("m.score").alias("score"))

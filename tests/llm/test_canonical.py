@@ -1,4 +1,7 @@
-from chronocount.llm.canonical import match_names, name_tokens, osa_within_one, slips
+from hypothesis import given
+from hypothesis import strategies as st
+
+from chronocount.llm.canonical import match_names, name_tokens, osa_within, repair_tokens, same_name
 
 GENES = [(0, "Stimulus"), (1, "Kewel55"), (2, "Nih6"), (3, "Nih9a"), (4, "Zok8-2"), (5, "LAGRITvaklu"), (6, "Boqgamma"), (7, "Dec6"), (8, "Kewel5-9"), (9, "QIT6C"), (10, "Nih9b"), (11, None)]
 
@@ -15,9 +18,33 @@ def test_tokens():
     assert name_tokens("12345") == [] == name_tokens("?") and name_tokens("X.Nih9a") == ["nih", "9", "a"] and name_tokens("g_QIT6C") == ["qit", "6", "c"]
 
 
-def test_one_slip():
-    assert all(osa_within_one("kewel", b) for b in ("kewel", "kwel", "kkewel", "kexel", "kweel")) and not osa_within_one("kewel", "kwle")
-    assert slips(["nih", "9", "a"], ["nih", "9", "b"]) == 1 and slips(["nih", "9"], ["nih", "6"]) == 2
+def osa(a, b):
+    """The distance by dynamic programming."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+@given(st.text("abc", max_size=7), st.text("abc", max_size=7), st.integers(0, 2))
+def test_slips_against_dynamic_programming(a, b, most):
+    assert osa_within(a, b, most) == (osa(a, b) <= most)
+
+
+def test_same_name():
+    assert all(osa_within("kewel", b) for b in ("kewel", "kwel", "kkewel", "kexel", "kweel")) and not osa_within("kewel", "kwle")
+    assert same_name(["nih", "9", "a"], ["nih", "9", "b"], 16) and not same_name(["nih", "9"], ["nih", "6"], 16)
+    assert same_name(["kexelx", "5"], ["kewel", "5"], 6) and not same_name(["kexelx", "5"], ["kewel", "5"], 16)
+
+
+def test_repairs(spark):
+    tokens = spark.createDataFrame([(t,) for t in ("kewel", "kwel", "9", "98", "n", "", None, "abcdefgh", "bacdefhg")], "token string")
+    vocabulary = spark.createDataFrame([(t,) for t in ("kewel", "kewell", "9", "abcdefgh")], "known string")
+    got = {(r["token"], r["known"]) for r in repair_tokens(tokens, vocabulary, second_slip_from=8).collect()}
+    assert got == {("kewel", "kewel"), ("kwel", "kewel"), ("9", "9"), ("abcdefgh", "abcdefgh"), ("bacdefhg", "abcdefgh")}
 
 
 def test_matches(spark):
