@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronocount.operators.counts import gene_and_x, unpacked
+
 
 def histogram(counts: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
     """``gene_id, by, x, n``: how many cells of each group have each count, zeros included; counts are summed before any window.
@@ -53,38 +59,66 @@ def ks_distance_matrix(hist: DataFrame) -> DataFrame:
     return ks.join(F.broadcast(steps), "time_h").join(F.broadcast(least)).select("gene_id", "time_h", (F.col("ks") * F.col("least") / (F.col("next") - F.col("time_h"))).alias("ks"))
 
 
-def wasserstein(hist: DataFrame, keys: list[str], side: Column) -> DataFrame:
-    """``keys, w1``: the transport cost in one dimension, the area between the two distribution functions."""
-    both = hist.withColumn("side", side).filter("side is not null").groupBy(*keys, "x").agg(
-        F.sum(F.when(F.col("side"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("side"), F.col("n")).otherwise(0)).alias("b")
-    )
-    whole = Window.partitionBy(*keys)
-    ordered = whole.orderBy("x")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(upto) / F.nullif(F.sum("a").over(whole), F.lit(0)) - F.sum("b").over(upto) / F.nullif(F.sum("b").over(whole), F.lit(0)))
-    width = F.coalesce(F.lead("x").over(ordered) - F.col("x"), F.lit(0))
-    return both.withColumn("area", gap * width).groupBy(*keys).agg(F.sum("area").alias("w1")).filter("w1 is not null")
-
+def transport_cost(hist: DataFrame, keys: list[str], side: Column) -> DataFrame:
+    """``keys, cost``: the least cost of moving one sample's counts to the other's, at the squared distance for each unit of weight.
 
-def pearson_matrix(counts: DataFrame, cells: DataFrame) -> DataFrame:
-    """``gene_a, gene_b, r`` (a < b) over all cells; null where a gene is constant.
-
-    Products are summed within a cell's rows, so work is cells times the square
-    of the genes seen in a cell, whatever the panel.
+    In one dimension both are moved in order: at every part of the weight at
+    which either distribution steps, its next value is known. Steps are kept as
+    whole numbers, counts of one side times the size of the other. Keys with one
+    sample only give no rows, rows with a null side are left out.
+    """
+    both = hist.withColumn("side", side).filter("side is not null").groupBy(*keys, "side", "x").agg(F.sum("n").cast("decimal(38,0)").alias("n")).filter("n > 0")
+    size = both.groupBy(*keys).agg(F.sum(F.when(F.col("side"), F.col("n"))).alias("na"), F.sum(F.when(~F.col("side"), F.col("n"))).alias("nb")).filter("na is not null and nb is not null")
+    upto = F.sum("n").over(Window.partitionBy(*keys, "side").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    steps = both.withColumn("upto", upto).join(size, keys).select(
+        *keys, (F.col("upto") * F.when(F.col("side"), F.col("nb")).otherwise(F.col("na"))).cast("double").alias("u"), (F.col("na") * F.col("nb")).cast("double").alias("whole"),
+        F.when(F.col("side"), F.col("x").cast("double")).alias("a"), F.when(~F.col("side"), F.col("x").cast("double")).alias("b"),
+    )
+    one = steps.groupBy(*keys, "u").agg(F.max("whole").alias("whole"), F.max("a").alias("a"), F.max("b").alias("b"))
+    order = Window.partitionBy(*keys).orderBy("u")
+    following = order.rowsBetween(0, Window.unboundedFollowing)
+    at = one.select(*keys, "whole", (F.col("u") - F.coalesce(F.lag("u").over(order), F.lit(0.0))).alias("w"), F.first("a", ignorenulls=True).over(following).alias("a"), F.first("b", ignorenulls=True).over(following).alias("b"))
+    return at.groupBy(*keys).agg(F.sum(F.col("w") / F.col("whole") * (F.col("a") - F.col("b")) ** 2).alias("cost"))
+
+
+def pearson_matrix(packed: DataFrame, panel: list[int], n: int) -> DataFrame:
+    """``gene_a, gene_b, r`` (a < b) of the genes of ``panel`` over ``n`` cells; null where a gene is constant.
+
+    ``packed`` is of ``pack_by_cell``: cells without rows are zeros. Each task
+    sums the products of all its cells, so what leaves it is the panel squared,
+    whatever the number of cells.
     """
-    n = cells.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    own = counts.join(cells.select("cell_id"), "cell_id", "left_semi")
-    sums = own.groupBy("gene_id").agg(F.sum("x").cast("double").alias("s"), F.sum(F.col("x").cast("double") * F.col("x")).alias("q"))
-    row = own.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("gene_id", "x"))).alias("g"))
-    a = row.select("g", F.explode("g").alias("a"))
-    pair = a.select(F.col("a.gene_id").alias("gene_a"), F.col("a.x").alias("xa"), F.explode(F.filter("g", lambda e: e["gene_id"] > F.col("a.gene_id"))).alias("b"))
-    product = pair.groupBy("gene_a", F.col("b.gene_id").alias("gene_b")).agg(F.sum(F.col("xa").cast("double") * F.col("b.x")).alias("p"))
-    sa, sb = (sums.select(*[F.col(c).alias(c + side) for c in ("gene_id", "s", "q")]) for side in ("_a", "_b"))
-    grid = sa.join(sb, F.col("gene_id_a") < F.col("gene_id_b"))
-    full = grid.join(product, (F.col("gene_id_a") == F.col("gene_a")) & (F.col("gene_id_b") == F.col("gene_b")), "left").join(F.broadcast(n))
-    cov = F.coalesce("p", F.lit(0.0)) - F.col("s_a") * F.col("s_b") / F.col("n")
-    spread = F.sqrt((F.col("q_a") - F.col("s_a") ** 2 / F.col("n")) * (F.col("q_b") - F.col("s_b") ** 2 / F.col("n")))
-    return full.select(F.col("gene_id_a").alias("gene_a"), F.col("gene_id_b").alias("gene_b"), F.when(spread > 1e-9, cov / spread).alias("r"))
+    genes = np.array(sorted(panel))
+    width = len(genes)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width + 1, width))
+        for b in batches:
+            for part in (b[i : i + 4096] for i in range(0, len(b), 4096)):
+                _, code = unpacked(part)
+                gene, x = gene_and_x(code)
+                m = np.zeros((len(part), width))
+                at = np.minimum(np.searchsorted(genes, gene), max(width - 1, 0))
+                known = genes[at] == gene if width else np.zeros(0, bool)
+                m[np.repeat(np.arange(len(part)), part["codes"].str.len())[known], at[known]] = np.maximum(x[known], 0)
+                total[:width] += m.T @ m
+                total[width] += m.sum(axis=0)
+        yield pd.DataFrame({"i": np.arange(width + 1, dtype=np.int32), "s": list(total)})
+
+    spark = packed.sparkSession
+    if not width:
+        return spark.createDataFrame([], "gene_a int, gene_b int, r double")
+    whole = F.array(*[F.sum(F.col("s")[j]) for j in range(width)]).alias("s")
+    # Rows of the matrix, each with the sums and its own place.
+    rows = packed.mapInPandas(sums, "i int, s array<double>").groupBy("i").agg(whole)
+    names = F.array(*[F.lit(int(g)) for g in genes])
+    last = rows.filter(F.col("i") == width).select(F.col("s").alias("sum"))
+    own = rows.filter(F.col("i") < width).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.get("s", "i").alias("q")))), lambda t: t["q"]).alias("q"))
+    pair = rows.filter(F.col("i") < width).join(F.broadcast(last)).join(F.broadcast(own)).select("i", "sum", "q", F.posexplode("s").alias("j", "p")).filter("i < j")
+    cov = F.col("p") - F.get("sum", "i") * F.get("sum", "j") / n
+    var = lambda i: F.get("q", i) - F.get("sum", i) ** 2 / n
+    spread = F.sqrt(F.greatest(var("i") * var("j"), F.lit(0.0)))
+    return pair.select(F.get(names, "i").alias("gene_a"), F.get(names, "j").alias("gene_b"), F.when(spread > 1e-9, cov / spread).alias("r"))
 
 
 def mean_sd_by_time(hist: DataFrame) -> DataFrame:

@@ -45,18 +45,17 @@ def poisson_genes(counts: DataFrame, cells: DataFrame, min_mean: float = 0.1, va
     changes. Fewer than five genes: all with a mean above ``min_mean``.
     """
     m = cut(gene_moments(counts, cells).filter(F.col("mean") > min_mean))
-    kept, before = m, -1
+    kept = m
     for _ in range(rounds):
         xi = cv2_read_depth(counts, cells, min_mean, kept).first()["cv2"]
         ratio = F.col("var") / (F.col("mean") + F.lit(xi) * F.col("mean") * F.col("mean"))
         now = cut(m.filter(ratio < var_threshold))
-        n = now.count()
-        if n < 5:
+        if now.count() < 5:
             return m.select("gene_id", "mean")
+        same = kept.join(now, "gene_id", "left_anti").isEmpty() and now.join(kept, "gene_id", "left_anti").isEmpty()
         kept = now
-        if n == before:
+        if same:
             break
-        before = n
     return kept.select("gene_id", "mean")
 
 

@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronocount.functions.nb import nb_logpmf
+from chronocount.session import spread
 
-SMALLEST = 1e-2  # lower bound of shapes and rates; upper is its inverse
+# Fixed values of the method: lower bound of rates (the upper is its inverse), largest rate that comes out, gain of the
+# likelihood that ends the hard assignment, rounds of a coupling, least probability.
+SMALLEST, LARGEST_RATE, LEAST_GAIN, COUPLING_ROUNDS, LEAST_P = 1e-2, 9.0, 1 / 200, 500, 1e-12
 
 
 def moment_fit(moments: DataFrame) -> DataFrame:
@@ -138,7 +141,7 @@ def mean_constrained(w0: np.ndarray, means: np.ndarray, mean: float, alpha: floa
     return w
 
 
-def sinkhorn_labels(p: np.ndarray, n: np.ndarray, target: np.ndarray, rounds: int = 500) -> np.ndarray:
+def sinkhorn_labels(p: np.ndarray, n: np.ndarray, target: np.ndarray, rounds: int = COUPLING_ROUNDS) -> np.ndarray:
     """The mode of each row under the entropic coupling (regularisation 1) of the rows to modes of the given weights.
 
     The coupling is u_i p_ik v_k; only v, one number per mode, is iterated.
@@ -183,7 +186,7 @@ def _newton_shapes(x: np.ndarray, n: np.ndarray, mode: np.ndarray, k: np.ndarray
             break
     low = np.clip(c, SMALLEST, 1 / SMALLEST)
     k, c = k * low / c, low
-    return np.maximum(k, max(c / 2, k.max() / 100)), c
+    return np.maximum(k, min(c / 2, k.max() / 100)), c
 
 
 def fit_gene(time: np.ndarray, x: np.ndarray, n: np.ndarray, n_modes: int = 2, forcing: float = 0.5, rounds: int = 50) -> tuple[np.ndarray, float, dict[float, np.ndarray]]:
@@ -232,15 +235,15 @@ def fit_gene(time: np.ndarray, x: np.ndarray, n: np.ndarray, n_modes: int = 2, f
             break
         k2, c2 = _newton_shapes(x, n, mode, k.copy(), c)
         k2[0], k2[-1] = min(k2[0], means.min() * c2), max(k2[-1], means.max() * c2)
-        k2 = np.maximum(k2, max(c2 / 2, k2.max() / 100))
+        k2 = np.maximum(k2, min(c2 / 2, k2.max() / 100))
         lw = np.log(np.array([new_weights[t] for t in time]))
         gain = float((n * (logpmf(x, k2, c2) + lw)[np.arange(len(x)), mode]).sum())
-        if step > 0 and gain - best[0] < 1 / 200:
+        if step > 0 and gain - best[0] < LEAST_GAIN:
             break
         best, k, c, weights = (gain, mode), k2, c2, new_weights
     order = np.argsort(k)
-    if c > 9:
-        k, c = k * 9 / c, 9.0
+    if c > LARGEST_RATE:
+        k, c = k * LARGEST_RATE / c, LARGEST_RATE
     return k[order], c, {t: w[order] for t, w in weights.items()}
 
 
@@ -310,7 +313,7 @@ def fit_soft(hist: DataFrame, n_modes: int = 2, nearest: float = 5.0) -> DataFra
         order = np.argsort(k)
         return pd.DataFrame({"gene_id": b["gene_id"].iloc[0], "mode": range(len(k)), "k": k[order], "c": c, "w": w[order], "loglik": path[-1] if path else float("nan")})
 
-    return hist.select("gene_id", "x", "n").groupBy("gene_id").applyInPandas(fit, "gene_id int, mode int, k double, c double, w double, loglik double")
+    return spread(hist.select("gene_id", "x", "n"), "gene_id").groupBy("gene_id").applyInPandas(fit, "gene_id int, mode int, k double, c double, w double, loglik double")
 
 
 def fit_mixtures(hist: DataFrame, n_modes: int = 2, forcing: float = 0.5) -> DataFrame:
@@ -323,7 +326,7 @@ def fit_mixtures(hist: DataFrame, n_modes: int = 2, forcing: float = 0.5) -> Dat
         k, c, w = fit_gene(b["time_h"].to_numpy(), b["x"].to_numpy(np.int64), b["n"].to_numpy(), n_modes, forcing)
         return pd.DataFrame([(b["gene_id"].iloc[0], t, m, k[m], c, v[m]) for t, v in w.items() for m in range(n_modes)], columns=["gene_id", "time_h", "mode", "k", "c", "w"])
 
-    return hist.select("gene_id", "time_h", "x", "n").groupBy("gene_id").applyInPandas(fit, "gene_id int, time_h double, mode int, k double, c double, w double")
+    return spread(hist.select("gene_id", "time_h", "x", "n"), "gene_id").groupBy("gene_id").applyInPandas(fit, "gene_id int, time_h double, mode int, k double, c double, w double")
 
 
 def assign_modes(hist: DataFrame, mixture: DataFrame) -> DataFrame:
@@ -338,7 +341,7 @@ def assign_modes(hist: DataFrame, mixture: DataFrame) -> DataFrame:
         at = sinkhorn_labels(_shares(b["x"].to_numpy(), k, c, np.full(len(k), 1 / len(k))), b["n"].to_numpy(float), w)
         return b[["gene_id", "time_h", "x"]].assign(mode=at, kon=k[at] / k.max())
 
-    return whole.groupBy("gene_id", "time_h").applyInPandas(label, "gene_id int, time_h double, x bigint, mode int, kon double")
+    return spread(whole, "gene_id", "time_h").groupBy("gene_id", "time_h").applyInPandas(label, "gene_id int, time_h double, x bigint, mode int, kon double")
 
 
 def sample_nb(rows: DataFrame, keys: list[str], k: Column, c: Column, zero: Column | None = None, seed: int = 0) -> DataFrame:

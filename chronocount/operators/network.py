@@ -5,7 +5,9 @@ Edges are rows ``src, tgt, w``, intercepts are rows ``tgt, b``.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -15,14 +17,14 @@ from pyspark.sql import functions as F
 
 from chronocount.session import cut
 
-# Pieces of words that name an inhibiting effect.
-INHIBITION = ("inhib", "repress", "negativ", "down", "suppress", "block")
+# What names an inhibiting effect, anywhere in it or at the beginning of a word.
+INHIBITION, INHIBITION_WORDS = "inhibit", ("repression", "repress", "negative", "downregulat", "antagonis")
 
 
 def effect_sign(effect: str) -> Column:
     """-1 for an inhibiting effect, else 1; null and unknown effects are 1."""
     low = F.lower(F.coalesce(F.col(effect), F.lit("")))
-    return F.when(reduce(lambda a, b: a | b, [low.contains(p) for p in INHIBITION]), F.lit(-1)).otherwise(F.lit(1))
+    return F.when(low.contains(INHIBITION) | low.rlike(rf"\b({'|'.join(INHIBITION_WORDS)})"), F.lit(-1)).otherwise(F.lit(1))
 
 
 def signed_edges(edges: DataFrame, key: str, src: str, tgt: str, effect: str) -> DataFrame:
@@ -81,20 +83,27 @@ def prior_paths(edges: DataFrame, listed: DataFrame, longest: int = 3) -> DataFr
 def prior_matrix(pairs: DataFrame, genes: DataFrame) -> DataFrame:
     """``src, tgt, w`` over the square of ``genes`` (gene_id, gene_name), src also the stimulus 0.
 
-    A known positive pair is 1, a known negative one -1 (its sign is kept), an
-    unknown pair 1, the diagonal 1, the stimulus 0 on its way in.
+    A positive pair is 1. A gene is known if any pair names it: pairs into known
+    genes that aren't positive are 0, pairs into unknown ones 1. The diagonal is
+    1, the stimulus' row 0. Genes without a name are unknown.
     """
-    ids = genes.select("gene_id", F.col("gene_name").alias("name"))
-    known = pairs.join(ids.select(F.col("gene_id").alias("s"), F.col("name").alias("src")), "src").join(ids.select(F.col("gene_id").alias("t"), F.col("name").alias("tgt")), "tgt").select("s", "t", "sign")
-    names = ids.filter("gene_id > 0").agg(F.sort_array(F.collect_set("gene_id")).alias("all"))
-    grid = names.select(F.explode("all").alias("tgt"), "all").select(F.explode(F.concat(F.array(F.lit(0)), F.col("all"))).alias("src"), "tgt")
-    both = grid.join(known, (F.col("src") == F.col("s")) & (F.col("tgt") == F.col("t")), "left")
-    return both.select("src", "tgt", F.when(F.col("src") == F.col("tgt"), 1).otherwise(F.coalesce("sign", F.lit(1))).cast("double").alias("w"))
+    ids = genes.filter("gene_id > 0").groupBy("gene_id").agg(F.min("gene_name").alias("name"))
+    known = pairs.select(F.explode(F.array("src", "tgt")).alias("name")).distinct().withColumn("known", F.lit(True))
+    all_ = ids.join(known, "name", "left").select("gene_id", "name", F.coalesce("known", F.lit(False)).alias("known"))
+    positive = pairs.filter("sign > 0").select("src", "tgt").distinct()
+    s, t = all_.select(F.col("gene_id").alias("s"), F.col("name").alias("src")), all_.select(F.col("gene_id").alias("t"), F.col("name").alias("tgt"))
+    good = positive.join(s, "src").join(t, "tgt").select("s", "t", F.lit(True).alias("good"))
+    # The result's own size: genes squared.
+    sources = all_.select("gene_id").unionByName(all_.sparkSession.range(1).select(F.lit(0).cast("int").alias("gene_id"))).agg(F.collect_set("gene_id").alias("all"))
+    grid = all_.select(F.col("gene_id").alias("tgt"), "known").join(F.broadcast(sources)).select("tgt", "known", F.explode("all").alias("src"))
+    both = grid.join(good, (F.col("src") == F.col("s")) & (F.col("tgt") == F.col("t")), "left")
+    w = F.when(F.col("src") == 0, 0.0).when(F.col("src") == F.col("tgt"), 1.0).when(F.col("good") | ~F.col("known"), 1.0).otherwise(0.0)
+    return both.select("src", "tgt", w.alias("w"))
 
 
 def prior_mask(prior: DataFrame, single_mode: DataFrame, stimulus: float = 0.2, floor: float = 1.0) -> DataFrame:
     """``src, tgt, m``: max(floor, |w|), the stimulus' row at its own value, rows and columns of genes with one mode (``single_mode``: gene_id) at 0."""
-    one = F.broadcast(single_mode.select("gene_id").distinct().withColumn("one", F.lit(True)))
+    one = single_mode.select("gene_id").distinct().withColumn("one", F.lit(True))
     flat = prior.join(one.withColumnRenamed("gene_id", "src").withColumnRenamed("one", "one_s"), "src", "left").join(one.withColumnRenamed("gene_id", "tgt").withColumnRenamed("one", "one_t"), "tgt", "left")
     value = F.when(F.col("one_s") | F.col("one_t"), F.lit(0.0)).when(F.col("src") == 0, F.lit(stimulus)).otherwise(F.greatest(F.lit(floor), F.abs("w")))
     return flat.select("src", "tgt", value.alias("m"))
@@ -143,13 +152,40 @@ def kon(states: DataFrame, edges: DataFrame, intercepts: DataFrame, key: str, lo
     Two modes: with s the sum of prot * w and the intercept, the share of the
     upper mode is 1 / (1 + exp(-s)); ``lower`` (tgt, low) is the value of the
     lower mode, the upper's is 1. A gene without edges has its intercept alone.
+
+    The network (genes squared) goes to the tasks as a matrix; a key's states
+    are one row, so the one shuffle is that of the states.
     """
-    pull = states.join(F.broadcast(edges.withColumnRenamed("src", "gene_id")), "gene_id").groupBy(key, "tgt").agg(F.sum(F.col("prot") * F.col("w")).alias("s"))
-    keys = states.select(key).distinct()
-    at = intercepts.join(lower, "tgt").agg(F.collect_list(F.struct("tgt", "b", "low")).alias("t"))
-    grid = keys.join(F.broadcast(at)).select(key, F.explode("t").alias("t")).select(key, "t.*")
-    up = 1 / (1 + F.exp(-(F.col("b") + F.coalesce("s", F.lit(0.0)))))
-    return grid.join(pull, [key, "tgt"], "left").select(key, "tgt", (F.col("low") * (1 - up) + up).alias("kon"))
+    spark = states.sparkSession
+    at = intercepts.join(lower, "tgt").select("tgt", "b", "low").orderBy("tgt").toPandas()
+    e = edges.groupBy("src", "tgt").agg(F.sum("w").alias("w")).toPandas()
+    sources, targets = np.unique(e["src"].to_numpy(np.int64)), at["tgt"].to_numpy(np.int64)
+    if not len(targets):
+        return spark.createDataFrame([], f"{key} {dict(states.dtypes)[key]}, tgt int, kon double")
+    e = e[e["tgt"].isin(targets)]
+    w = np.zeros((len(sources), len(targets)))
+    w[np.searchsorted(sources, e["src"]), np.searchsorted(targets, e["tgt"])] = e["w"]
+    b, low = at["b"].to_numpy(float), at["low"].to_numpy(float)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            m = np.zeros((len(part), max(len(sources), 1)))
+            row = np.repeat(np.arange(len(part)), part["gene"].str.len())
+            gene, prot = (np.concatenate([np.zeros(0), *part[c]]) for c in ("gene", "prot"))
+            if len(sources):
+                place = np.minimum(np.searchsorted(sources, gene), len(sources) - 1)
+                known = sources[place] == gene
+                np.add.at(m, (row[known], place[known]), prot[known])
+                s = b + m @ w
+            else:
+                s = np.tile(b, (len(part), 1))
+            up = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
+            yield pd.DataFrame({key: part[key], "kon": list(low * (1 - up) + up)})
+
+    rows = states.filter(F.col("prot").isNotNull()).groupBy(key).agg(F.collect_list("gene_id").alias("gene"), F.collect_list("prot").alias("prot"))
+    levels = rows.mapInPandas(run, f"{key} {dict(states.dtypes)[key]}, kon array<double>")
+    names = F.array(*[F.lit(int(t)) for t in targets])
+    return levels.select(key, F.posexplode("kon").alias("at", "kon")).select(key, F.get(names, "at").cast("int").alias("tgt"), "kon")
 
 
 def cross_entropy(predicted: Column, seen: Column, clip: float = 1e-6) -> Column:
@@ -163,6 +199,22 @@ def smoothed_l1(w: Column, knee: float = 1e-3) -> Column:
     return F.when(F.abs(w) < knee, w * w / (2 * knee) + knee / 2).otherwise(F.abs(w))
 
 
+@dataclass(frozen=True)
+class Regression:
+    """Weights (source, target), intercepts by target, mean loss of a value before and after, and how many targets were not at rest."""
+
+    w: np.ndarray
+    b: np.ndarray
+    error_before: float
+    error: float
+    open: int
+
+
+def default_strength(width: int, expected_error: float = 0.05) -> float:
+    """The penalty of an edge, for the mean loss of a cell: the expected error over 1 + root of the number of positions."""
+    return expected_error / (1 + width**0.5)
+
+
 def regress(states: DataFrame, targets: DataFrame, mask: DataFrame, key: str, strength: float = 0.05, rounds: int = 200) -> DataFrame:
     """``src, tgt, w``, with src = -1 the intercept: per target a logistic regression of its value on the state, L1 penalised, masked.
 
@@ -174,59 +226,108 @@ def regress(states: DataFrame, targets: DataFrame, mask: DataFrame, key: str, st
 
 
 def regress_rows(rows: DataFrame, mask: DataFrame, strength: float = 0.05, rounds: int = 200) -> DataFrame:
-    """``regress`` on one row per cell: ``prot`` (array by position) with the targets' numbers ``tgt`` and values ``y`` (arrays).
-
-    Proximal Newton steps, the mask as the edges' scale, until no target's
-    objective gains more than 1e-10 (``rounds`` is only the bound). In each step
-    every task sums the loss, slope and curvature of all targets over its own
-    cells; the sums of the tasks are added by target, and what reaches the
-    driver (targets x genes squared) doesn't follow the number of cells.
-    """
+    """``regress`` on one row per cell: ``prot`` (array by position) with the targets' numbers ``tgt`` and values ``y`` (arrays)."""
     spark = rows.sparkSession
     m = {r["tgt"]: r["m"] for r in mask.collect()}  # panel squared
     if not m:
         return spark.createDataFrame([], "src int, tgt int, w double")
     names = np.array(sorted(m))
     scale = np.array([[*m[t], 1.0] for t in names.tolist()], float)
-    rows, width = cut(rows), scale.shape[1]
-    u = np.zeros((len(names), width))
-    fine = np.array([strength] * (width - 1) + [0.0])
-    state, base, step, open_ = None, u, np.zeros_like(u), np.ones(len(names), bool)
-    for _ in range(rounds):
-        loss, n, slope, curve = _sums(rows, names, (scale * u).T)
-        here = n > 0
-        per = np.maximum(n, 1)
-        value = loss / per + np.abs(u) @ fine
+    width = scale.shape[1]
+    w, n, *_ = _minimised(cut(rows.withColumn("weight", F.lit(1.0))), names, scale, np.zeros(len(names)), np.zeros_like(scale), strength, rounds=rounds)
+    found = [(i if i < width - 1 else -1, int(t), float(w[j, i])) for j, t in enumerate(names) if n[j] for i in range(width)]
+    return spark.createDataFrame(found, "src int, tgt int, w double")
+
+
+def fit_rows(
+    rows: DataFrame, scale: np.ndarray, low: np.ndarray, start=None, strength: float | None = None, ridge: float = 0.0, reference=None, rounds: int = 200, tolerance: float = 1e-7
+) -> Regression:
+    """The network of ``rows`` (``prot, kon, weight``: arrays by position, position 0 the stimulus) with levels of two modes.
+
+    ``scale`` (source, target) scales the edges, 0 forbids one; ``low`` is each
+    position's lower level. ``start`` and ``reference`` have ``w`` and ``b``; the
+    penalty holds the edges near the reference (without it near 0), ``ridge`` is
+    its quadratic part. ``rounds`` = 0 only measures the error of ``start``.
+    """
+    g = len(low)
+    flat = lambda n: np.hstack([n.w.T[1:], n.b[1:, None]]) / np.where(both > 0, both, 1)
+    both = np.hstack([scale.T[1:], np.ones((g - 1, 1))])
+    u = flat(start) if start is not None else np.zeros((g - 1, g + 1))
+    rows = rows.select("prot", F.sequence(F.lit(1), F.lit(g - 1)).alias("tgt"), F.slice("kon", 2, g - 1).alias("y"), "weight")
+    strength = default_strength(g) if strength is None else strength
+    w, _, before, after, open_ = _minimised(rows, np.arange(1, g), both, low[1:], u, strength, ridge, flat(reference) if reference is not None else None, rounds=rounds, tolerance=tolerance)
+    out_w, out_b = np.zeros((g, g)), np.zeros(g)
+    out_w[:, 1:], out_b[1:] = w[:, :-1].T, w[:, -1]
+    return Regression(out_w, out_b, before, after, open_)
+
+
+def refined_rows(rows: DataFrame, net, low: np.ndarray, rounds: int = 200) -> Regression:
+    """The edges of ``net`` made larger or smaller, each by a factor that begins at 1 and is drawn to 0; edges of 0 and of a gene to itself stay."""
+    g, n = len(low), max(rows.count(), 1)
+    scale = np.hstack([net.w.T[1:], net.b[1:, None]])
+    free = (scale != 0) & ~np.eye(g - 1, g + 1, 1, dtype=bool)
+    few = rows.select("prot", F.sequence(F.lit(1), F.lit(g - 1)).alias("tgt"), F.slice("kon", 2, g - 1).alias("y"), "weight")
+    w, _, before, after, open_ = _minimised(few, np.arange(1, g), scale, low[1:], np.ones_like(scale), 1 / (1 + np.log(g)) / n, free=free, rounds=rounds)
+    out_w, out_b = np.zeros((g, g)), np.zeros(g)
+    out_w[:, 1:], out_b[1:] = w[:, :-1].T, w[:, -1]
+    return Regression(out_w, out_b, before, after, open_)
+
+
+def _minimised(
+    rows: DataFrame, names: np.ndarray, scale: np.ndarray, low: np.ndarray, u: np.ndarray, strength: float, ridge: float = 0.0, reference: np.ndarray | None = None,
+    free: np.ndarray | None = None, rounds: int = 200, tolerance: float = 1e-10,
+) -> tuple[np.ndarray, np.ndarray, float, float, int]:
+    """Weights (target, position), the values of each target, mean loss before and after, targets not at rest.
+
+    Proximal Newton steps on the weights' multiples ``u`` of ``scale``, until no
+    target's objective gains more than ``tolerance`` (``rounds`` is only the bound). In
+    each step every task sums the loss, slope and curvature of all targets over
+    its own cells; the sums of the tasks are added by target, and what reaches
+    the driver (targets x positions squared) doesn't follow the number of cells.
+    """
+    width = scale.shape[1]
+    free = scale != 0 if free is None else free
+    reference = np.zeros_like(u) if reference is None else reference
+    fine, square = (np.array([x] * (width - 1) + [0.0]) for x in (strength, ridge))
+    state, base, step, open_, first = None, u, np.zeros_like(u), np.ones(len(names), bool), 0.0
+    mean = lambda loss, n: float((loss / np.maximum(n, 1e-300))[n > 0].mean()) if (n > 0).any() else 0.0
+    for _ in range(rounds + 1):
+        loss, n, slope, curve = _sums(rows, names, (scale * u).T, low)
+        here, per = n > 0, np.where(n > 0, n, 1.0)
+        value = loss / per + np.abs(u - reference) @ fine + (u - reference) ** 2 @ square / 2
+        fresh = (value, scale * slope / per[:, None], scale[:, :, None] * scale[:, None, :] * curve / per[:, None, None], loss)
         if state is None:
-            better, gain = here, np.full(len(names), np.inf)
-            state = [value, scale * slope / per[:, None], scale[:, :, None] * scale[:, None, :] * curve / per[:, None, None]]
+            better, gain, first = here, np.full(len(names), np.inf), mean(loss, n)
+            state = list(fresh)
         else:
             better = open_ & (value <= state[0])
             gain = np.where(better, state[0] - value, np.inf)
-            for old, now in zip(state, (value, scale * slope / per[:, None], scale[:, :, None] * scale[:, None, :] * curve / per[:, None, None])):
+            for old, now in zip(state, fresh):
                 old[better] = now[better]
         base = np.where(better[:, None], u, base)
-        fresh = _newton_step(base, state[1], state[2], fine, scale > 0)
+        if not rounds:
+            break
+        newton = _newton_step(base, state[1], state[2], fine, square, reference, free)
         # A step that made the objective worse is halved; a fresh one is made where it fell.
-        step = np.where(better[:, None], fresh, step / 2)
-        open_ = here & open_ & (gain > 1e-10) & (np.abs(step).max(axis=1) > 1e-9)
+        step = np.where(better[:, None], newton, step / 2)
+        open_ = here & open_ & (gain > tolerance) & (np.abs(step).max(axis=1) > 1e-9)
         u = np.where(open_[:, None], base + step, base)
         if not open_.any():
             break
-    w = scale * base
-    found = [(i if i < width - 1 else -1, int(t), float(w[j, i])) for j, t in enumerate(names) if here[j] for i in range(width)]
-    return spark.createDataFrame(found, "src int, tgt int, w double")
+    if rounds and open_.any():
+        warnings.warn(f"{int(open_.sum())} of {len(names)} targets not at rest after {rounds} steps", stacklevel=2)
+    return scale * base, n, first, mean(state[3], n), int(open_.sum()) if rounds else 0
 
 
-def _newton_step(u: np.ndarray, slope: np.ndarray, curve: np.ndarray, fine: np.ndarray, free: np.ndarray, sweeps: int = 200) -> np.ndarray:
+def _newton_step(u: np.ndarray, slope: np.ndarray, curve: np.ndarray, fine: np.ndarray, square: np.ndarray, reference: np.ndarray, free: np.ndarray, sweeps: int = 200) -> np.ndarray:
     """The change of ``u`` (target, position) that minimises the penalised quadratic of every target, by coordinates, all targets at once."""
     z, g = u.copy(), slope.copy()
     for _ in range(sweeps):
         most = 0.0
         for j in range(u.shape[1]):
-            h = curve[:, j, j] + 1e-9
-            new = z[:, j] - (g[:, j] + 1e-9 * (z[:, j] - u[:, j])) / h
-            new = np.where(free[:, j], np.sign(new) * np.maximum(np.abs(new) - fine[j] / h, 0), 0.0)
+            h = curve[:, j, j] + 1e-9 + square[j]
+            new = z[:, j] - (g[:, j] + 1e-9 * (z[:, j] - u[:, j]) + square[j] * (z[:, j] - reference[:, j])) / h - reference[:, j]
+            new = np.where(free[:, j], reference[:, j] + np.sign(new) * np.maximum(np.abs(new) - fine[j] / h, 0), u[:, j])
             # No coordinate runs away where the curvature has vanished.
             d = np.clip(new, u[:, j] - 10, u[:, j] + 10) - z[:, j]
             z[:, j] += d
@@ -237,8 +338,11 @@ def _newton_step(u: np.ndarray, slope: np.ndarray, curve: np.ndarray, fine: np.n
     return z - u
 
 
-def _sums(rows: DataFrame, names: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Loss, number of values, slope and curvature of each target under the weights ``w`` (position, target), summed over all rows."""
+def _sums(rows: DataFrame, names: np.ndarray, w: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, weight of the values, slope and curvature of each target under the weights ``w`` (position, target), summed over all rows.
+
+    A value is predicted as low + (1 - low) / (1 + exp(-s)); the curvature is its expectation.
+    """
     width, count = w.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,12 +357,16 @@ def _sums(rows: DataFrame, names: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
                 y, n = np.zeros((len(part), count)), np.zeros((len(part), count))
                 np.add.at(y, (row[known], at[known]), value[known])
                 np.add.at(n, (row[known], at[known]), 1.0)
-                s = a @ w
-                p = 1 / (1 + np.exp(-np.clip(s, -50, 50)))
-                total[:, 0] += (n * np.logaddexp(0, s) - y * s).sum(axis=0)
+                y /= np.maximum(n, 1)
+                n *= part["weight"].to_numpy(float)[:, None]
+                s = np.clip(a @ w, -50, 50)
+                p = 1 / (1 + np.exp(-s))
+                k = low + (1 - low) * p
+                # 1 - k is (1 - low) (1 - p), which is taken from its logarithm.
+                total[:, 0] -= (n * (y * np.log(np.maximum(k, 1e-12)) + (1 - y) * (np.log(np.maximum(1 - low, 1e-12)) - np.logaddexp(0, s)))).sum(axis=0)
                 total[:, 1] += n.sum(axis=0)
-                total[:, 2 : 2 + width] += (n * p - y).T @ a
-                for t, h in enumerate((n * p * (1 - p)).T):
+                total[:, 2 : 2 + width] += (n * (k - y) * p / np.maximum(k, 1e-12)).T @ a
+                for t, h in enumerate((n * (1 - low) * p * p * (1 - p) / np.maximum(k, 1e-12)).T):
                     total[t, 2 + width :] += ((a * h[:, None]).T @ a).ravel()
         yield pd.DataFrame({"at": np.arange(count, dtype=np.int32), "v": list(total)})
 

@@ -13,24 +13,19 @@ def cells_per_time_sample(cells: DataFrame) -> DataFrame:
     return cells.groupBy("time_h", "sample_id").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-def seeded(*columns: str, seed: int = 0) -> Column:
-    """Order of rows that depends on keys and seed alone, not on partitions."""
-    return F.xxhash64(F.lit(seed), *columns)
-
-
-def first_per_group(cells: DataFrame, groups: list[str], n: int | Column, order: list) -> DataFrame:
-    """At most ``n`` rows of each group, first in ``order``."""
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-    return cells.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
+def seeded(key: str, seed: int = 0) -> Column:
+    """Order of rows that depends on key and seed alone, not on partitions; SQL engines make the same one."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
 
 
 def group_rank(rows: DataFrame, groups: list[str], key: str, seed: int = 0) -> DataFrame:
     """``rows`` with ``rank`` and ``group_size``: the place of each row in its group by a seeded hash of ``key``.
 
-    A hot group is ranked in 64 parts of the hash's range: the parts are sorted
-    by tasks of their own, and their sizes say where each one's ranks begin.
+    A group is ranked in 256 parts of the hash's range: the parts are sorted by
+    tasks of their own, and their sizes say where each one's ranks begin. Null
+    keys of groups are a group.
     """
-    rows = rows.withColumn("_h", seeded(key, seed=seed)).withColumn("_part", F.shiftright("_h", 58)).withColumn("_g", F.to_json(F.struct(F.lit(0), *groups)))
+    rows = rows.withColumn("_h", seeded(key, seed)).withColumn("_part", F.substring("_h", 1, 2)).withColumn("_g", F.to_json(F.struct(F.lit(0), *groups)))
     sizes = rows.groupBy("_g", "_part").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy("_g")
     before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -39,37 +34,46 @@ def group_rank(rows: DataFrame, groups: list[str], key: str, seed: int = 0) -> D
     return rows.withColumn("rank", rank).join(starts, ["_g", "_part"]).withColumn("rank", F.col("rank") + F.col("_start")).drop("_h", "_part", "_g", "_start")
 
 
-def _ranked(rows: DataFrame, groups: list[str], key: str, order: list | None) -> DataFrame:
-    if order is None:
-        return group_rank(rows, groups, key)
-    w = Window.partitionBy(*groups)
-    return rows.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("group_size", F.count(F.lit(1)).over(w))
+def subset_cells(cells: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` cells by seeded hash, all if there are fewer."""
+    return cells.orderBy(seeded("cell_id", seed), "cell_id").limit(n)
+
 
+def subsample_fixed(cells: DataFrame, groups: list[str], n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` cells of each group, by seeded hash."""
+    return group_rank(cells, groups, "cell_id", seed).filter(F.col("rank") <= n).drop("rank", "group_size")
 
-def subsample_per_group(cells: DataFrame, per_run: int = 10_000, order: list | None = None) -> DataFrame:
-    """At most ``per_run`` / number of times cells per (time, sample), by seeded hash unless an order is given."""
+
+def subsample_per_group(cells: DataFrame, per_run: int = 10_000, seed: int = 0) -> DataFrame:
+    """At most ``per_run`` / number of times cells per (time, sample), by seeded hash."""
     n_times = cells.agg(F.greatest(F.count_distinct("time_h"), F.lit(1)).alias("n_times"))
-    ranked = _ranked(cells, ["time_h", "sample_id"], "cell_id", order).join(F.broadcast(n_times))
+    ranked = group_rank(cells, ["time_h", "sample_id"], "cell_id", seed).join(F.broadcast(n_times))
     return ranked.filter(F.col("rank") <= F.floor(F.lit(per_run) / F.col("n_times"))).drop("rank", "group_size", "n_times")
 
 
-def split_train_test(cells: DataFrame, rate: float = 0.6, order: list | None = None) -> DataFrame:
-    """``cells`` with ``part``: of n cells of a (time, sample) the first floor(n * rate) are 'train', the others 'test'."""
-    ranked = _ranked(cells, ["time_h", "sample_id"], "cell_id", order)
+def split_train_test(cells: DataFrame, rate: float = 0.6, seed: int = 0) -> DataFrame:
+    """``cells`` with ``part``: of n cells of a (time, sample) the first floor(n * rate) by seeded hash are 'train', the others 'test'."""
+    ranked = group_rank(cells, ["time_h", "sample_id"], "cell_id", seed)
     part = F.when(F.col("rank") <= F.floor(F.col("group_size") * F.lit(rate)), F.lit("train")).otherwise(F.lit("test"))
     return ranked.withColumn("part", part).drop("rank", "group_size")
 
 
-def repeat_min_choice(keys: DataFrame, n_wanted: int, key: str, order: list | None = None) -> DataFrame:
-    """``keys`` with ``times``: how often each is chosen when ``n_wanted`` are: all equally often, the rest once more, first in order."""
-    ranked = _ranked(keys, [], key, order)
+def shuffled(trajectories: DataFrame, group: str, key: str, batch: int, seed: int) -> DataFrame:
+    """``trajectories`` with ``batch``: their batches of a turn; another ``seed`` (the turn's number) puts them together anew."""
+    ranked = group_rank(trajectories, [group], key, seed)
+    return ranked.withColumn("batch", F.floor((F.col("rank") - 1) / F.lit(batch)).cast("bigint")).drop("rank", "group_size")
+
+
+def repeat_min_choice(keys: DataFrame, n_wanted: int, key: str, seed: int = 0) -> DataFrame:
+    """``keys`` with ``times``: how often each is chosen when ``n_wanted`` are: all equally often, the rest once more, first by seeded hash."""
+    ranked = group_rank(keys, [], key, seed)
     times = F.floor(F.lit(n_wanted) / F.col("group_size")) + (F.col("rank") <= F.lit(n_wanted) % F.col("group_size")).cast("bigint")
     return ranked.withColumn("times", times.cast("bigint")).drop("rank", "group_size")
 
 
-def select_cells_for_rates(cells: DataFrame, most: int = 200, order: list | None = None) -> DataFrame:
-    """``cell_id, sample_id`` of at most ``most`` cells of each sample at time 0."""
-    ranked = _ranked(cells.filter("time_h = 0"), ["sample_id"], "cell_id", order)
+def select_cells_for_rates(cells: DataFrame, most: int = 200, seed: int = 0) -> DataFrame:
+    """``cell_id, sample_id`` of at most ``most`` cells of each sample at time 0, by seeded hash."""
+    ranked = group_rank(cells.filter("time_h = 0"), ["sample_id"], "cell_id", seed)
     return ranked.filter(F.col("rank") <= most).select("cell_id", "sample_id")
 
 

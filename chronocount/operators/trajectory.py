@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronocount.operators.selection import group_rank
-
-#: Cells of one side of a coupling that one task holds; larger groups are cut into batches by seeded hash.
+#: Cells of one side of a coupling that one task holds; larger groups are cut into parts by seeded hash, anew in every turn.
 BATCH = 1024
 
 
@@ -23,6 +20,28 @@ def next_state(prot: Column, rate: Column, first: Column, last: Column, alpha: C
     return relaxed(relaxed(prot, first * scale, rate, alpha * time), last * scale, rate, (1 - alpha) * time)
 
 
+def next_state_mixed(prot: Column, rate: Column, first: Column, last: Column, scale: Column, time: Column) -> Column:
+    """Towards a level that moves evenly from the first mode's to the last one's over the time."""
+    slope = (last - first) * scale / F.nullif(time, F.lit(0.0))
+    # The solution of p' = rate (first + slope t - p).
+    lag = slope / rate
+    return F.when(time > 0, last * scale - lag + (prot - first * scale + lag) * F.exp(-rate * time)).otherwise(prot)
+
+
+def nearest_states(wanted: DataFrame, known: DataFrame, group: str, panel: int) -> DataFrame:
+    """``key, match, distance``: for each state of ``wanted`` (group, key, prot, kon as arrays) the nearest of ``known`` in its group.
+
+    The distance is the sum of |difference| of prot / panel and of kon (1 - 1 /
+    panel); ties go to the smaller key. A group's known states are meant to be a
+    part of bounded size; wanted rows stay where they are and meet them in turn.
+    """
+    gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
+    there = known.select(group, F.col("key").alias("match"), F.col("prot").alias("p"), F.col("kon").alias("k"))
+    both = wanted.join(there, group).withColumn("distance", F.round(gap("prot", "p") / panel + gap("kon", "k") * (panel - 1) / panel, 9))
+    best = both.groupBy(group, "key").agg(F.min(F.struct("distance", "match")).alias("m"))
+    return best.select(group, "key", "m.match", "m.distance")
+
+
 def shrunk_to_mode(x: Column, mode: Column, factor: float = 2.0, power: float = 2.0) -> Column:
     """x (1 - w) + mode w with w = a / (1 + a), a = (|x - mode| / (factor mode)) ^ power; a mode of 0 leaves x."""
     a = F.pow(F.abs(x - mode) / F.nullif(factor * mode, F.lit(0.0)), F.lit(power))
@@ -30,19 +49,27 @@ def shrunk_to_mode(x: Column, mode: Column, factor: float = 2.0, power: float =
     return x * (1 - w) + mode * w
 
 
-def initial_states(rows: DataFrame, upper: float = 1.0) -> DataFrame:
-    """``cell_id, gene_id, prot``: counts (x) shrunk to their mode (mode, mean) and spread over the mode's step of [0, upper].
+def initial_states(rows: DataFrame) -> DataFrame:
+    """``rows`` without x and level, with ``prot``: the starting state of each row, from ``gene_id``, the scaled count ``x`` and the ``level`` of its mode.
 
-    Within a (gene, mode) counts are shifted to 0 and scaled by their largest;
-    modes share the range equally, in their order.
+    Counts are shrunk to their level and moved to begin at 0 in each gene. The
+    range of the gene's levels is divided into equal steps, one for each mode in
+    order, and a count lies in its mode's step at the root of its part of the
+    mode's largest count, or of the share of the gene's largest that the mode's
+    place gives it if that is more. A gene with one mode keeps its level.
     """
-    s = rows.withColumn("s", shrunk_to_mode(F.col("x").cast("double"), F.col("mean")))
-    group = Window.partitionBy("gene_id", "mode")
-    z = F.dense_rank().over(Window.partitionBy("gene_id").orderBy("mode")) - 1
-    s = s.withColumn("lo", F.min("s").over(group)).withColumn("hi", F.max("s").over(group)).withColumn("z", z)
-    n_modes = F.max("z").over(Window.partitionBy("gene_id")) + 1
-    within = F.sqrt((F.col("s") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))
-    return s.withColumn("l", n_modes).select("cell_id", "gene_id", (upper * (F.col("z") + F.coalesce(within, F.lit(0.0))) / F.col("l")).alias("prot"))
+    s = rows.withColumn("_s", shrunk_to_mode(F.col("x").cast("double"), F.col("level")))
+    ends = s.groupBy("gene_id", "level").agg(F.min("_s").alias("_first"), F.max("_s").alias("_last"))
+    modes = ends.groupBy("gene_id").agg(F.min("_first").alias("_zero"), F.max("_last").alias("_top"), F.array_sort(F.collect_set("level")).alias("_levels"))
+    ends = ends.join(modes, "gene_id").withColumn("_n", F.size("_levels")).withColumn("_z", F.array_position("_levels", F.col("level")) - 1)
+    top, left = F.col("_top") - F.col("_zero"), F.col("_n") - F.col("_z")
+    ends = ends.select(
+        "gene_id", "level", "_zero", "_n", "_z", F.array_min("_levels").alias("_low"), F.array_max("_levels").alias("_high"),
+        F.least(F.col("_first") - F.col("_zero"), top / (1 + left)).alias("_from"), F.greatest(F.col("_last") - F.col("_zero"), top / left).alias("_to"),
+    )
+    part = F.sqrt(F.least(F.greatest(F.col("_s") - F.col("_zero"), F.col("_from")), F.col("_to")) / (F.col("_to") + 1e-16))
+    prot = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_z") + part) / F.col("_n")
+    return s.join(ends, ["gene_id", "level"]).select(*[c for c in rows.columns if c not in ("x", "level")], prot.alias("prot"))
 
 
 def next_time(rows: DataFrame, key: list[str], time: str, value: str) -> DataFrame:
@@ -77,69 +104,57 @@ def switch_fraction(rows: DataFrame, grid: int = 25, predicted=None) -> DataFram
     return t.groupBy("key").agg(F.coalesce(F.min(F.when(reached, F.col("t"))), F.lit(1.0)).alias("alpha"))
 
 
-def exact_profiles(inferred: DataFrame, true: DataFrame) -> DataFrame:
-    """``src, dst, w``: inferred cells found among true ones by their whole profile (array x), followed to their successor (next_id); equal profiles share the weight."""
-    h = F.xxhash64("x")
-    hit = inferred.withColumn("h", h).join(true.select(h.alias("h"), F.col("x").alias("y"), "next_id"), "h").filter(F.col("x") == F.col("y"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    return hit.filter("next_id is not null").withColumn("n", n).groupBy(F.col("key").alias("src"), F.col("next_id").alias("dst")).agg(F.sum(1 / F.col("n")).alias("w"))
+def exact_profiles(inferred: DataFrame, true: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``profile, dst, w`` and ``src, profile``: inferred cells (key) found among true ones by their whole profile (array x), followed to the successors (next_id).
 
+    Cells of one profile are a class: the first table has the successors of each
+    with their weights, the second each inferred cell's class. Profiles that no
+    true cell with a successor has are in neither.
+    """
+    of = F.sha2(F.to_json(F.col("x")), 256).alias("profile")
+    after = true.filter("next_id is not null").groupBy(of, F.col("next_id").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    total = true.groupBy(of).agg(F.count(F.lit(1)).alias("all"))
+    classes = after.join(total, "profile").select("profile", "dst", (F.col("n") / F.col("all")).alias("w"))
+    members = inferred.select(F.col("key").alias("src"), of).distinct().join(classes.select("profile").distinct(), "profile", "left_semi")
+    return classes, members
 
-# --- coupling of one batch ------------------------------------------------------------------------------------------
 
+def sinkhorn(cost: np.ndarray, mu: np.ndarray, nu: np.ndarray, reg: float, soft: float | None = None, rounds: int = 1000, tolerance: float = 1e-7, hard: float = 1e3) -> np.ndarray:
+    """Entropic coupling of two weight vectors; with ``soft`` the target's weights may be missed at that price (the source's at ``hard``).
 
-def sinkhorn(cost: np.ndarray, mu: np.ndarray, nu: np.ndarray, reg: float, soft: float | None = None, rounds: int = 1000, tolerance: float = 1e-7) -> np.ndarray:
-    """Entropic coupling of two weight vectors in the log domain; with ``soft`` the target's weights may be missed at that price."""
-    f, g = np.zeros(len(mu)), np.zeros(len(nu))
-    lm, ln = np.log(mu), np.log(nu)
-    give = 1.0 if soft is None else soft / (soft + reg)
-    lse = lambda m, axis: m.max(axis=axis) + np.log(np.exp(m - m.max(axis=axis, keepdims=True)).sum(axis=axis))
+    Costs are taken from the least of their row and of their column first, which
+    the weights' multipliers take up, so that no row or column vanishes.
+    """
+    row = cost.min(axis=1, keepdims=True)
+    col = (cost - row).min(axis=0, keepdims=True)
+    kernel = np.exp(-(cost - row - col) / reg)
+    give_a, give_b = (1.0, 1.0) if soft is None else (hard / (hard + reg), soft / (soft + reg))
+    # Multipliers of the kernel as it was, that is with the shifts in them.
+    shift_a, shift_b = np.exp(-row[:, 0] / reg * (1 - give_a)), np.exp(-np.minimum(col[0] / reg * (1 - give_b), 600))
+    u, v = np.ones(len(mu)), np.ones(len(nu))
     for _ in range(rounds):
-        f_new = reg * (lm - lse((g[None, :] - cost) / reg, 1))
-        g = give * reg * (ln - lse((f_new[:, None] - cost) / reg, 0))
-        moved, f = np.abs(f_new - f).max(), f_new
-        if moved < tolerance * max(1.0, np.abs(f).max()):
+        new = (mu / np.maximum(kernel @ v, 1e-300)) ** give_a * shift_a
+        v = (nu / np.maximum(kernel.T @ new, 1e-300)) ** give_b * shift_b
+        moved, u = np.abs(np.log(np.maximum(new, 1e-300)) - np.log(np.maximum(u, 1e-300))).max(), new
+        if moved < tolerance:
             break
-    return np.exp((f[:, None] + g[None, :] - cost) / reg)
-
-
-def transition_cost(a_kon: np.ndarray, a_prot: np.ndarray, b_kon: np.ndarray, b_prot: np.ndarray) -> np.ndarray:
-    """(1 - 1/G) squared distance of kon plus 1/G that of the predicted state, at most 100."""
-    width = a_kon.shape[1]
-    square = lambda x, y: (x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None, :]
-    return np.clip((1 - 1 / width) * square(a_kon, b_kon) + square(a_prot, b_prot) / width, 0, 100)
+    return u[:, None] * kernel * v[None, :]
 
 
-def couple(states: DataFrame, pairs: DataFrame, rounds_done: int = 1, soft: float | None = 5.0, seed: int = 0) -> DataFrame:
-    """``sample_id, time_h, src, dst, p``: one successor for each cell of a (sample, time) among those of the next time.
+def halflife_rates(names: DataFrame, known: DataFrame) -> DataFrame:
+    """``name, d0, d1``: decay rates of RNA and protein from half-lives (``known``: known, rna, prot) of the names that share the longest prefix.
 
-    ``states`` has sample_id, time_h, cell_id, kon (array), prot (array);
-    ``pairs`` time_h, next_time. A group is cut by seeded hash into batches of
-    about ``BATCH`` cells, sources and targets alike, each coupled by one task:
-    a hot sample becomes many batches. The successor is drawn from the row of
-    the coupling by a seed made of the keys. The last time gives no rows.
+    A missing mean half-life of protein is that of RNA times the ratio of both
+    means over all names. Rates are held between a tenth and ten times their
+    mean; one without a half-life is null.
     """
-    n = states.groupBy("sample_id", "time_h").agg(F.count(F.lit(1)).alias("n"))
-    sizes = pairs.join(n, "time_h").join(n.select("sample_id", F.col("time_h").alias("next_time"), F.col("n").alias("m")), ["sample_id", "next_time"])
-    # As many batches as the larger side needs, but no more than the smaller has cells.
-    sizes = sizes.select("sample_id", "time_h", "next_time", F.least(F.greatest(F.ceil(F.col("n") / BATCH), F.ceil(F.col("m") / BATCH)), "n", "m").alias("parts"))
-    placed = group_rank(states, ["sample_id", "time_h"], "cell_id", seed).withColumnRenamed("rank", "place")
-    src = placed.join(sizes, ["sample_id", "time_h"]).select("sample_id", "time_h", F.pmod("place", "parts").alias("part"), F.lit(0).alias("side"), "cell_id", "kon", "prot")
-    dst = placed.withColumnRenamed("time_h", "next_time").join(sizes, ["sample_id", "next_time"]).select("sample_id", "time_h", F.pmod("place", "parts").alias("part"), F.lit(1).alias("side"), "cell_id", "kon", "prot")
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        a, z = b[b["side"] == 0].sort_values("cell_id"), b[b["side"] == 1].sort_values("cell_id")
-        if not len(a) or not len(z):
-            return pd.DataFrame(columns=["sample_id", "time_h", "src", "dst", "p"])
-        m = [np.stack(x.to_numpy()) for x in (a["kon"], a["prot"], z["kon"], z["prot"])]
-        reg = 1.5 * np.log(max(m[0].shape[1], 2)) / rounds_done
-        q = sinkhorn(transition_cost(*m), np.full(len(a), 1 / len(a)), np.full(len(z), 1 / len(z)), reg, None if soft is None else soft * np.log(max(m[0].shape[1], 2)))
-        q /= q.sum(axis=1, keepdims=True)
-        draw = np.array([np.random.Generator(np.random.Philox(key=[seed, int(c) & (2**63 - 1)])).random() for c in a["cell_id"]])
-        to = np.minimum((q.cumsum(axis=1) < draw[:, None]).sum(axis=1), len(z) - 1)
-        return pd.DataFrame({"sample_id": a["sample_id"], "time_h": a["time_h"], "src": a["cell_id"], "dst": z["cell_id"].to_numpy()[to], "p": q[np.arange(len(a)), to]})
-
-    return src.unionByName(dst).groupBy("sample_id", "time_h", "part").applyInPandas(run, "sample_id string, time_h double, src bigint, dst bigint, p double")
+    ratio = known.agg((F.avg("prot") / F.avg("rna")).alias("ratio"))
+    means = [prefix_fallback(names, known.select("known", c), c).select("name", F.col("value").alias(c)) for c in ("rna", "prot")]
+    half = means[0].join(means[1], "name").join(F.broadcast(ratio)).select("name", "rna", F.coalesce("prot", F.col("rna") * F.col("ratio")).alias("prot"))
+    rates = half.select("name", *[(F.log(F.lit(2.0)) / F.nullif(F.col(c), F.lit(0.0))).alias(d) for c, d in (("rna", "d0"), ("prot", "d1"))])
+    mean = rates.agg(F.avg("d0").alias("m0"), F.avg("d1").alias("m1"))
+    held = lambda d, m: F.when(F.col(d).isNotNull(), F.greatest(F.least(F.col(d), 10 * F.col(m)), F.col(m) / 10)).alias(d)
+    return rates.join(F.broadcast(mean)).select("name", held("d0", "m0"), held("d1", "m1"))
 
 
 def prefix_fallback(names: DataFrame, known: DataFrame, value: str, steps: int = 10) -> DataFrame:

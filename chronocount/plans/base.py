@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,20 @@ x AS (
   SELECT cell_id, gene_id, max(x) AS x FROM counts
   WHERE x >= 0 AND x < 1000000 AND cell_id IN (SELECT cell_id FROM cells) GROUP BY cell_id, gene_id)
 """
+
+
+def registrar(before: str):
+    """Queries by name, their SQL by name, and the decorator that registers a query with SQL that continues the expressions ``before`` it."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    sql: dict[str, str] = {}
+
+    def query(text: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if text:
+                sql[f.__name__] = text if text.startswith("WITH") else before + text
+            return f
+
+        return add
+
+    return queries, sql, query

@@ -6,23 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronocount.operators import compare, depth
+from chronocount.operators.counts import ABSURD, pack_by_cell
 from chronocount.plans import base
 from chronocount.plans.counts_queries import _MOMENTS, rounded
-from chronocount.session import read
+from chronocount.session import cut, read
 
-QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):
-    """Registers a query with its SQL (which continues the common table expressions of ``base``)."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = base.SQL + sql
-        return f
-
-    return add
+QUERIES, SQL, query = base.registrar(base.SQL)
 
 
 _HIST = """, lab AS (SELECT cell_id, {by} FROM cell WHERE {notnull}),
@@ -51,10 +42,13 @@ def ks_two_sample(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(compare.ks_two_sample(_hist(spark, folder, "time_h"), ["gene_id"], F.col("time_h") < 36), "ks")
 
 
-@query(_BY_TIME + _EARLY + "SELECT gene_id, round(sum(gap * width), 6) + 0 AS w1 FROM cum GROUP BY gene_id")
+@query(_BY_TIME + """, sd AS (SELECT gene_id, time_h < 36 AS early, x, sum(n) AS n FROM hist GROUP BY ALL), sz AS (SELECT gene_id, sum(n) FILTER (early) AS na, sum(n) FILTER (NOT early) AS nb FROM sd GROUP BY gene_id),
+up AS (SELECT gene_id, early, x, n, sum(n) OVER (PARTITION BY gene_id, early ORDER BY x) AS t FROM sd), iv AS (SELECT gene_id, early, x, (t - n) * CASE WHEN early THEN nb ELSE na END AS f, t * CASE WHEN early THEN nb ELSE na END AS t, CAST(na * nb AS DOUBLE) AS w FROM up JOIN sz USING (gene_id))
+SELECT a.gene_id AS gene_id, round(sum((least(a.t, b.t) - greatest(a.f, b.f)) / a.w * pow(CAST(a.x AS DOUBLE) - b.x, 2)), 6) + 0 AS cost
+FROM iv a JOIN iv b ON a.gene_id = b.gene_id AND a.early AND NOT b.early AND a.f < b.t AND b.f < a.t GROUP BY a.gene_id""")
 def ot_distance_exact(spark: SparkSession, folder: str) -> DataFrame:
-    """Transport cost between early and late cells, gene by gene."""
-    return rounded(compare.wasserstein(_hist(spark, folder, "time_h"), ["gene_id"], F.col("time_h") < 36), "w1")
+    """Transport cost between early and late cells, gene by gene, at the squared distance."""
+    return rounded(compare.transport_cost(_hist(spark, folder, "time_h"), ["gene_id"], F.col("time_h") < 36), "cost")
 
 
 @query(_BY_TIME + """, t AS (SELECT time_h, lead(time_h) OVER (ORDER BY time_h) AS nx FROM (SELECT DISTINCT time_h FROM hist)), st AS (SELECT * FROM t WHERE nx IS NOT NULL),
@@ -71,7 +65,12 @@ def ks_distance_matrix(spark: SparkSession, folder: str) -> DataFrame:
 SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, round(CASE WHEN a.var > 1e-12 AND b.var > 1e-12 THEN (coalesce(p, 0) / a.n_cells - a.mean * b.mean) / sqrt(a.var * b.var) END, 6) + 0 AS r
 FROM m a JOIN m b ON a.gene_id < b.gene_id LEFT JOIN p ON p.gene_a = a.gene_id AND p.gene_b = b.gene_id""")
 def pearson_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(compare.pearson_matrix(base.counts(spark, folder), base.cells(spark, folder)), "r")
+    # Cells that have no row of ``cells`` don't count.
+    cells = read(spark, folder, "cells").filter("cell_id is not null").select("cell_id").distinct()
+    packed = pack_by_cell(read(spark, folder, "counts").select("cell_id", "gene_id", "x").filter((F.col("x") >= 0) & (F.col("x") < ABSURD))).join(cells, "cell_id", "left_semi")
+    packed = cut(packed)
+    panel = [r[0] for r in packed.select(F.explode("codes").alias("c")).select(F.shiftright("c", 21)).distinct().collect()]
+    return rounded(compare.pearson_matrix(packed, panel, cells.count()), "r")
 
 
 _MEANS = _BY_TIME + ", mt AS (SELECT gene_id, time_h, sum(x * n) / sum(n) AS mean, sqrt(greatest(sum(CAST(x AS DOUBLE) * x * n) / sum(n) - (sum(x * n) / sum(n)) * (sum(x * n) / sum(n)), 0)) AS sd FROM hist GROUP BY gene_id, time_h) "

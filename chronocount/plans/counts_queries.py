@@ -9,19 +9,7 @@ from chronocount.operators import depth, selection
 from chronocount.plans import base
 from chronocount.session import read
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query with its SQL (which continues the common table expressions of ``base``)."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = (base.SQL + sql) if sql.lstrip()[0] in ",S" else sql
-        return f
-
-    return add
+QUERIES, SQL, query = base.registrar(base.SQL)
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -86,32 +74,32 @@ def normalise_log1p(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(depth.log_normalised(base.counts(spark, folder)), "y")
 
 
-_ORDERED = "row_number() OVER (PARTITION BY time_h, sample_id ORDER BY cell_id)"
+_ORDERED = "row_number() OVER (PARTITION BY time_h, sample_id ORDER BY md5('0|' || cell_id), cell_id)"
 
 
 @query(f"SELECT cell_id, time_h, sample_id FROM (SELECT *, {_ORDERED} AS r FROM cell) WHERE r <= 1000 // (SELECT count(DISTINCT time_h) FROM cell)")
 def subsample_per_group(spark: SparkSession, folder: str) -> DataFrame:
-    return selection.subsample_per_group(base.cells(spark, folder), 1000, ["cell_id"]).select("cell_id", "time_h", "sample_id")
+    return selection.subsample_per_group(base.cells(spark, folder), 1000).select("cell_id", "time_h", "sample_id")
 
 
-@query("SELECT cell_id, time_h FROM (SELECT *, row_number() OVER (PARTITION BY time_h ORDER BY cell_id) AS r FROM cell) WHERE r <= 100")
+@query("SELECT cell_id, time_h FROM (SELECT *, row_number() OVER (PARTITION BY time_h ORDER BY md5('0|' || cell_id), cell_id) AS r FROM cell) WHERE r <= 100")
 def subsample_fixed_per_time(spark: SparkSession, folder: str) -> DataFrame:
-    return selection.first_per_group(base.cells(spark, folder), ["time_h"], 100, ["cell_id"]).select("cell_id", "time_h")
+    return selection.subsample_fixed(base.cells(spark, folder), ["time_h"], 100).select("cell_id", "time_h")
 
 
-@query("SELECT cell_id FROM cell ORDER BY cell_id LIMIT 5000")
+@query("SELECT cell_id FROM cell ORDER BY md5('0|' || cell_id), cell_id LIMIT 5000")
 def subset_cells(spark: SparkSession, folder: str) -> DataFrame:
-    return base.cells(spark, folder).select("cell_id").orderBy("cell_id").limit(5000)
+    return selection.subset_cells(base.cells(spark, folder), 5000).select("cell_id")
 
 
 @query(f"SELECT cell_id, CASE WHEN r <= floor(n * 0.6) THEN 'train' ELSE 'test' END AS part FROM (SELECT cell_id, {_ORDERED} AS r, count(*) OVER (PARTITION BY time_h, sample_id) AS n FROM cell)")
 def split_train_test(spark: SparkSession, folder: str) -> DataFrame:
-    return selection.split_train_test(base.cells(spark, folder), 0.6, ["cell_id"]).select("cell_id", "part")
+    return selection.split_train_test(base.cells(spark, folder), 0.6).select("cell_id", "part")
 
 
-@query("SELECT cell_id, (10000 // n + CASE WHEN r <= 10000 % n THEN 1 ELSE 0 END) AS times FROM (SELECT cell_id, row_number() OVER (ORDER BY cell_id) AS r, count(*) OVER () AS n FROM cell WHERE time_h = 0)")
+@query("SELECT cell_id, (10000 // n + CASE WHEN r <= 10000 % n THEN 1 ELSE 0 END) AS times FROM (SELECT cell_id, row_number() OVER (ORDER BY md5('0|' || cell_id), cell_id) AS r, count(*) OVER () AS n FROM cell WHERE time_h = 0)")
 def repeat_min_choice(spark: SparkSession, folder: str) -> DataFrame:
-    return selection.repeat_min_choice(base.cells(spark, folder).filter("time_h = 0").select("cell_id"), 10_000, "cell_id", ["cell_id"])
+    return selection.repeat_min_choice(base.cells(spark, folder).filter("time_h = 0").select("cell_id"), 10_000, "cell_id")
 
 
 @query("SELECT sample_id, CAST(floor(quantile_cont(n, 0.8)) AS BIGINT) AS n_traj, least(CAST(floor(quantile_cont(n, 0.8)) AS BIGINT), 1024) AS batch_size FROM (SELECT sample_id, time_h, count(*) AS n FROM cell WHERE time_h IS NOT NULL GROUP BY ALL) GROUP BY sample_id")
@@ -172,9 +160,9 @@ def project_genes(spark: SparkSession, folder: str) -> DataFrame:
     return base.genes(spark, folder).select("gene_id", "gene_name").join(listed, "gene_name", "left_semi").orderBy("gene_name")
 
 
-@query("SELECT cell_id, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY cell_id) AS r FROM cell WHERE time_h = 0) WHERE r <= 200")
+@query("SELECT cell_id, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5('0|' || cell_id), cell_id) AS r FROM cell WHERE time_h = 0) WHERE r <= 200")
 def select_cells_for_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return selection.select_cells_for_rates(base.cells(spark, folder), 200, ["cell_id"])
+    return selection.select_cells_for_rates(base.cells(spark, folder), 200)
 
 
 @query("SELECT dataset, count(*) AS n_cells FROM cell WHERE time_h = 24 AND cell_type IN ('stemearly', 'stemlate') GROUP BY dataset")

@@ -6,26 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronocount.operators import dynamics, network, trajectory
+from chronocount.operators import compare, dynamics, fit, mixture, network, selection, trajectory
 from chronocount.operators.packed import split_packed
 from chronocount.plans import base
 from chronocount.plans.counts_queries import rounded
 from chronocount.session import cut, read
 
-QUERIES, SQL = {}, {}
-PANEL = 64
 
 
-def query(sql: str | None = None):
-    """Registers a query with its SQL (which continues the common table expressions of ``base``)."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = base.SQL + sql
-        return f
-
-    return add
+QUERIES, SQL, query = base.registrar(base.SQL)
 
 
 _STATE = ", st AS (SELECT cell_id, gene_id, x / (x + 10.0) AS prot, CASE WHEN x > 5 THEN 1.0 ELSE 0.1 END AS kon, coalesce(d1, 0.05) AS d1, time_h, sample_id, dataset FROM x JOIN cell USING (cell_id) JOIN genes USING (gene_id) WHERE time_h IS NOT NULL) "
@@ -68,12 +57,14 @@ def shrink_to_mode(spark: SparkSession, folder: str) -> DataFrame:
     return base.counts(spark, folder).select("cell_id", "gene_id", F.round(s, 6).alias("x"))
 
 
-@query(""", md AS (SELECT cell_id, gene_id, x, CASE WHEN x > 5 THEN 1 ELSE 0 END AS mode FROM x), mm AS (SELECT *, CASE WHEN mode = 1 THEN 20.0 ELSE 2.0 END AS mean FROM md),
-sh AS (SELECT *, pow(abs(x - mean) / (2 * mean), 2) AS a FROM mm), s AS (SELECT cell_id, gene_id, mode, x * (1 - a / (1 + a)) + mean * (a / (1 + a)) AS s FROM sh),
-b AS (SELECT *, min(s) OVER g AS lo, max(s) OVER g AS hi, dense_rank() OVER (PARTITION BY gene_id ORDER BY mode) - 1 AS z FROM s WINDOW g AS (PARTITION BY gene_id, mode))
-SELECT cell_id, gene_id, round((z + coalesce(sqrt((s - lo) / nullif(hi - lo, 0)), 0)) / (max(z) OVER (PARTITION BY gene_id) + 1), 6) + 0 AS prot FROM b""")
+@query(""", md AS (SELECT cell_id, gene_id, x / 20.0 AS x, CASE WHEN x > 5 THEN 1.0 ELSE 0.1 END AS level FROM x),
+s AS (SELECT cell_id, gene_id, level, x * (1 - a / (1 + a)) + level * (a / (1 + a)) AS s FROM (SELECT *, pow(abs(x - level) / (2 * level), 2) AS a FROM md)),
+gn AS (SELECT gene_id, min(s) AS zero, max(s) - min(s) AS top, min(level) AS low, max(level) AS high, count(DISTINCT level) AS l FROM s GROUP BY gene_id),
+en AS (SELECT gene_id, level, min(s) AS f, max(s) AS t, dense_rank() OVER (PARTITION BY gene_id ORDER BY level) - 1 AS z FROM s GROUP BY gene_id, level),
+b AS (SELECT gene_id, level, zero, low, high, l, z, least(f - zero, top / (1 + l - z)) AS f, greatest(t - zero, top / (l - z)) AS t FROM en JOIN gn USING (gene_id))
+SELECT cell_id, gene_id, round(low + (high - low) * (z + sqrt(least(greatest(s - zero, f), t) / (t + 1e-16))) / l, 6) + 0 AS prot FROM s JOIN b USING (gene_id, level)""")
 def init_from_mode(spark: SparkSession, folder: str) -> DataFrame:
-    rows = base.counts(spark, folder).withColumn("mode", (F.col("x") > 5).cast("int")).withColumn("mean", F.when(F.col("mode") == 1, 20.0).otherwise(2.0))
+    rows = base.counts(spark, folder).select("cell_id", "gene_id", (F.col("x") / 20.0).alias("x"), F.when(F.col("x") > 5, 1.0).otherwise(0.1).alias("level"))
     return rounded(trajectory.initial_states(rows), "prot")
 
 
@@ -130,57 +121,79 @@ def _edges(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "ref_network").join(s, "index_name").join(t, "tgt").filter("w is not null").groupBy("src", F.col("t").alias("tgt")).agg(F.avg("w").alias("w"))
 
 
-def _vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """``cell_id, sample_id, time_h, kon, prot`` with arrays over the stimulus and the panel; absent genes are 0 in prot, low in kon."""
-    s = states(spark, folder).filter((F.col("gene_id") >= 1) & (F.col("gene_id") <= PANEL))
-    maps = s.groupBy("cell_id", "sample_id", "time_h").agg(F.map_from_entries(F.collect_list(F.struct("gene_id", F.struct("prot", "kon")))).alias("m"))
-    at = lambda f, other: F.transform(F.sequence(F.lit(1), F.lit(PANEL)), lambda g: F.coalesce(F.try_element_at(F.col("m"), g)[f], F.lit(other)))
-    stim = F.when(F.col("time_h") > 0, 1.0).otherwise(0.0)
-    return maps.select("cell_id", "sample_id", "time_h", F.concat(F.array(stim), at("kon", 0.1)).alias("kon"), F.concat(F.array(stim), at("prot", 0.0)).alias("prot"))
+def _panel_genes(spark: SparkSession, folder: str) -> list[int]:
+    """The genes that have counts, without the stimulus."""
+    return sorted(r[0] for r in base.counts(spark, folder).select("gene_id").distinct().filter("gene_id > 0").collect())
+
+
+def to_fit(spark: SparkSession, folder: str) -> tuple[DataFrame, fit.Panel, list[int]]:
+    """Cells as ``fit.cells_to_fit`` makes them from the mixture of their own counts, the panel, and its genes."""
+    counts, cells, genes = base.counts(spark, folder), base.cells(spark, folder), _panel_genes(spark, folder)
+    hist = cut(compare.histogram(counts, cells, ["time_h"]))
+    mixed = cut(mixture.fit_mixtures(hist))
+    levels = cut(fit.count_levels(mixture.assign_modes(hist, mixed), mixed))
+    times = sorted(r[0] for r in cells.select("time_h").dropna().distinct().collect())
+    return cut(fit.cells_to_fit(counts, cells, levels, genes)), fit.panel_of(mixed, genes, base.genes(spark, folder), times), genes
+
+
+def named(edges: DataFrame, genes: list[int]) -> DataFrame:
+    """``src, tgt, w`` by position as those by gene; -1 stays the intercept."""
+    ids = F.array(*[F.lit(g) for g in (0, *genes)])
+    return edges.select(F.when(F.col("src") < 0, F.col("src")).otherwise(F.get(ids, "src")).alias("src"), F.get(ids, "tgt").alias("tgt"), "w")
 
 
 @query()
 def propagate_trajectories(spark: SparkSession, folder: str) -> DataFrame:
-    """A successor at the next time for every cell of a sample, by unbalanced transport."""
-    v = cut(_vectors(spark, folder).filter("sample_id is not null"))
-    times = [r[0] for r in v.select("time_h").distinct().orderBy("time_h").collect()]
-    pairs = spark.createDataFrame(list(zip(times, times[1:])), "time_h double, next_time double")
-    return trajectory.couple(v, pairs)
+    """The cells that trajectories go through at all times of their sample, by unbalanced transport, with their states."""
+    cells, panel, _ = to_fit(spark, folder)
+    return fit.fit_network(cells, panel, least_rounds=1, most_rounds=1, modes=False).trajectories.select("sample_id", "id", "t", "cell", "prot")
 
 
 @query()
 def infer_network(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges into each gene of the panel: penalised regression of its mode on the states of all genes."""
-    v = _vectors(spark, folder).select("prot", F.sequence(F.lit(1), F.lit(PANEL)).alias("tgt"), F.slice("kon", 2, PANEL).alias("y"))
-    mask = spark.range(1, PANEL + 1).select(F.col("id").cast("int").alias("tgt"), F.transform(F.sequence(F.lit(0), F.lit(PANEL)), lambda g: F.when(g == 0, 0.2).when(g == F.col("id"), 0.0).otherwise(1.0)).alias("m"))
-    return network.regress_rows(v, mask)
+    """Edges into each gene of the panel: penalised regression of its mode on the states of all genes, itself included, over all cells."""
+    cells, panel, genes = to_fit(spark, folder)
+    found = network.fit_rows(cells.select("prot", "kon", F.lit(1.0).alias("weight")), panel.scale, panel.low)
+    return named(fit.Fit(found, cells, []).edges(spark), genes)
 
 
-def _network(spark: SparkSession, folder: str) -> dynamics.Network:
+@query()
+def refine_network(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges of ``infer_network``, each made larger or smaller where it fits better."""
+    cells, panel, genes = to_fit(spark, folder)
+    rows = cells.select("prot", "kon", F.lit(1.0).alias("weight"))
+    found = network.fit_rows(rows, panel.scale, panel.low)
+    return named(fit.Fit(network.refined_rows(rows, found, panel.low), cells, []).edges(spark), genes)
+
+
+def _network(spark: SparkSession, folder: str, genes: list[int]) -> dynamics.Network:
     """The mean prior network over the panel; panel squared numbers come to the driver."""
-    w = np.zeros((PANEL + 1, PANEL + 1))
-    for r in _edges(spark, folder).filter((F.col("src") <= PANEL) & F.col("tgt").between(1, PANEL)).collect():
-        w[r["src"], r["tgt"]] = r["w"]
-    d1 = np.full(PANEL + 1, 0.05)
-    for r in base.genes(spark, folder).filter((F.col("gene_id") <= PANEL) & F.col("d1").isNotNull()).collect():
-        d1[r["gene_id"]] = max(r["d1"], 1e-3)
-    return dynamics.Network(w, np.full(PANEL + 1, -1.0), np.full(PANEL + 1, 0.1), d1, d1 * 5)
+    at = {g: i for i, g in enumerate((0, *genes))}
+    w, d1 = np.zeros((len(at), len(at))), np.full(len(at), 0.05)
+    for r in _edges(spark, folder).filter(F.col("src").isin(list(at)) & F.col("tgt").isin(genes)).collect():
+        w[at[r["src"]], at[r["tgt"]]] = r["w"]
+    for r in base.genes(spark, folder).filter(F.col("gene_id").isin(list(at)) & F.col("d1").isNotNull()).collect():
+        d1[at[r["gene_id"]]] = max(r["d1"], 1e-3)
+    return dynamics.Network(w, np.full(len(at), -1.0), np.full(len(at), 0.1), d1, d1 * 5)
 
 
-def _starts(spark: SparkSession, folder: str) -> DataFrame:
-    return _vectors(spark, folder).filter("time_h = 0").select("cell_id", F.concat(F.array(F.lit(1.0)), F.slice("prot", 2, PANEL)).alias("prot"))
+def _starts(cells: DataFrame) -> DataFrame:
+    n = F.size("prot") - 1
+    return cells.filter("time_h = 0").select("cell_id", F.concat(F.array(F.lit(1.0)), F.slice("prot", F.lit(2), n)).alias("prot"))
 
 
 @query()
 def ode_simulate(spark: SparkSession, folder: str) -> DataFrame:
     """Every cell of time 0, simulated over 24 hours."""
-    return dynamics.simulate(_starts(spark, folder), _network(spark, folder), [0.0, 6.0, 12.0, 24.0])
+    cells, panel, genes = to_fit(spark, folder)
+    return dynamics.simulate(_starts(cells), _network(spark, folder, genes), [t for t in panel.times if t <= 24])
 
 
 @query()
 def jump_simulate(spark: SparkSession, folder: str) -> DataFrame:
     """The same as a jump process."""
-    return dynamics.simulate(_starts(spark, folder), _network(spark, folder), [0.0, 6.0, 12.0], jumps=True)
+    cells, panel, genes = to_fit(spark, folder)
+    return dynamics.simulate(_starts(cells), _network(spark, folder, genes), [t for t in panel.times if t <= 12], jumps=True)
 
 
 @query()
@@ -192,7 +205,10 @@ def perturb(spark: SparkSession, folder: str) -> DataFrame:
     out, the others act. A gene in both lists is held on, which comes last. A
     combination that can't be simulated is one row with its ``reason``.
     """
-    panel = base.genes(spark, folder).filter(F.col("gene_id").between(1, PANEL)).select("gene_name", "gene_id")
+    cells, _, genes = to_fit(spark, folder)
+    ids = spark.createDataFrame([(g, i + 1) for i, g in enumerate(genes)], "gene_id int, at int")
+    # Genes go by their position in the panel.
+    panel = base.genes(spark, folder).join(F.broadcast(ids), "gene_id").select("gene_name", F.col("at").alias("gene_id"))
     listed = read(spark, folder, "ko_ov_list").select("combo_id", "dataset", "ko", "ov").distinct().select("combo_id", "dataset", split_packed("ko").alias("ko"), split_packed("ov").alias("ov"))
     key = ["combo_id", "dataset"]
     each = listed.select(*key, F.explode(F.concat(F.transform("ko", lambda g: F.struct(F.lit(False).alias("up"), g.alias("gene_name"))), F.transform("ov", lambda g: F.struct(F.lit(True).alias("up"), g.alias("gene_name"))))).alias("g")).select(*key, "g.*")
@@ -202,18 +218,17 @@ def perturb(spark: SparkSession, folder: str) -> DataFrame:
     )
     empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
     known = listed.select(*key).distinct().join(each, (F.col("combo_id") == F.col("c")) & F.col("dataset").eqNullSafe(F.col("d")), "left").select(*key, empty("off", "array<int>"), empty("on", "array<int>"), empty("unknown", "array<string>"))
-    # A cell without counts starts from zeros.
-    nothing = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), PANEL))
     first = base.cells(spark, folder).filter("time_h = 0 and dataset is not null").select("cell_id", "dataset")
-    starts = cut(first.join(_starts(spark, folder), "cell_id", "left").select("cell_id", "dataset", F.coalesce("prot", nothing).alias("prot")))
+    starts = cut(first.join(_starts(cells), "cell_id"))
     there = starts.select(F.col("dataset").alias("d"), F.lit(True).alias("there")).distinct()
     reason = F.when(F.size("off") + F.size("on") + F.size("unknown") == 0, "no genes listed").when(F.size("off") + F.size("on") == 0, "no gene of the panel").when(F.col("there").isNull(), "no cells of time 0")
     known = known.withColumn("off", F.array_except("off", "on")).join(F.broadcast(there), F.col("dataset") == F.col("d"), "left").withColumn("reason", reason).drop("d", "there")
     known = cut(known.withColumn("set_id", F.xxhash64("dataset", "off", "on")))
     times = sorted(r[0] for r in base.cells(spark, folder).select("time_h").dropna().distinct().collect())
     sets = known.filter("reason is null").select("set_id", "dataset", "off", "on").distinct()
-    means = dynamics.perturbed_means(starts, sets, _network(spark, folder), times)
-    done = known.filter("reason is null").drop("reason").join(means, "set_id").select(*key, "time_h", F.posexplode("prot").alias("gene_id", "prot"), "n_cells", "unknown", F.lit(None).cast("string").alias("reason")).filter("gene_id > 0")
+    means = dynamics.perturbed_means(starts, sets, _network(spark, folder, genes), times)
+    done = known.filter("reason is null").drop("reason").join(means, "set_id").select(*key, "time_h", F.posexplode("prot").alias("at", "prot"), "n_cells", "unknown", F.lit(None).cast("string").alias("reason")).filter("at > 0")
+    done = done.join(F.broadcast(ids), "at").select(*key, "time_h", "gene_id", "prot", "n_cells", "unknown", "reason")
     return done.unionByName(known.filter("reason is not null").select(*key, "unknown", "reason"), allowMissingColumns=True)
 
 
@@ -253,39 +268,30 @@ def join_prefix_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def alternate_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """Three rounds of coupling and regression: each round couples on the modes that the last network predicts, mixed with the measured ones.
+    """Trajectories, network, switch times and modes by turns until at rest: the edges, with the error of the last turn and the number of turns."""
+    cells, panel, genes = to_fit(spark, folder)
+    found = fit.fit_network(cells, panel)
+    return named(found.edges(spark), genes).withColumns({"error": F.lit(found.errors[-1] if found.errors else None).cast("double"), "turns": F.lit(len(found.errors))})
 
-    Result: the edges of the last round with its error (mean cross entropy).
-    """
-    v = cut(_vectors(spark, folder).filter("sample_id is not null"))
-    times = [r[0] for r in v.select("time_h").distinct().orderBy("time_h").collect()]
-    pairs = spark.createDataFrame(list(zip(times, times[1:])), "time_h double, next_time double")
-    mask = spark.range(1, PANEL + 1).select(F.col("id").cast("int").alias("tgt"), F.transform(F.sequence(F.lit(0), F.lit(PANEL)), lambda g: F.when(g == 0, 0.2).when(g == F.col("id"), 0.0).otherwise(1.0)).alias("m"))
-    state, edges, error = v, None, None
-    for turn in range(1, 4):
-        successor = cut(trajectory.couple(state, pairs, rounds_done=turn, seed=turn))
-        # The state of a cell explains the mode of its successor.
-        y = successor.select(F.col("src").alias("cell_id"), "dst").join(v.select(F.col("cell_id").alias("dst"), "kon"), "dst").select("cell_id", F.posexplode("kon").alias("tgt", "y")).filter("tgt > 0")
-        edges = cut(network.regress(v.select("cell_id", "prot"), y, mask, "cell_id", rounds=60))
-        w = np.zeros((PANEL + 2, PANEL + 1))
-        for r in edges.collect():  # panel squared
-            w[r["src"], r["tgt"]] = r["w"]
-        predicted = _predicted(v, w)
-        loss = network.cross_entropy(F.col("z.p"), F.col("z.k"))
-        error = predicted.select(F.explode(F.arrays_zip(F.col("guess").alias("p"), F.col("kon").alias("k"))).alias("z")).agg(F.avg(loss).alias("e")).first()["e"]
-        state = cut(predicted.select("cell_id", "sample_id", "time_h", F.zip_with("kon", "guess", lambda a, b: (a / turn) + (1 - 1 / turn) * b).alias("kon"), "prot"))
-    return edges.withColumn("error", F.lit(error))
-
-
-def _predicted(v: DataFrame, w: np.ndarray) -> DataFrame:
-    """``v`` with ``guess``, the modes that edges (rows by source, the last the intercept) predict; the stimulus' own is kept."""
-
-    def run(batches):
-        for b in batches:
-            if len(b):
-                p = np.stack(b["prot"].to_numpy())
-                guess = 1 / (1 + np.exp(-np.clip(p @ w[:-1] + w[-1], -50, 50)))
-                guess[:, 0] = np.stack(b["kon"].to_numpy())[:, 0]
-                yield b.assign(guess=list(guess))
-
-    return v.select("cell_id", "sample_id", "time_h", "kon", "prot").mapInPandas(run, "cell_id bigint, sample_id string, time_h double, kon array<double>, prot array<double>, guess array<double>")
+
+@query()
+def infer_test(spark: SparkSession, folder: str) -> DataFrame:
+    """``part, turns, error``: how well the network that the train cells give holds on their own and on the test cells' trajectories."""
+    cells, panel, _ = to_fit(spark, folder)
+    part = cut(selection.split_train_test(base.cells(spark, folder)).select("cell_id", "part"))
+    both = cut(cells.join(part, "cell_id"))
+    train = both.filter("part = 'train'")
+    found = network.fit_rows(train.select("prot", "kon", F.lit(1.0).alias("weight")), panel.scale, panel.low)
+    rows = []
+    for name in ("train", "test"):
+        done = fit.fit_network(both.filter(F.col("part") == name), panel, fixed=fit.Network(found.w, found.b), least_rounds=3, most_rounds=6)
+        rows.append((name, len(done.errors), done.errors[-1] if done.errors else None))
+    return spark.createDataFrame(rows, "part string, turns int, error double")
+
+
+@query()
+def refit_trajectories(spark: SparkSession, folder: str) -> DataFrame:
+    """The trajectories of one turn, with their states made anew on the modes' own levels."""
+    cells, panel, _ = to_fit(spark, folder)
+    found = fit.fit_network(cells, panel, least_rounds=1, most_rounds=1, modes=False)
+    return fit.unit_trajectories(found.trajectories, panel).select("sample_id", "id", "t", "cell", "prot")

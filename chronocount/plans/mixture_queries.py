@@ -12,19 +12,9 @@ from chronocount.plans.compare_queries import _BY_TIME
 from chronocount.plans.counts_queries import _MOMENTS, rounded
 from chronocount.session import cut
 
-QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):
-    """Registers a query with its SQL (which continues the common table expressions of ``base``)."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = base.SQL + sql
-        return f
-
-    return add
+QUERIES, SQL, query = base.registrar(base.SQL)
 
 
 _FIT = _MOMENTS + """, f0 AS (SELECT gene_id, mean, CASE WHEN mean <= 0 THEN 1 WHEN var <= mean + 1e-8 THEN greatest(50, mean) ELSE greatest(1e-3, mean * mean / nullif(var - mean, 0)) END AS k FROM m),

@@ -15,19 +15,9 @@ from chronocount.session import cut, read
 from chronocount.sources.text import up_to_last
 from chronocount.streaming.events import daily_counts
 
-QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):
-    """Registers a query with its SQL (which continues the common table expressions of ``base``)."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = base.SQL + sql
-        return f
-
-    return add
+QUERIES, SQL, query = base.registrar(base.SQL)
 
 
 @query("SELECT gene_id, time_h, count(*) AS n, sum(x) AS total FROM x JOIN cell USING (cell_id) GROUP BY gene_id, time_h")
@@ -62,13 +52,18 @@ def semi_gene_filter(spark: SparkSession, folder: str) -> DataFrame:
 _PROFILES = ", pf AS (SELECT cell_id, list_sort(list({'g': gene_id, 'x': x})) AS p, any_value(dataset) AS dataset, any_value(time_h) AS time_h FROM x JOIN cell USING (cell_id) WHERE x > 0 GROUP BY cell_id) "
 
 
-@query(_PROFILES + ", h AS (SELECT a.cell_id AS src, b.cell_id AS dst, count(*) OVER (PARTITION BY a.cell_id) AS n FROM pf a JOIN pf b ON a.p = b.p) SELECT src, dst, round(1 / n, 6) + 0 AS w FROM h")
+@query(_PROFILES + """, nx AS (SELECT *, lead(cell_id) OVER (PARTITION BY dataset ORDER BY time_h, cell_id) AS next_id FROM pf),
+al AS (SELECT p, count(*) AS k FROM nx GROUP BY p), cl AS (SELECT p, next_id AS dst, count(*) AS n FROM nx WHERE next_id IS NOT NULL GROUP BY p, next_id)
+SELECT s.cell_id AS src, count(*) AS n_next, round(sum(n / k), 6) + 0 AS w FROM nx s JOIN cl USING (p) JOIN al USING (p) GROUP BY s.cell_id""")
 def join_exact_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells found by their whole profile; each is found at least by its own."""
+    """How many successors (the cells after those of the same profile in their dataset) each cell has by its whole profile, and their weight."""
     own = base.counts(spark, folder).filter("x > 0").join(base.cells(spark, folder).select("cell_id"), "cell_id")
     p = own.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("gene_id", "x"))).alias("x"))
-    hit = trajectory.exact_profiles(p.select(F.col("cell_id").alias("key"), "x"), p.select("x", F.col("cell_id").alias("next_id")))
-    return rounded(hit, "w")
+    p = cut(p.join(base.cells(spark, folder).select("cell_id", "dataset", "time_h"), "cell_id"))
+    after = F.lead("cell_id").over(Window.partitionBy("dataset").orderBy(F.col("time_h").asc_nulls_last(), "cell_id"))
+    classes, members = trajectory.exact_profiles(p.select(F.col("cell_id").alias("key"), "x"), p.withColumn("next_id", after).select("x", "next_id"))
+    per_class = classes.groupBy("profile").agg(F.count(F.lit(1)).alias("n_next"), F.sum("w").alias("w"))
+    return rounded(members.join(per_class, "profile").select("src", "n_next", "w"), "w")
 
 
 @query(", c AS (SELECT cell_id, rd, time_h, lead(rd) OVER (PARTITION BY sample_id ORDER BY time_h, cell_id) AS nx FROM cell WHERE rd IS NOT NULL AND sample_id IS NOT NULL AND time_h IS NOT NULL) SELECT round(avg(pow(ln(1 + rd) - ln(1 + nx), 2)), 6) + 0 AS metric FROM c WHERE nx IS NOT NULL")
@@ -81,11 +76,22 @@ def coupling_metric(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.coupling_metric(coupling, state, state.withColumnRenamed("cell", "src"), 1), "metric")
 
 
-@query("SELECT gene_id, round(ln(2) / (0.7 / nullif(d1, 0)), 6) + 0 AS rate FROM genes WHERE d1 IS NOT NULL")
+_HALF = """kn AS (SELECT gene_name AS known, ln(2) / nullif(d0, 0) AS rna, ln(2) / nullif(d1, 0) AS prot FROM genes WHERE gene_name IS NOT NULL),
+nm AS (SELECT DISTINCT gene AS name FROM gene_list WHERE trim(gene) <> ''), tr AS (SELECT DISTINCT name, substr(name, 1, CAST(floor(length(name) * (10 - i) / 10) AS INT)) AS part FROM nm, (SELECT unnest(range(0, 10)) AS i)),
+mt AS (SELECT name, part, avg(rna) AS rna, avg(prot) AS prot FROM tr JOIN kn ON starts_with(known, part) WHERE part <> '' GROUP BY ALL),
+bs AS (SELECT name, arg_max({'r': rna, 'p': prot}, length(part)) AS b FROM mt GROUP BY name), av AS (SELECT avg(rna) AS r, avg(prot) AS p FROM kn),
+hl AS (SELECT name, CASE WHEN b IS NULL THEN av.r ELSE b.r END AS rna, CASE WHEN b IS NULL THEN av.p ELSE b.p END AS prot FROM nm LEFT JOIN bs USING (name), av),
+rt AS (SELECT name, ln(2) / nullif(rna, 0) AS d0, ln(2) / nullif(coalesce(prot, rna * av.p / av.r), 0) AS d1 FROM hl, av), mn AS (SELECT avg(d0) AS m0, avg(d1) AS m1 FROM rt)
+SELECT name, round(CASE WHEN d0 IS NOT NULL THEN greatest(least(d0, 10 * m0), m0 / 10) END, 6) + 0 AS d0, round(CASE WHEN d1 IS NOT NULL THEN greatest(least(d1, 10 * m1), m1 / 10) END, 6) + 0 AS d1 FROM rt, mn"""
+
+
+@query(", " + _HALF)
 def halflife_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Decay rates from half-lives."""
-    half = F.lit(0.7) / F.nullif("d1", F.lit(0.0))
-    return base.genes(spark, folder).filter("d1 is not null").select("gene_id", F.round(F.log(F.lit(2.0)) / half, 6).alias("rate"))
+    """Decay rates of every listed name, from the half-lives of the genes that share its longest prefix."""
+    half = lambda c, name: (F.log(F.lit(2.0)) / F.nullif(F.col(c), F.lit(0.0))).alias(name)
+    known = base.genes(spark, folder).filter("gene_name is not null").select(F.col("gene_name").alias("known"), half("d0", "rna"), half("d1", "prot"))
+    names = read(spark, folder, "gene_list").filter(F.trim("gene") != "").select(F.col("gene").alias("name")).distinct()
+    return rounded(trajectory.halflife_rates(names, known), "d0", "d1")
 
 
 @query("SELECT combo_id, CASE WHEN regexp_matches(trim(coalesce(ko, '')), '^(|0|nan|None)$') THEN 0 ELSE 1 END AS any_off FROM (SELECT DISTINCT combo_id, ko, ov FROM ko_ov_list)")

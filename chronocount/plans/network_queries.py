@@ -7,28 +7,19 @@ from pyspark.sql import functions as F
 
 from chronocount.operators import evaluate, network
 from chronocount.operators.packed import REFERENCE_DELIMITERS, split_packed
+from chronocount.plans import base
 from chronocount.plans.counts_queries import rounded
 from chronocount.session import read
 
-QUERIES, SQL = {}, {}
 
-_EDGE = r"""WITH e AS (SELECT edge_id AS key, trim(src) AS src, trim(tgt) AS tgt, max(CASE WHEN regexp_matches(lower(coalesce(effect, '')), 'inhib|repress|negativ|down|suppress|block') THEN -1 ELSE 1 END) AS sign
+_EDGE = r"""WITH e AS (SELECT edge_id AS key, trim(src) AS src, trim(tgt) AS tgt, max(CASE WHEN contains(lower(coalesce(effect, '')), 'inhibit') OR regexp_matches(lower(coalesce(effect, '')), '\b(repression|repress|negative|downregulat|antagonis)') THEN -1 ELSE 1 END) AS sign
   FROM neko_edges WHERE trim(src) <> '' AND trim(tgt) <> '' GROUP BY ALL),
 r AS (SELECT DISTINCT net_id, s.gene_id AS src, t.gene_id AS tgt, w FROM ref_network JOIN genes s ON s.gene_name = index_name JOIN genes t ON t.gene_name = ref_network.tgt),
 n AS (SELECT net_id, src, tgt, max(w) AS w FROM r WHERE w IS NOT NULL GROUP BY ALL),
 nw AS (SELECT src, tgt, avg(w) AS w FROM n GROUP BY ALL) """
 
 
-def query(sql: str | None = None):
-    """Registers a query with its SQL (which continues the common table expressions above)."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = _EDGE + sql
-        return f
-
-    return add
+QUERIES, SQL, query = base.registrar(_EDGE)
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,12 +57,13 @@ def normalise_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(""", d AS (SELECT DISTINCT src, tgt FROM e), s AS (SELECT DISTINCT src FROM d),
 l1 AS (SELECT src, tgt AS node FROM d WHERE src <> tgt),
-l2 AS (SELECT DISTINCT l1.src, d.tgt AS node FROM l1 JOIN d ON d.src = l1.node WHERE d.tgt <> l1.src EXCEPT SELECT * FROM l1)
-SELECT src, src AS node, 0 AS dist FROM s UNION ALL SELECT src, node, 1 FROM (SELECT DISTINCT * FROM l1) UNION ALL SELECT src, node, 2 FROM l2""")
+l2 AS (SELECT DISTINCT l1.src, d.tgt AS node FROM l1 JOIN d ON d.src = l1.node WHERE d.tgt <> l1.src EXCEPT SELECT * FROM l1),
+l3 AS (SELECT DISTINCT l2.src, d.tgt AS node FROM l2 JOIN d ON d.src = l2.node WHERE d.tgt <> l2.src EXCEPT SELECT * FROM l1 EXCEPT SELECT * FROM l2)
+SELECT src, src AS node, 0 AS dist FROM s UNION ALL SELECT src, node, 1 FROM (SELECT DISTINCT * FROM l1) UNION ALL SELECT src, node, 2 FROM l2 UNION ALL SELECT src, node, 3 FROM l3""")
 def graph_reach(spark: SparkSession, folder: str) -> DataFrame:
-    """Nodes within two steps of every source."""
+    """Nodes within three steps of every source."""
     e = _edges(spark, folder)
-    return network.graph_reach(e, e.select("src"), 2)
+    return network.graph_reach(e, e.select("src"), 3)
 
 
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,17 +76,21 @@ st AS (SELECT src AS node, tgt AS nx, sum(CASE WHEN sign > 0 THEN 1.0 ELSE 0 END
 w1 AS (SELECT nm.node AS src, nx AS node, p AS pos, q AS neg FROM nm JOIN st USING (node)),
 w2 AS (SELECT w.src, nx AS node, sum(pos * p + neg * q) AS pos, sum(pos * q + neg * p) AS neg FROM w1 w JOIN st USING (node) WHERE w.node NOT IN (FROM nm) GROUP BY ALL),
 n2 AS (SELECT w2.* FROM w2 LEFT JOIN w1 USING (src, node) WHERE w1.src IS NULL AND w2.src <> w2.node),
-paths AS (SELECT src, tgt, sign, 1 AS dist FROM dir UNION ALL SELECT src, node, CASE WHEN pos >= neg THEN 1 ELSE -1 END, 2 FROM n2 WHERE node IN (FROM nm)) """
+w3 AS (SELECT w.src, nx AS node, sum(pos * p + neg * q) AS pos, sum(pos * q + neg * p) AS neg FROM n2 w JOIN st USING (node) WHERE w.node NOT IN (FROM nm) GROUP BY ALL),
+n3 AS (SELECT w3.* FROM w3 LEFT JOIN w1 ON w1.src = w3.src AND w1.node = w3.node LEFT JOIN n2 ON n2.src = w3.src AND n2.node = w3.node WHERE w1.src IS NULL AND n2.src IS NULL AND w3.src <> w3.node),
+paths AS (SELECT src, tgt, sign, 1 AS dist FROM dir UNION ALL SELECT src, node, CASE WHEN pos >= neg THEN 1 ELSE -1 END, 2 FROM n2 WHERE node IN (FROM nm)
+  UNION ALL SELECT src, node, CASE WHEN pos >= neg THEN 1 ELSE -1 END, 3 FROM n3 WHERE node IN (FROM nm)) """
 
 
 @query(_PATHS + "SELECT * FROM paths")
 def prior_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Signs between the genes of the panel, within two steps."""
-    return network.prior_paths(_edges(spark, folder), _listed(spark, folder), 2)
+    """Signs between the genes of the panel, within three steps."""
+    return network.prior_paths(_edges(spark, folder), _listed(spark, folder))
 
 
 _PRIOR = _PATHS + """, g AS (SELECT gene_id, gene_name FROM genes WHERE gene_id BETWEEN 1 AND 64),
-pm AS (SELECT s.src, t.gene_id AS tgt, CAST(CASE WHEN s.src = t.gene_id THEN 1 ELSE coalesce(p.sign, 1) END AS DOUBLE) AS w
+kn AS (SELECT src AS nm FROM paths UNION SELECT tgt FROM paths),
+pm AS (SELECT s.src, t.gene_id AS tgt, CAST(CASE WHEN s.src = 0 THEN 0 WHEN s.src = t.gene_id OR t.gene_name NOT IN (FROM kn) OR p.sign > 0 THEN 1 ELSE 0 END AS DOUBLE) AS w
   FROM (SELECT 0 AS src, NULL AS nm UNION ALL SELECT gene_id, gene_name FROM g) s CROSS JOIN g t LEFT JOIN paths p ON p.src = s.nm AND p.tgt = t.gene_name) """
 
 

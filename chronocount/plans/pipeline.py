@@ -11,12 +11,13 @@ import sys
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronocount.operators import compare, depth, dynamics, mixture, network, selection, trajectory
+from chronocount.operators import compare, depth, dynamics, fit, mixture, network, selection
 from chronocount.plans import base
-from chronocount.session import cut
+from chronocount.plans.dynamics_queries import named
+from chronocount.session import cut, read, release
 from chronocount.sources.text import sink_tables
 
 
@@ -38,24 +39,34 @@ def split_step(spark: SparkSession, source: str, out: str) -> None:
     sink_tables({"split": selection.split_train_test(base.cells(spark, source)).select("cell_id", "part")}, out)
 
 
+def _corrected(spark: SparkSession, source: str, out: str) -> DataFrame:
+    return depth.depth_corrected(base.counts(spark, source), spark.read.parquet(f"{out}/rd.parquet"))
+
+
+def _part(spark: SparkSession, source: str, out: str, part: str) -> DataFrame:
+    """The cells of the train or test part."""
+    return base.cells(spark, source).join(spark.read.parquet(f"{out}/split.parquet").filter(F.col("part") == part), "cell_id", "left_semi")
+
+
+def _histogram(spark: SparkSession, source: str, out: str) -> DataFrame:
+    """Counts over depth of the train cells, by gene and time."""
+    return compare.histogram(_corrected(spark, source, out), _part(spark, source, out, "train"), ["time_h"])
+
+
 def mixture_step(spark: SparkSession, source: str, out: str) -> None:
-    """mixture: two modes per gene, on counts over depth."""
-    corrected = depth.depth_corrected(base.counts(spark, source), spark.read.parquet(f"{out}/rd.parquet"))
-    sink_tables({"mixture": mixture.fit_mixtures(compare.histogram(corrected, base.cells(spark, source), ["time_h"]))}, out)
+    """mixture: two modes per gene, on the train cells' counts over depth."""
+    sink_tables({"mixture": mixture.fit_mixtures(_histogram(spark, source, out))}, out)
 
 
 def modes_step(spark: SparkSession, source: str, out: str) -> None:
-    """modes: the mode of every (gene, time, count)."""
-    corrected = depth.depth_corrected(base.counts(spark, source), spark.read.parquet(f"{out}/rd.parquet"))
-    hist = compare.histogram(corrected, base.cells(spark, source), ["time_h"])
-    sink_tables({"modes": mixture.assign_modes(hist, spark.read.parquet(f"{out}/mixture.parquet"))}, out)
+    """modes: the mode of every (gene, time, count) of the train cells."""
+    sink_tables({"modes": mixture.assign_modes(_histogram(spark, source, out), spark.read.parquet(f"{out}/mixture.parquet"))}, out)
 
 
 def selection_step(spark: SparkSession, source: str, out: str) -> None:
-    """selected: genes that vary over time or between types."""
-    corrected = depth.depth_corrected(base.counts(spark, source), spark.read.parquet(f"{out}/rd.parquet"))
-    cells, modes = base.cells(spark, source), spark.read.parquet(f"{out}/modes.parquet").filter("mode > 0 and x > 0")
-    up = corrected.join(cells.select("cell_id", "time_h"), "cell_id").join(modes.select("gene_id", "time_h", "x"), ["gene_id", "time_h", "x"], "left_semi").select("cell_id", "gene_id")
+    """selected: genes that vary over time or between types, among the train cells."""
+    cells, modes = _part(spark, source, out, "train"), spark.read.parquet(f"{out}/modes.parquet").filter("mode > 0 and x > 0")
+    up = _corrected(spark, source, out).join(cells.select("cell_id", "time_h"), "cell_id").join(modes.select("gene_id", "time_h", "x"), ["gene_id", "time_h", "x"], "left_semi").select("cell_id", "gene_id")
     sink_tables({"selected": selection.select_de_genes(selection.temporal_variation(up, cells), selection.celltype_variation(up, cells))}, out)
 
 
@@ -68,75 +79,90 @@ def _genes(spark: SparkSession, out: str) -> list[int]:
 
 
 def states_step(spark: SparkSession, source: str, out: str) -> None:
-    """states: arrays kon and prot of the train cells over the stimulus and the selected genes.
-
-    kon is the shape of the count's mode over the largest one of its gene and
-    time, prot the count shrunk to its mode and spread over the mode's step.
-    Both depend on (gene, time, count) alone; absent counts are zeros.
-    """
-    genes, read = _genes(spark, out), lambda t: spark.read.parquet(f"{out}/{t}.parquet")
-    listed = F.broadcast(spark.createDataFrame([(g, i + 1) for i, g in enumerate(genes)], "gene_id int, at int"))
-    means = read("mixture").select("gene_id", "time_h", "mode", (F.col("k") / F.col("c")).alias("mean"))
-    level = read("modes").join(listed, "gene_id", "left_semi").join(means, ["gene_id", "time_h", "mode"])
-    prot = trajectory.initial_states(level.withColumn("cell_id", F.struct("time_h", "x"))).select("gene_id", F.col("cell_id.time_h").alias("time_h"), F.col("cell_id.x").alias("x"), "prot")
-    level = cut(level.select("gene_id", "time_h", "x", "kon").join(prot, ["gene_id", "time_h", "x"]).join(listed, "gene_id").select("gene_id", "at", "time_h", "x", F.struct("kon", "prot").alias("s")))
-    train = base.cells(spark, source).filter("time_h is not null").join(read("split").filter("part = 'train'"), "cell_id", "left_semi").select("cell_id", "sample_id", "time_h")
-    corrected = depth.depth_corrected(base.counts(spark, source), read("rd")).filter("x > 0")
-    seen = corrected.join(train.select("cell_id", "time_h"), "cell_id").join(level, ["gene_id", "time_h", "x"]).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "s"))).alias("m"))
-    # A (gene, time) without a zero in any cell needs none.
-    zero = level.filter("x = 0").groupBy("time_h").agg(F.map_from_entries(F.collect_list(F.struct("at", "s"))).alias("z"))
-    rows = train.join(seen, "cell_id", "left").join(F.broadcast(zero), "time_h", "left")
-    of = lambda f: F.transform(F.sequence(F.lit(1), F.lit(len(genes))), lambda g: F.coalesce(F.try_element_at("m", g)[f], F.try_element_at("z", g)[f], F.lit(0.0)))
-    stim = F.array(F.when(F.col("time_h") > 0, 1.0).otherwise(0.0))
-    sink_tables({"states": rows.select("cell_id", "sample_id", "time_h", F.concat(stim, of("kon")).alias("kon"), F.concat(stim, of("prot")).alias("prot"))}, out)
+    """levels: what each count of a (gene, time) means in units of the modes; states, test_states: arrays of the train and test cells over the stimulus and the selected genes."""
+    table = lambda t: spark.read.parquet(f"{out}/{t}.parquet")
+    sink_tables({"levels": fit.count_levels(table("modes"), table("mixture"))}, out)
+    rows = lambda part: fit.cells_to_fit(_corrected(spark, source, out), _part(spark, source, out, part), table("levels"), _genes(spark, out))
+    sink_tables({"states": rows("train"), "test_states": rows("test")}, out)
 
 
 def _times(spark: SparkSession, source: str) -> list[float]:
     return sorted(r[0] for r in base.cells(spark, source).select("time_h").dropna().distinct().collect())
 
 
-def coupling_step(spark: SparkSession, source: str, out: str) -> None:
-    """successors: one train cell of the next time of its sample for every train cell of a sample."""
-    times = _times(spark, source)
-    pairs = spark.createDataFrame(list(zip(times, times[1:])), "time_h double, next_time double")
-    sink_tables({"successors": trajectory.couple(spark.read.parquet(f"{out}/states.parquet").filter("sample_id is not null"), pairs)}, out)
+def _panel(spark: SparkSession, source: str, out: str) -> fit.Panel:
+    """The selected genes' panel, with the prior network of the edge list as the edges' scale."""
+    genes = _genes(spark, out)
+    listed = base.genes(spark, source).filter(F.col("gene_id").isin(genes))
+    edges = network.signed_edges(read(spark, source, "neko_edges"), "edge_id", "src", "tgt", "effect")
+    pairs = network.prior_paths(edges, listed.filter("gene_name is not null").select(F.col("gene_name").alias("node")))
+    none = listed.limit(0).select("gene_id")
+    mask = network.prior_mask(network.prior_matrix(pairs, listed), none)
+    return fit.panel_of(spark.read.parquet(f"{out}/mixture.parquet"), genes, base.genes(spark, source), _times(spark, source), mask)
 
 
 def network_step(spark: SparkSession, source: str, out: str) -> None:
-    """edges: each selected gene's mode, explained by the states of all of them, over all train cells."""
-    genes = _genes(spark, out)
-    n = len(genes)
-    rows = spark.read.parquet(f"{out}/states.parquet").select("prot", F.sequence(F.lit(1), F.lit(n)).alias("tgt"), F.slice("kon", 2, n).alias("y"))
-    mask = spark.createDataFrame([(t, [0.2] + [float(t != s) for s in range(1, n + 1)]) for t in range(1, n + 1)], "tgt int, m array<double>")
-    edges = network.regress_rows(rows, mask)
-    ids = F.array(*[F.lit(g) for g in (0, *genes)])
-    sink_tables({"edges": edges.select(F.when(F.col("src") < 0, F.col("src")).otherwise(F.get(ids, "src")).alias("src"), F.get(ids, "tgt").alias("tgt"), "w")}, out)
+    """edges, trajectories, errors: the network fitted by turns on the train cells, the trajectories it rests on, the error of every turn."""
+    found = fit.fit_network(spark.read.parquet(f"{out}/states.parquet"), _panel(spark, source, out))
+    errors = spark.createDataFrame(list(enumerate(found.errors, 1)), "turn int, error double")
+    sink_tables({"edges": named(found.edges(spark), _genes(spark, out)), "trajectories": found.trajectories, "errors": errors}, out)
 
 
-def simulation_step(spark: SparkSession, source: str, out: str) -> None:
-    """simulated: mean states of the selected genes at all times of the data, from the train cells of the first one under the edges found."""
-    genes, times = _genes(spark, out), _times(spark, source)
-    at = {g: i for i, g in enumerate((0, *genes))}
-    w, b, d1 = np.zeros((len(at), len(at))), np.zeros(len(at)), np.full(len(at), 0.05)
-    for r in spark.read.parquet(f"{out}/edges.parquet").collect():  # selected genes squared
+def _edges(spark: SparkSession, out: str, table: str) -> fit.Network:
+    """The weights of an edge table by position; selected genes squared."""
+    at = {g: i for i, g in enumerate((0, *_genes(spark, out)))}
+    w, b = np.zeros((len(at), len(at))), np.zeros(len(at))
+    for r in spark.read.parquet(f"{out}/{table}.parquet").collect():
         if r["src"] < 0:
             b[at[r["tgt"]]] = r["w"]
         else:
             w[at[r["src"]], at[r["tgt"]]] = r["w"]
-    for r in base.genes(spark, source).filter("d1 is not null").select("gene_id", "d1").collect():
-        if r["gene_id"] in at:
-            d1[at[r["gene_id"]]] = max(r["d1"], 1e-3)
-    # The edges are fitted on kon itself, so no lower mode's value is added.
-    net = dynamics.Network(w, b, np.zeros(len(at)), d1, d1 * 5)
-    starts = spark.read.parquet(f"{out}/states.parquet").filter(F.col("time_h") == times[0]).select("cell_id", F.concat(F.array(F.lit(1.0)), F.slice("prot", 2, len(genes))).alias("prot"))
-    path = dynamics.simulate(starts, net, times).select("time_h", F.posexplode("prot").alias("at", "prot")).filter("at > 0")
+    return fit.Network(w, b)
+
+
+def adapt_step(spark: SparkSession, source: str, out: str) -> None:
+    """unit_edges, rates: the network made anew on states of the modes' own levels, held near the first one, and each gene's decay and ratio of noise."""
+    panel, genes, net = _panel(spark, source, out), _genes(spark, out), _edges(spark, out, "edges")
+    paths = cut(fit.unit_trajectories(spark.read.parquet(f"{out}/trajectories.parquet"), panel))
+    half = network.default_strength(len(panel.low)) / 2
+    found = network.fit_rows(cut(fit.weighted(paths)), panel.scale, panel.low, start=net, reference=net, strength=half, ridge=half)
+    sink_tables({"unit_edges": named(fit.Fit(found, paths, []).edges(spark), genes)}, out)
+    sink_tables({"rates": fit.rates_of(paths, fit.Network(found.w, found.b), panel, genes)}, out)
+
+
+def test_step(spark: SparkSession, source: str, out: str) -> None:
+    """test_errors: the error of the network on trajectories of the test cells, turn by turn, and on those of the train cells in the end."""
+    done = fit.fit_network(spark.read.parquet(f"{out}/test_states.parquet"), _panel(spark, source, out), fixed=_edges(spark, out, "edges"))
+    last = spark.read.parquet(f"{out}/errors.parquet").orderBy(F.col("turn").desc()).limit(1)
+    rows = spark.createDataFrame(list(enumerate(done.errors, 1)), "turn int, error double").select(F.lit("test").alias("part"), "turn", "error")
+    sink_tables({"test_errors": rows.unionByName(last.select(F.lit("train").alias("part"), "turn", "error"))}, out)
+
+
+def simulation_step(spark: SparkSession, source: str, out: str) -> None:
+    """simulated: mean states of the selected genes at all times of the data, from the train cells of the first one under the edges and rates found."""
+    genes, panel, net = _genes(spark, out), _panel(spark, source, out), _edges(spark, out, "unit_edges")
+    at, d1, ratio = {g: i + 1 for i, g in enumerate(genes)}, panel.d1.copy(), np.full(len(genes) + 1, 5.0)
+    for r in spark.read.parquet(f"{out}/rates.parquet").collect():
+        d1[at[r["gene_id"]]], ratio[at[r["gene_id"]]] = r["d1"], r["ratio"]
+    sim = dynamics.Network(net.w, net.b, panel.low, d1, d1 * ratio)
+    starts = spark.read.parquet(f"{out}/states.parquet").filter(F.col("time_h") == panel.times[0]).select("cell_id", F.concat(F.array(F.lit(1.0)), F.slice("prot", 2, len(genes))).alias("prot"))
+    path = dynamics.simulate(starts, sim, panel.times).select("time_h", F.posexplode("prot").alias("at", "prot")).filter("at > 0")
     ids = F.array(*[F.lit(g) for g in (0, *genes)])
     sink_tables({"simulated": path.groupBy("time_h", F.get(ids, "at").alias("gene_id")).agg(F.avg("prot").alias("prot"))}, out)
 
 
+def check_step(spark: SparkSession, source: str, out: str) -> None:
+    """checked: for each selected gene and time the mean state of the train cells' trajectories and of the simulation."""
+    genes = _genes(spark, out)
+    ids, times = F.array(*[F.lit(g) for g in (0, *genes)]), F.array(*[F.lit(t) for t in _times(spark, source)])
+    paths = fit.unit_trajectories(spark.read.parquet(f"{out}/trajectories.parquet"), _panel(spark, source, out))
+    seen = paths.select(F.get(times, "t").alias("time_h"), F.posexplode("prot").alias("at", "prot")).filter("at > 0").groupBy("time_h", F.get(ids, "at").alias("gene_id")).agg(F.avg("prot").alias("seen"))
+    sink_tables({"checked": seen.join(spark.read.parquet(f"{out}/simulated.parquet"), ["time_h", "gene_id"])}, out)
+
+
 STEPS: dict[str, Callable[[SparkSession, str, str], None]] = {
     "depth": depth_step, "split": split_step, "mixture": mixture_step, "modes": modes_step, "selection": selection_step,
-    "states": states_step, "coupling": coupling_step, "network": network_step, "simulation": simulation_step,
+    "states": states_step, "network": network_step, "adapt": adapt_step, "test": test_step, "simulation": simulation_step, "check": check_step,
 }
 
 
@@ -154,4 +180,6 @@ def run(spark: SparkSession, source: str, out: str, steps: list[str] | None = No
 if __name__ == "__main__":
     if len(sys.argv) < 3:
         sys.exit(__doc__)
-    run(SparkSession.builder.appName("chronocount").getOrCreate(), sys.argv[1], sys.argv[2], sys.argv[3:] or None)
+    session = SparkSession.builder.appName("chronocount").getOrCreate()
+    run(session, sys.argv[1], sys.argv[2], sys.argv[3:] or None)
+    release(session)
