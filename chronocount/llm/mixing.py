@@ -9,7 +9,6 @@ dynamic program picks; which documents these are is decided by a seeded hash.
 from __future__ import annotations
 
 import base64
-import importlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,9 +20,11 @@ from pyspark.sql import functions as F
 #: Where the public vocabulary lies; a parameter of every operator here.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
-#: The dynamic program works on the last so many tokens of a budget; what lies
-#: above is filled in proportion to the length counts.
-KNAPSACK_TOKENS = 1 << 14
+#: The dynamic program begins with the last so many tokens of a budget; what lies
+#: above is filled in proportion to the length counts. Where it doesn't reach the
+#: best sum that can be, it goes on with twice as many, up to the second number
+#: or, if asked to be exact, to the whole budget.
+KNAPSACK_TOKENS, MOST_KNAPSACK_TOKENS = 1 << 14, 1 << 18
 
 # Sub-groups that a (source, length) group is ranked in, so that a hot one is never sorted by one task.
 _SALTS = 64
@@ -33,10 +34,11 @@ _SALTS = 64
 def _encoder(path: str):
     import tiktoken
 
-    pattern = importlib.import_module("public_tokenizers").PATTERN
+    from public_tokenizers import PATTERN
+
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("mixing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_sizes(docs: DataFrame, key: str, text: str, source: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -80,11 +82,27 @@ def bounded_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np
     return take
 
 
-def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = KNAPSACK_TOKENS) -> np.ndarray:
-    """Documents to take of each length for ``budget`` tokens; never more tokens than that."""
+def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = KNAPSACK_TOKENS, most: int | None = MOST_KNAPSACK_TOKENS) -> np.ndarray:
+    """Documents to take of each length for ``budget`` tokens; never more tokens than that.
+
+    All lengths are multiples of their greatest common divisor, so the largest
+    such multiple is the best there can be: a fill that reaches it is optimal.
+    One that doesn't is made again with twice the window, up to ``most`` (None:
+    up to the budget, which is the exact optimum of the whole).
+    """
     total = int((lengths * counts).sum())
     if total <= budget:
         return counts.copy()
+    step = int(np.gcd.reduce(lengths[counts > 0]))
+    while True:
+        take = _filled(lengths, counts, budget, min(window, budget), total)
+        best = (budget // step) * step
+        if window >= (budget if most is None else min(most, budget)) or int((lengths * take).sum()) == best:
+            return take
+        window *= 2
+
+
+def _filled(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int, total: int) -> np.ndarray:
     # In proportion first, so that a part of a source looks like the whole.
     take = np.floor(counts * (max(budget - window, 0) / max(total, 1))).astype(np.int64)
     left = budget - int((lengths * take).sum())
@@ -98,7 +116,7 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = KNA
     return take + bounded_knapsack(lengths, counts - take, min(left, window))
 
 
-def mix_plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def mix_plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, exact: bool = False) -> DataFrame:
     """One row per target source: what it has, its budget, and what it gives.
 
     Columns: ``source, target_share, max_repeats, n_docs, own_tokens,
@@ -110,7 +128,8 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = No
     whose source has a target. Documents without a source or with one that has
     no target count nowhere; a target without documents is not reachable; a null
     share or cap counts as 0; of targets named twice the larger share holds.
-    Only counts by length leave the documents' tasks.
+    Only counts by length leave the documents' tasks. With ``exact`` a budget's
+    dynamic program may grow to the whole budget (a bit for each token and step).
     """
     wanted = targets.groupBy("source").agg(
         F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"),
@@ -140,7 +159,7 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = No
                 counts = np.array([], dtype=np.int64) if r["plan_counts"] is None else np.asarray(r["plan_counts"], dtype=np.int64)
                 counts, keep = counts[keep > 0], keep[keep > 0]
                 rest = budget - repeats * own if repeats < cap else 0
-                take = fill(keep, counts, rest) if rest > 0 and own else np.zeros(len(keep), dtype=np.int64)
+                take = fill(keep, counts, rest, most=None if exact else MOST_KNAPSACK_TOKENS) if rest > 0 and own else np.zeros(len(keep), dtype=np.int64)
                 out.append(
                     r | {"budget": budget, "repeats": repeats, "plan_lengths": keep, "plan_counts": take}
                     | {"taken_tokens": repeats * own + int((keep * take).sum()), "reachable": cap * own >= r["target_share"] * r["total_tokens"]}

@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 from chronocount.session import cut
 
+#: Rows a side of a block in which queries meet all rows.
+PART = 4096
+
 #: Rows, lowest by hash, on which the slot width of the k-nearest search is fitted. All rows are indexed.
 FIT_ROWS = 20_000
 
@@ -203,8 +206,8 @@ def nearest(
     ``queries`` and ``base`` are made by ``usable``. Every row of ``base`` is in
     every table; only the slot width is fitted on the ``FIT_ROWS`` rows lowest by
     hash. A query that meets fewer than ``k`` candidates is asked again with half
-    as many functions, in the end with none, which looks at all rows: so a query
-    gets fewer than ``k`` only where ``base`` has no more. Ties go to the smaller
+    as many functions, in the end among all rows, block by block: so a query gets
+    fewer than ``k`` only where ``base`` has no more. Ties go to the smaller
     key. A key that comes twice in ``base`` with one vector counts once.
     """
     base = cut(base.dropDuplicates(["key", "v"]))
@@ -214,9 +217,9 @@ def nearest(
     sample = _matrix(few["v"], dim)
     done: list[DataFrame] = []
     while True:
-        width = _fit_width(sample, n, functions, full, seed) if functions and len(sample) else 1.0
-        found = cut(_search(left, base, dim, k, tables if functions else 1, functions, width, visits, seed))
-        if functions:
+        if functions and len(sample):
+            width = _fit_width(sample, n, functions, full, seed)
+            found = cut(_search(left, base, dim, k, tables, functions, width, visits, seed))
             enough = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("key")
             done.append(found.join(enough, "key", "left_semi"))
             left = cut(left.join(enough, "key", "left_anti"))
@@ -224,7 +227,7 @@ def nearest(
                 break
             functions //= 2
         else:
-            done.append(found)
+            done.append(_among_all(left, base, dim, k))
             break
     return reduce(DataFrame.unionByName, done)
 
@@ -242,7 +245,7 @@ def _search(queries, base, dim, k, tables, functions, width, visits, seed) -> Da
         for b in batches:
             v = _matrix(b["v"], dim)
             for i, t in enumerate(made):
-                row, at, _ = probes(t, v, width * max(functions, 1) ** 0.5, visits)
+                row, at, _ = probes(t, v, width * functions**0.5, visits)
                 yield pd.DataFrame({"t": i, "bucket": at, "key": b["key"].to_numpy()[row], "v": b["v"].to_numpy()[row]})
 
     kind = dict(base.dtypes)["key"]
@@ -254,3 +257,30 @@ def _search(queries, base, dim, k, tables, functions, width, visits, seed) -> Da
     first = met.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k * tables)
     merged = first.groupBy("key", "neighbour").agg(F.min("distance").alias("distance"))
     return merged.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("key", "rank", "neighbour", "distance")
+
+
+def _among_all(queries: DataFrame, base: DataFrame, dim: int, k: int) -> DataFrame:
+    """The nearest of all rows. Both sides are cut by hash into parts of about ``PART`` rows, and a task holds one part of each."""
+    parts = [max(1, -(-df.count() // PART)) for df in (queries, base)]
+    number = lambda n: F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(number(parts[0]).alias("q"), every(parts[1]).alias("b"), "key", "v")
+    there = base.select(every(parts[0]).alias("q"), number(parts[1]).alias("b"), "key", "v")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y, names, out = _matrix(a["v"], dim), _matrix(b["v"], dim), b["key"].to_numpy(), []
+        for key, v in zip(a["key"], x):
+            d = np.sqrt(((y - v) ** 2).sum(axis=1))
+            d[names == key] = np.inf
+            # All rows as near as the k-th, so that ties go by key.
+            near = np.flatnonzero((d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]) & (d < np.inf)) if len(d) else np.zeros(0, int)
+            near = near[np.lexsort((names[near], d[near]))][:k]
+            out.append(pd.DataFrame({"key": key, "neighbour": names[near], "distance": d[near]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["key", "neighbour", "distance"])
+
+    kind = dict(base.dtypes)["key"]
+    found = asked.groupBy("q", "b").cogroup(there.groupBy("q", "b")).applyInPandas(run, f"key {kind}, neighbour {kind}, distance double")
+    # A key that has several vectors asks once with each.
+    by = Window.partitionBy("key").orderBy("distance", "neighbour")
+    merged = found.groupBy("key", "neighbour").agg(F.min("distance").alias("distance"))
+    return merged.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("key", "rank", "neighbour", "distance")

@@ -29,6 +29,17 @@ def test_fill_is_full():
             assert total == budget
 
 
+def test_fill_is_optimal_in_the_end():
+    rng = random.Random(3)
+    for _ in range(60):
+        lengths = np.array(sorted(rng.sample(range(2, 60, 2), 3)))
+        counts = np.array([rng.randrange(0, 5) for _ in range(3)])
+        budget = rng.randrange(1, 300)
+        take = fill(lengths, counts, budget, 4, None)
+        sums = {sum(a * int(b) for a, b in zip(c, lengths)) for c in itertools.product(*[range(n + 1) for n in counts])}
+        assert (take <= counts).all() and (take * lengths).sum() == max(s for s in sums if s <= budget)
+
+
 def _docs(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["word"] * rng.randrange(1, 40)), "hot" if i % 3 == 0 else rng.choice(["a", "b", "none", None])) for i in range(900)]

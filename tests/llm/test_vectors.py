@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from chronocount.llm.vectors import expand_pairs, make_table, near_pairs, nearest, probes, usable
+from chronocount.llm.vectors import _among_all, expand_pairs, make_table, near_pairs, nearest, probes, usable
 
 
 def frame(spark, v, ids=None):
@@ -64,3 +64,17 @@ def test_few_vectors_are_all_found(spark):
     base = usable(frame(spark, [[0.0, 0.0], [100.0, 0.0], [0.0, 900.0], [0.0, 0.0]]), "key", "v", 2)
     got = [(r["key"], r["rank"], r["neighbour"]) for r in nearest(base, base, 2, k=5).orderBy("key", "rank").collect()]
     assert len(got) == 12 and got[:3] == [(0, 1, 3), (0, 2, 1), (0, 3, 2)]
+
+
+def test_blocks_of_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 4, (300, 3)).astype(float)  # many ties
+    base = usable(frame(spark, v), "key", "v", 3)
+    want = []
+    for q in range(0, 300, 30):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        order = [int(i) for i in np.lexsort((np.arange(300), d)) if i != q][:5]
+        want += [(q, r + 1, i, d[i]) for r, i in enumerate(order)]
+    monkeypatch.setattr("chronocount.llm.vectors.PART", 16)
+    got = [tuple(r) for r in _among_all(base.filter("key % 30 = 0"), base, 3, 5).orderBy("key", "rank").collect()]
+    assert got == want
