@@ -319,7 +319,7 @@ def _minimised(
     return scale * base, n, first, mean(state[3], n), int(open_.sum()) if rounds else 0
 
 
-def _newton_step(u: np.ndarray, slope: np.ndarray, curve: np.ndarray, fine: np.ndarray, square: np.ndarray, reference: np.ndarray, free: np.ndarray, sweeps: int = 200) -> np.ndarray:
+def _newton_step(u: np.ndarray, slope: np.ndarray, curve: np.ndarray, fine: np.ndarray, square: np.ndarray, reference: np.ndarray, free: np.ndarray, sweeps: int = 40) -> np.ndarray:
     """The change of ``u`` (target, position) that minimises the penalised quadratic of every target, by coordinates, all targets at once."""
     z, g = u.copy(), slope.copy()
     for _ in range(sweeps):
@@ -331,9 +331,9 @@ def _newton_step(u: np.ndarray, slope: np.ndarray, curve: np.ndarray, fine: np.n
             # No coordinate runs away where the curvature has vanished.
             d = np.clip(new, u[:, j] - 10, u[:, j] + 10) - z[:, j]
             z[:, j] += d
-            g += d[:, None] * curve[:, :, j]
+            g += d[:, None] * curve[:, j]
             most = max(most, np.abs(d).max())
-        if most < 1e-10:
+        if most < 1e-9:
             break
     return z - u
 
@@ -344,9 +344,12 @@ def _sums(rows: DataFrame, names: np.ndarray, w: np.ndarray, low: np.ndarray) ->
     A value is predicted as low + (1 - low) / (1 + exp(-s)); the curvature is its expectation.
     """
     width, count = w.shape
+    # A curvature is symmetric: its upper half is sent.
+    upper = np.triu_indices(width)
+    size = 2 + width + len(upper[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((count, 2 + width + width * width))
+        total = np.zeros((count, size))
         for b in batches:
             for part in (b[i : i + 1000] for i in range(0, len(b), 1000)):
                 a = np.hstack([np.stack(part["prot"].to_numpy()).astype(float), np.ones((len(part), 1))])
@@ -367,16 +370,18 @@ def _sums(rows: DataFrame, names: np.ndarray, w: np.ndarray, low: np.ndarray) ->
                 total[:, 1] += n.sum(axis=0)
                 total[:, 2 : 2 + width] += (n * (k - y) * p / np.maximum(k, 1e-12)).T @ a
                 for t, h in enumerate((n * (1 - low) * p * p * (1 - p) / np.maximum(k, 1e-12)).T):
-                    total[t, 2 + width :] += ((a * h[:, None]).T @ a).ravel()
+                    total[t, 2 + width :] += ((a * h[:, None]).T @ a)[upper]
         yield pd.DataFrame({"at": np.arange(count, dtype=np.int32), "v": list(total)})
 
     def add(b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"at": [b["at"].iloc[0]], "v": [np.stack(b["v"].to_numpy()).sum(axis=0)]})
 
-    out = np.zeros((count, 2 + width + width * width))
+    out = np.zeros((count, size))
     for r in rows.mapInPandas(run, "at int, v array<double>").groupBy("at").applyInPandas(add, "at int, v array<double>").collect():
         out[r["at"]] = r["v"]
-    return out[:, 0], out[:, 1], out[:, 2 : 2 + width], out[:, 2 + width :].reshape(count, width, width)
+    curve = np.zeros((count, width, width))
+    curve[:, upper[0], upper[1]] = curve[:, upper[1], upper[0]] = out[:, 2 + width :]
+    return out[:, 0], out[:, 1], out[:, 2 : 2 + width], curve
 
 
 def filtered_over_time(frames: DataFrame, least: float = 0.05, change: float = 0.01) -> DataFrame:
