@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -37,14 +39,21 @@ def lagged_regression(ks: DataFrame, strength: float = 0.01, rounds: int = 2000)
     return targets.groupBy("tgt").applyInPandas(fit, "src int, tgt int, w double")
 
 
-def forest_importances(cells: DataFrame, width: int, targets: list[int], n_trees: int = 20, seed: int = 0) -> DataFrame:
-    """``src, tgt, w``: how much each other gene (position in the array ``x``) helps a forest to predict the target; one forest per target."""
-    spark, out = cells.sparkSession, []
-    for t in targets:
+def forest_importances(cells: DataFrame, width: int, targets: list[int], n_trees: int = 20, seed: int = 0, at_once: int = 8) -> DataFrame:
+    """``src, tgt, w``: how much each other gene (position in the array ``x``) helps a forest to predict the target; one forest per target.
+
+    Forests are Spark jobs of their own over all cells, ``at_once`` of them at a time.
+    """
+    spark = cells.sparkSession
+
+    def one(t: int) -> list[tuple[int, int, float]]:
         others = [g for g in range(width) if g != t]
         data = cells.select(array_to_vector(F.array(*[F.col("x")[g].cast("double") for g in others])).alias("features"), F.col("x")[t].cast("double").alias("label"))
         model = RandomForestRegressor(numTrees=n_trees, featureSubsetStrategy="sqrt", maxDepth=6, seed=seed).fit(data)
-        out += [(others[i], t, float(v)) for i, v in enumerate(model.featureImportances.toArray())]
+        return [(others[i], t, float(v)) for i, v in enumerate(model.featureImportances.toArray())]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        out = [r for rows in pool.map(one, targets) for r in rows]
     return spark.createDataFrame(out, "src int, tgt int, w double")
 
 
@@ -63,6 +72,12 @@ def predict_cell_types(model, cells: DataFrame, width: int) -> DataFrame:
     return forest.transform(assembler.transform(data)).select("cell_id", labels[F.col("prediction").cast("int")].alias("predicted"))
 
 
+def signed(edges: DataFrame, signs: DataFrame) -> DataFrame:
+    """``edges`` (src, tgt, w) with the signs of ``partial_corr_sign``; an edge of a gene to itself, or one without a sign, stays as it is."""
+    both = signs.select(F.col("gene_a").alias("src"), F.col("gene_b").alias("tgt"), "sign").unionByName(signs.select(F.col("gene_b").alias("src"), F.col("gene_a").alias("tgt"), "sign"))
+    return edges.join(both, ["src", "tgt"], "left").select("src", "tgt", (F.col("w") * F.when(F.col("sign") < 0, -1).otherwise(1)).alias("w"))
+
+
 def swapped(base: DataFrame, perturbed: DataFrame, genes: DataFrame) -> DataFrame:
     """``base`` (cell_id, gene_id, x) with the rows of ``genes`` taken from ``perturbed``; a gene absent there is absent."""
     return base.join(genes, "gene_id", "left_anti").unionByName(perturbed.join(genes, "gene_id", "left_semi"))

@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronocount.operators.counts import gene_and_x, unpacked
+from chronocount.operators.selection import seeded
 
 
 def histogram(counts: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
@@ -170,3 +173,76 @@ def weighted_cosine(pairs: DataFrame, a: str, b: str) -> DataFrame:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, t: s + t)
     norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, t: s + t))
     return pairs.agg((F.sum(dot) / F.sum(norm(a) * norm(b))).alias("cosine"))
+
+
+def evenly_spaced(rows: DataFrame, time: str, most: int = 10) -> DataFrame:
+    """``rows`` of at most ``most`` of the different times, first and last among them, at even steps of their order; null times are left out."""
+    times = rows.select(time).dropna().distinct()
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    place = times.withColumn("_i", F.row_number().over(Window.orderBy(time)) - 1).withColumn("_n", n)
+    # The k-th of them lies at the nearest place to k (n - 1) / (most - 1), halves going to the even one.
+    kept = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * (F.col("_n") - 1) / F.lit(max(most - 1, 1)), 0).cast("int"))
+    chosen = place.filter((F.col("_n") <= most) | F.array_contains(kept, F.col("_i"))).select(time)
+    return rows.join(F.broadcast(chosen), time, "left_semi")
+
+
+def partial_corr_sign(pearson: DataFrame, panel: list[int]) -> DataFrame:
+    """``gene_a, gene_b, sign`` (a < b) of the partial correlation of two genes given all others, from ``pearson_matrix`` (gene_a, gene_b, r).
+
+    The panel squared comes to the driver, whatever the number of cells. The
+    inverse is the pseudo-inverse; a gene without a correlation has sign 0.
+    """
+    at = {g: i for i, g in enumerate(sorted(panel))}
+    m = np.eye(len(at))
+    for r in pearson.filter("r is not null").collect():
+        m[at[r["gene_a"]], at[r["gene_b"]]] = m[at[r["gene_b"]], at[r["gene_a"]]] = r["r"]
+    inverse = -np.linalg.pinv(m, hermitian=True) if len(at) else m
+    names = sorted(panel)
+    rows = [(a, b, int(np.sign(np.round(inverse[i, j], 9)))) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    return pearson.sparkSession.createDataFrame(rows, "gene_a int, gene_b int, sign int")
+
+
+def principal_components(packed: DataFrame, panel: list[int], k: int) -> DataFrame:
+    """``cell_id, pc``: the first ``k`` principal components of log1p counts of packed cells over ``panel``, each with the sign that makes its largest loading positive.
+
+    Fewer genes give fewer components; without cells there are no rows.
+    """
+    genes, k = np.array(sorted(panel)), min(k, len(panel))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            _, code = unpacked(b)
+            gene, x = gene_and_x(code)
+            m = np.zeros((len(b), len(genes)))
+            at = np.minimum(np.searchsorted(genes, gene), max(len(genes) - 1, 0))
+            known = genes[at] == gene
+            m[np.repeat(np.arange(len(b)), b["codes"].str.len())[known], at[known]] = np.maximum(x[known], 0)
+            yield pd.DataFrame({"cell_id": b["cell_id"], "x": list(np.log1p(m))})
+
+    dense = packed.mapInPandas(rows, "cell_id bigint, x array<double>").select("cell_id", array_to_vector("x").alias("x"))
+    if not k or dense.isEmpty():
+        return packed.sparkSession.createDataFrame([], "cell_id bigint, pc array<double>")
+    model = PCA(k=k, inputCol="x", outputCol="pc").fit(dense)
+    load = model.pc.toArray()
+    sign = np.sign(load[np.abs(load).argmax(axis=0), np.arange(k)])
+    turned = F.zip_with(vector_to_array("pc"), F.array(*[F.lit(float(v)) for v in sign]), lambda a, b: a * b)
+    return model.transform(dense).select("cell_id", turned.alias("pc"))
+
+
+def signature_score(counts: DataFrame, cells: DataFrame, moments: DataFrame, genes: DataFrame, bins: int = 25, controls: int = 50, seed: int = 0) -> DataFrame:
+    """``cell_id, score``: mean count of the signature ``genes`` less that of control genes of the same level of expression.
+
+    Genes are ranked by mean (ties by number) into ``bins`` equal bins; each bin
+    that holds a signature gene gives its first ``controls`` other genes by
+    seeded hash. Absent counts are zeros; genes without moments don't count, and
+    without any signature or control gene that mean is 0.
+    """
+    binned = moments.select("gene_id", F.ntile(bins).over(Window.orderBy(F.round("mean", 9), "gene_id")).alias("bin"))  # a row for each gene
+    own = binned.join(genes.select("gene_id").distinct(), "gene_id", "left_semi")
+    order = Window.partitionBy("bin").orderBy(seeded("gene_id", seed), "gene_id")
+    other = binned.join(own.select("gene_id"), "gene_id", "left_anti").join(own.select("bin").distinct(), "bin", "left_semi").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= controls)
+    sides = own.select("gene_id", F.lit(True).alias("own")).unionByName(other.select("gene_id", F.lit(False).alias("own")))
+    size = sides.agg(F.sum(F.col("own").cast("int")).alias("n_own"), F.sum((~F.col("own")).cast("int")).alias("n_other"))
+    sums = counts.join(sides, "gene_id").groupBy("cell_id").agg(F.sum(F.when(F.col("own"), F.col("x"))).alias("a"), F.sum(F.when(~F.col("own"), F.col("x"))).alias("b"))
+    mean = lambda s, n: F.coalesce(F.coalesce(F.col(s), F.lit(0)) / F.nullif(F.col(n), F.lit(0)), F.lit(0.0))
+    return cells.select("cell_id").join(sums, "cell_id", "left").join(F.broadcast(size)).select("cell_id", (mean("a", "n_own") - mean("b", "n_other")).alias("score"))

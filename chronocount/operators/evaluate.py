@@ -56,9 +56,10 @@ def link_list(scored: DataFrame, most: int | None = None) -> DataFrame:
     return links.filter(F.col("rank") <= most) if most else links
 
 
-def padded_curves(curves: DataFrame, key: str, step: str, value: str, n_steps: int) -> DataFrame:
-    """``step, mean, se``: curves of different lengths, each carried on by its last value, then mean and standard error over keys."""
-    keys = curves.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias(step))
+def padded_curves(curves: DataFrame, key: str, step: str, value: str) -> DataFrame:
+    """``step, mean, se``: curves of different lengths, each carried on by its last value to the end of the longest, then mean and standard error over keys."""
+    longest = curves.agg(F.max(step).alias("_last")).filter("_last is not null")
+    keys = curves.select(key).distinct().join(F.broadcast(longest)).select(key, F.explode(F.sequence(F.lit(0), F.col("_last"))).alias(step))
     carried = F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(step).rowsBetween(Window.unboundedPreceding, 0))
     full = keys.join(curves.select(key, step, value), [key, step], "left").withColumn("v", carried).filter("v is not null")
     return full.groupBy(step).agg(F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count(F.lit(1)))).alias("se"))

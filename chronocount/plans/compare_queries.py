@@ -65,12 +65,41 @@ def ks_distance_matrix(spark: SparkSession, folder: str) -> DataFrame:
 SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, round(CASE WHEN a.var > 1e-12 AND b.var > 1e-12 THEN (coalesce(p, 0) / a.n_cells - a.mean * b.mean) / sqrt(a.var * b.var) END, 6) + 0 AS r
 FROM m a JOIN m b ON a.gene_id < b.gene_id LEFT JOIN p ON p.gene_a = a.gene_id AND p.gene_b = b.gene_id""")
 def pearson_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    # Cells that have no row of ``cells`` don't count.
+    return rounded(compare.pearson_matrix(*_packed(spark, folder)), "r")
+
+
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, list[int], int]:
+    """Packed valid counts of the cells of ``cells``, the genes in them, and the number of cells."""
     cells = read(spark, folder, "cells").filter("cell_id is not null").select("cell_id").distinct()
-    packed = pack_by_cell(read(spark, folder, "counts").select("cell_id", "gene_id", "x").filter((F.col("x") >= 0) & (F.col("x") < ABSURD))).join(cells, "cell_id", "left_semi")
-    packed = cut(packed)
+    valid = read(spark, folder, "counts").select("cell_id", "gene_id", "x").filter((F.col("x") >= 0) & (F.col("x") < ABSURD))
+    packed = cut(pack_by_cell(valid).join(cells, "cell_id", "left_semi"))
     panel = [r[0] for r in packed.select(F.explode("codes").alias("c")).select(F.shiftright("c", 21)).distinct().collect()]
-    return rounded(compare.pearson_matrix(packed, panel, cells.count()), "r")
+    return packed, panel, cells.count()
+
+
+@query()
+def partial_corr_sign(spark: SparkSession, folder: str) -> DataFrame:
+    """Sign of the partial correlation of every two genes of the panel."""
+    packed, panel, n = _packed(spark, folder)
+    return compare.partial_corr_sign(compare.pearson_matrix(packed, panel, n), panel)
+
+
+@query()
+def pca(spark: SparkSession, folder: str) -> DataFrame:
+    """The first ten principal components of every cell's log counts."""
+    packed, panel, _ = _packed(spark, folder)
+    return compare.principal_components(packed, panel, 10)
+
+
+@query(_MOMENTS + """, sg AS (SELECT gene_id FROM genes WHERE gene_id <= 10), bn AS (SELECT gene_id, ntile(5) OVER (ORDER BY round(mean, 9), gene_id) AS bin FROM m),
+ow AS (SELECT * FROM bn WHERE gene_id IN (FROM sg)), ot AS (SELECT gene_id FROM (SELECT gene_id, row_number() OVER (PARTITION BY bin ORDER BY md5('0|' || gene_id), gene_id) AS r FROM bn WHERE gene_id NOT IN (FROM sg) AND bin IN (SELECT bin FROM ow)) WHERE r <= 8),
+sm AS (SELECT cell_id, sum(x) FILTER (gene_id IN (SELECT gene_id FROM ow)) AS a, sum(x) FILTER (gene_id IN (FROM ot)) AS b FROM x GROUP BY cell_id)
+SELECT cell_id, round(coalesce(coalesce(a, 0) / nullif((SELECT count(*) FROM ow), 0), 0) - coalesce(coalesce(b, 0) / nullif((SELECT count(*) FROM ot), 0), 0), 6) + 0 AS score FROM cell LEFT JOIN sm USING (cell_id)""")
+def signature_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of the first ten genes against others of their level."""
+    counts, cells = base.counts(spark, folder), base.cells(spark, folder)
+    score = compare.signature_score(counts, cells, depth.gene_moments(counts, cells), base.genes(spark, folder).filter("gene_id <= 10"), 5, 8)
+    return rounded(score, "score")
 
 
 _MEANS = _BY_TIME + ", mt AS (SELECT gene_id, time_h, sum(x * n) / sum(n) AS mean, sqrt(greatest(sum(CAST(x AS DOUBLE) * x * n) / sum(n) - (sum(x * n) / sum(n)) * (sum(x * n) / sum(n)), 0)) AS sd FROM hist GROUP BY gene_id, time_h) "
@@ -97,7 +126,7 @@ def celltype_proportions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_SHARE.format(g="time_h"))
 def celltype_timeline(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(compare.proportions(base.cells(spark, folder), "time_h", "cell_type"), "percent")
+    return rounded(compare.proportions(compare.evenly_spaced(base.cells(spark, folder), "time_h"), "time_h", "cell_type"), "percent")
 
 
 @query(_MOMENTS + """, z AS (SELECT gene_id, mean, sqrt(var) AS sd FROM m WHERE var > 1e-12 AND gene_id <= 10), k AS (SELECT sum(-mean / sd) AS zero, count(*) AS k FROM z),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronocount.functions import nb
-from chronocount.operators import compare, depth, mixture
+from chronocount.operators import compare, depth, mixture, selection
 from chronocount.plans import base
 from chronocount.plans.compare_queries import _BY_TIME
 from chronocount.plans.counts_queries import _MOMENTS, rounded
@@ -29,8 +29,11 @@ jt AS (SELECT *, l + ln(0.5) AS joint, max(l + ln(0.5)) OVER (PARTITION BY gene_
 def _all(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Histogram over all cells, moment fit and two initial modes."""
     counts, cells = base.counts(spark, folder), base.cells(spark, folder).withColumn("all", F.lit(0))
-    hist = compare.histogram(counts, cells, ["all"]).select("gene_id", "x", "n")
-    fit = mixture.moment_fit(depth.gene_moments(counts, cells))
+    # Cut once: moments follow from it too.
+    hist = cut(compare.histogram(counts, cells, ["all"]).select("gene_id", "x", "n"))
+    n, x = F.sum("n"), F.col("x").cast("double")
+    mean = F.sum(x * F.col("n")) / n
+    fit = mixture.moment_fit(hist.groupBy("gene_id").agg(mean.alias("mean"), (F.sum(x * x * F.col("n")) / n - mean * mean).alias("var")))
     return hist, fit, mixture.initial_modes(fit)
 
 
@@ -145,3 +148,13 @@ def mixture_weights_per_cell(spark: SparkSession, folder: str) -> DataFrame:
 def em_soft(spark: SparkSession, folder: str) -> DataFrame:
     """One mixture per gene over all times, by expectation maximisation."""
     return mixture.fit_soft(compare.histogram(base.counts(spark, folder), base.cells(spark, folder), ["time_h"]))
+
+
+@query()
+def fit_mixture_test(spark: SparkSession, folder: str) -> DataFrame:
+    """``gene_id, x, n, mode, p``: counts of the test cells under the modes of the train cells, every mode alike."""
+    counts, cells = base.counts(spark, folder), cut(selection.split_train_test(base.cells(spark, folder)))
+    of = lambda part: compare.histogram(counts.join(cells.filter(F.col("part") == part).select("cell_id"), "cell_id", "left_semi"), cells.filter(F.col("part") == part).withColumn("all", F.lit(0)), ["all"]).select("gene_id", "x", "n")
+    train = compare.histogram(counts, cells.filter("part = 'train'"), ["time_h"])
+    modes = mixture.fit_mixtures(train).select("gene_id", "mode", "k", "c").distinct()
+    return mixture.responsibilities(of("test"), modes).drop("joint")

@@ -124,28 +124,44 @@ def event_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def sincerities(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges from lagged changes of the genes' distributions."""
-    return baselines.lagged_regression(cut(COMPARED["ks_distance_matrix"](spark, folder)))
+    """Edges from lagged changes of the genes' distributions, signed by the partial correlation of the counts."""
+    edges = baselines.lagged_regression(cut(COMPARED["ks_distance_matrix"](spark, folder)))
+    return baselines.signed(edges, COMPARED["partial_corr_sign"](spark, folder))
 
 
-def _wide(spark: SparkSession, folder: str, genes: int) -> DataFrame:
-    few = base.counts(spark, folder).filter(F.col("gene_id").between(1, genes))
-    m = few.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene_id", "x"))).alias("m"))
-    x = F.transform(F.sequence(F.lit(1), F.lit(genes)), lambda g: F.log1p(F.coalesce(F.try_element_at("m", g), F.lit(0).cast("bigint"))))
-    return m.join(base.cells(spark, folder), "cell_id").select("cell_id", "cell_type", x.alias("x"))
+def _wide(spark: SparkSession, folder: str) -> tuple[DataFrame, list[int]]:
+    """Log counts of every cell over all genes that have counts, and the genes."""
+    counts = base.counts(spark, folder)
+    genes = sorted(r[0] for r in counts.select("gene_id").distinct().collect())
+    m = counts.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene_id", "x"))).alias("m"))
+    x = F.transform(F.array(*[F.lit(g) for g in genes]), lambda g: F.log1p(F.coalesce(F.try_element_at("m", g), F.lit(0).cast("bigint"))))
+    return cut(base.cells(spark, folder).join(m, "cell_id", "left").select("cell_id", "cell_type", x.alias("x"))), genes
 
 
 @query()
 def genie3(spark: SparkSession, folder: str) -> DataFrame:
-    """Forest importances of the first ten genes for each other."""
-    return baselines.forest_importances(cut(_wide(spark, folder, 10)), 10, list(range(10)), n_trees=5)
+    """Forest importances of all genes for each other."""
+    wide, genes = _wide(spark, folder)
+    names = F.array(*[F.lit(g) for g in genes])
+    found = baselines.forest_importances(wide, len(genes), list(range(len(genes))))
+    return found.select(F.get(names, "src").alias("src"), F.get(names, "tgt").alias("tgt"), "w")
 
 
 @query()
 def predict_cell_types(spark: SparkSession, folder: str) -> DataFrame:
     """The type that a forest trained on the labelled cells gives to every cell."""
-    wide = cut(_wide(spark, folder, 40))
-    return baselines.predict_cell_types(baselines.train_classifier(wide, 40, n_trees=20), wide, 40)
+    wide, genes = _wide(spark, folder)
+    return baselines.predict_cell_types(baselines.train_classifier(wide, len(genes)), wide, len(genes))
+
+
+@query("SELECT dataset, gene_id, CAST(sum(CASE WHEN gene_id % 2 = 0 AND gene_id IN (SELECT gene_id FROM genes) THEN greatest(x - 1, 0) ELSE x END) AS BIGINT) AS total FROM x JOIN cell USING (cell_id) GROUP BY dataset, gene_id")
+def swap_gene_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """``dataset, gene_id, total``: counts of each gene where the panel's even genes are taken from the cells' counts less one."""
+    counts = base.counts(spark, folder)
+    other = counts.withColumn("x", F.greatest(F.col("x") - 1, F.lit(0).cast("bigint")))
+    even = base.genes(spark, folder).filter("gene_id % 2 = 0").select("gene_id")
+    both = baselines.swapped(counts, other, even).join(base.cells(spark, folder).select("cell_id", "dataset"), "cell_id")
+    return both.groupBy("dataset", "gene_id").agg(F.sum("x").alias("total"))
 
 
 @query()

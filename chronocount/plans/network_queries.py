@@ -185,13 +185,13 @@ def link_list(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.link_list(_scored(spark, folder)).select("src", "tgt", "score", "rank"), "score")
 
 
-@query(""", cu AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY tgt) - 1 AS INT) AS step, w FROM nw), k AS (SELECT DISTINCT src, CAST(unnest(range(0, 20)) AS INT) AS step FROM cu),
+@query(""", cu AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY tgt) - 1 AS INT) AS step, w FROM nw), k AS (SELECT DISTINCT src, CAST(unnest(range(0, (SELECT max(step) + 1 FROM cu))) AS INT) AS step FROM cu),
 f AS (SELECT k.src, k.step, last_value(w IGNORE NULLS) OVER (PARTITION BY k.src ORDER BY k.step ROWS UNBOUNDED PRECEDING) AS v FROM k LEFT JOIN cu USING (src, step))
 SELECT step, round(avg(v), 6) + 0 AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) + 0 AS se FROM f WHERE v IS NOT NULL GROUP BY step""")
 def pad_last(spark: SparkSession, folder: str) -> DataFrame:
     step = (F.row_number().over(Window.partitionBy("src").orderBy("tgt")) - 1).alias("step")
     curves = _mean_net(spark, folder).select("src", step, "w")
-    return rounded(evaluate.padded_curves(curves, "src", "step", "w", 20), "mean", "se")
+    return rounded(evaluate.padded_curves(curves, "src", "step", "w"), "mean", "se")
 
 
 @query(""", c AS (SELECT *, round(abs(w - coalesce(lag(w) OVER (PARTITION BY src, tgt ORDER BY net_id), 0)), 9) AS change FROM n),

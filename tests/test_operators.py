@@ -1,13 +1,15 @@
 """Invariants and small brute-force checks of the core operators."""
 
 import datetime as dt
+import hashlib
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronocount.functions.nb import nb_pmf
-from chronocount.operators import compare, depth, dynamics, evaluate, mixture, network, trajectory
+from chronocount.operators import compare, depth, dynamics, evaluate, fit, mixture, network, selection, trajectory
 from chronocount.operators.counts import counts_long, one_row_per_cell, pack_by_cell, plain_label
 from chronocount.sources import text
 from chronocount.streaming.events import daily_counts, run_daily_counts
@@ -62,6 +64,112 @@ def test_pearson_against_matrix(small):
         assert r["r"] == pytest.approx(c[r["gene_a"], r["gene_b"]])
 
 
+def test_partial_correlation_and_components_against_matrix(spark, small):
+    x, counts, cells = small
+    packed, panel = pack_by_cell(counts), list(range(5))
+    inverse = np.linalg.inv(np.corrcoef(x.T))
+    got = {(r["gene_a"], r["gene_b"]): r["sign"] for r in compare.partial_corr_sign(compare.pearson_matrix(packed, panel, 60), panel).collect()}
+    assert got == {(i, j): -int(np.sign(inverse[i, j])) for i in range(5) for j in range(i + 1, 5)}
+    assert compare.partial_corr_sign(compare.pearson_matrix(packed.limit(0), [], 0), []).count() == 0
+    # A cell without rows isn't packed.
+    own = x[x.sum(axis=1) > 0]
+    value, vector = np.linalg.eigh(np.cov(np.log1p(own).T))
+    pc = {r["cell_id"]: r["pc"] for r in compare.principal_components(packed, panel, 2).collect()}
+    lead = vector[:, ::-1][:, :2]
+    lead = lead * np.sign(lead[np.abs(lead).argmax(axis=0), [0, 1]])
+    assert all(np.allclose(pc[i], np.log1p(x[i]) @ lead, atol=1e-6) for i in pc) and len(pc) == len(own)
+    assert compare.principal_components(packed.limit(0), panel, 2).count() == 0
+
+
+def test_evenly_spaced_times(spark):
+    df = spark.createDataFrame([(float(t), "clash") for t in range(23)] + [(None, "x")], "time_h double, _i string")
+    got = sorted(r["time_h"] for r in compare.evenly_spaced(df, "time_h", 10).collect())
+    assert got == [float(v) for v in np.round(np.linspace(0, 22, 10)).astype(int)]
+    assert compare.evenly_spaced(df.filter("time_h < 4"), "time_h", 10).count() == 4 and compare.evenly_spaced(df.limit(0), "time_h").count() == 0
+
+
+def test_transport_cost_by_hand(spark):
+    # 0, 0, 4 against 1, 3: two thirds stay below, the half of the other side ends at 1/2.
+    rows = [("g", True, 0, 2), ("g", True, 4, 1), ("g", False, 1, 1), ("g", False, 3, 1), ("h", True, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, early boolean, x bigint, n bigint")
+    got = compare.transport_cost(df, ["k"], F.col("early")).collect()
+    assert len(got) == 1 and got[0]["cost"] == pytest.approx(1 / 2 * 1 + 1 / 6 * 9 + 1 / 3 * 1)
+
+
+def test_signs_and_prior_matrix_by_hand(spark):
+    effects = {"inhibits": -1, "Downregulation": -1, "antagonist of": -1, "down": 1, "block": 1, "up-regulates": 1, "transcriptional repression": -1, None: 1, "": 1}
+    df = spark.createDataFrame([(e,) for e in effects], "effect string")
+    assert [r[0] for r in df.select(network.effect_sign("effect")).collect()] == list(effects.values())
+    genes = spark.createDataFrame([(0, "Stim", "x"), (1, "A", "x"), (2, "B", "x"), (3, "C", "x"), (4, None, "x")], "gene_id int, gene_name string, w string")
+    pairs = spark.createDataFrame([("A", "B", 1), ("B", "A", -1)], "src string, tgt string, sign int")
+    got = {(r["src"], r["tgt"]): r["w"] for r in network.prior_matrix(pairs, genes).collect()}
+    want = {(s, t): 0.0 if s == 0 else 1.0 for s in range(5) for t in range(1, 5)} | {(s, t): 0.0 for s in (2, 3, 4) for t in (1, 2)} | {(3, 2): 0.0, (1, 1): 1.0, (2, 2): 1.0}
+    assert got == want
+
+
+def test_starting_states_by_hand(spark):
+    rows = [(1, 1, 0.0, 0.1), (2, 1, 0.3, 0.1), (3, 1, 2.0, 1.0), (4, 2, 0.7, 1.0)]
+    df = spark.createDataFrame(rows, "cell_id int, gene_id int, x double, level double")
+    got = {r["cell_id"]: r["prot"] for r in trajectory.initial_states(df).collect()}
+    shrink = lambda x, m: x - (x - m) * (a := (abs(x - m) / (2 * m)) ** 2) / (1 + a)
+    s = [shrink(x, m) for _, g, x, m in rows if g == 1]
+    s = [v - min(s) for v in s]
+    low = [0.1 + 0.9 * np.sqrt(v / max(s[1], s[2] / 2)) / 2 for v in s[:2]]
+    assert got[1] == pytest.approx(low[0]) and got[2] == pytest.approx(low[1]) and got[3] == pytest.approx(1.0) and got[4] == 1.0
+
+
+def test_half_lives(spark):
+    known = spark.createDataFrame([("Abcd", 2.0, 10.0), ("Abce", 4.0, None), ("Z", 1.0, None)], "known string, rna double, prot double")
+    names = spark.createDataFrame([("Abcd",), ("Abce",), ("Qq",), ("Zz",)], "name string")
+    got = {r["name"]: (r["d0"], r["d1"]) for r in trajectory.halflife_rates(names, known).collect()}
+    ratio = 10.0 / (7 / 3)
+    assert got["Abcd"] == pytest.approx((np.log(2) / 2, np.log(2) / 10)) and got["Abce"] == pytest.approx((np.log(2) / 4, np.log(2) / (4 * ratio)))
+    assert got["Qq"] == pytest.approx((np.log(2) / (7 / 3), np.log(2) / 10)) and got["Zz"] == pytest.approx((np.log(2), np.log(2) / ratio))
+
+
+def test_low_modes_are_not_pushed_up():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.poisson(rng.gamma(0.05, 4.0, 4000)), rng.poisson(rng.gamma(5.0, 4.0, 1000))])
+    v, n = np.unique(x, return_counts=True)
+    k, c, w = mixture.fit_gene(np.zeros(len(v)), v, n)
+    assert k[0] / c < 0.5 and 14 < k[1] / c < 30
+
+
+def test_poisson_genes_stop_at_equal_sets(spark, small):
+    _, counts, cells = small
+    got = {r["gene_id"] for r in depth.poisson_genes(counts, cells).collect()}
+    assert got == {r["gene_id"] for r in depth.poisson_genes(counts, cells, rounds=50).collect()}
+
+
+def test_seeded_ranks_and_batches(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else None) for i in range(300)], "key int, g string")
+    for n in (1, 7):
+        ranks = selection.group_rank(df.repartition(n), ["g"], "key", 5).collect()
+        for g in ("hot", None):
+            own = sorted((r for r in ranks if r["g"] == g), key=lambda r: hashlib.md5(f"5|{r['key']}".encode()).hexdigest())
+            assert [r["rank"] for r in own] == list(range(1, len(own) + 1)) and {r["group_size"] for r in own} == {len(own)}
+    one, two = ({r["key"]: r["batch"] for r in selection.shuffled(df, "g", "key", 50, turn).collect()} for turn in (1, 2))
+    assert one != two and set(one.values()) == {0, 1, 2, 3}
+
+
+def test_shared_folder(spark):
+    from chronocount import session
+
+    df = session.cut(spark.range(3).toDF("a"))
+    assert df.count() == 3 and session.tables_dir(spark).startswith(session.shared_dir(spark))
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://far:7077"
+            getConf = staticmethod(lambda: Far.conf)
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Far)
+
+
 def test_partitions_do_not_matter(spark, small):
     _, counts, cells = small
     out = [sorted(map(tuple, compare.histogram(counts.repartition(n), cells.repartition(n), ["time_h"]).collect())) for n in (1, 7)]
@@ -219,6 +327,41 @@ def test_pipeline(spark, tmp_path):
         pipeline.run(spark, "/root/testdata/sf0.001", str(tmp_path), ["nothing"])
 
 
+def test_pipeline_passes_its_tables_on(spark, tmp_path, monkeypatch):
+    from chronocount.plans import base, pipeline
+
+    source, out = "/root/testdata/sf0.001", str(tmp_path)
+    monkeypatch.setattr(pipeline.fit, "fit_network", partial(fit.fit_network, least_rounds=1, most_rounds=1))
+    pipeline.run(spark, source, out)
+    table = lambda t: spark.read.parquet(f"{out}/{t}.parquet")
+    genes = sorted(r[0] for r in table("selected").select("gene_id").distinct().collect())
+    parts = {r["cell_id"]: r["part"] for r in table("split").collect()}
+    for name, part in (("states", "train"), ("test_states", "test")):
+        states = table(name).collect()
+        assert states and {parts[r["cell_id"]] for r in states} == {part} and all(len(r[c]) == len(genes) + 1 for r in states for c in ("kon", "xs", "odds", "prot"))
+    # The level of a count is that of its mode.
+    modes = {(r["gene_id"], r["time_h"], r["x"]): r["kon"] for r in table("modes").collect()}
+    x = {(r["cell_id"], r["gene_id"]): r["x"] for r in depth.depth_corrected(base.counts(spark, source), table("rd")).collect()}
+    for r in table("states").collect():
+        assert r["kon"][1:] == [modes[g, r["time_h"], x.get((r["cell_id"], g), 0)] for g in genes]
+    assert {parts[r["cell"]] for r in table("trajectories").select("cell").distinct().collect()} == {"train"}
+    for name in ("edges", "unit_edges"):
+        assert {(r["src"], r["tgt"]) for r in table(name).collect()} == {(s, t) for s in (-1, 0, *genes) for t in genes}
+    assert {r["part"] for r in table("test_errors").collect()} == {"train", "test"}
+    times = {r[0] for r in base.cells(spark, source).select("time_h").dropna().distinct().collect()}
+    assert {(r["time_h"], r["gene_id"]) for r in table("simulated").collect()} == {(t, g) for t in times for g in genes} and table("checked").count() > 0
+    # Another depth gives other edges, other edges give another simulation.
+    before = {(r["src"], r["tgt"]): r["w"] for r in table("edges").collect()}
+    table("rd").select("cell_id", (F.col("rd") * F.when(F.col("cell_id") % 2 == 0, 4.0).otherwise(0.25)).alias("rd")).write.parquet(f"{out}/other.parquet")
+    table("other").write.mode("overwrite").parquet(f"{out}/rd.parquet")
+    pipeline.run(spark, source, out, ["mixture", "modes", "states", "network"])
+    assert before != {(r["src"], r["tgt"]): r["w"] for r in table("edges").collect()}
+    high = [(s, t, 9.0 if s == -1 else 0.0) for s in (-1, 0, *genes) for t in genes]
+    spark.createDataFrame(high, "src int, tgt int, w double").write.mode("overwrite").parquet(f"{out}/unit_edges.parquet")
+    pipeline.run(spark, source, out, ["simulation"])
+    assert all(r["prot"] > 0.5 for r in table("simulated").filter("time_h = 96").collect())
+
+
 def test_perturbation_of_every_cell_of_the_dataset(spark):
     rng = np.random.default_rng(8)
     prot = np.hstack([np.ones((30, 1)), rng.random((30, 3))])
