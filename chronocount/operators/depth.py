@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronocount.operators.selection import quantiles
 from chronocount.session import cut
 
 
@@ -72,8 +73,8 @@ def read_depth(counts: DataFrame, cells: DataFrame, genes: DataFrame, low: float
 
 def normalised_rd(cells: DataFrame, by: str = "median") -> DataFrame:
     """``cell_id, rd`` divided by the median or mean of all depth factors; null factors stay null."""
-    centre = F.percentile("rd", F.lit(0.5)) if by == "median" else F.avg("rd")
-    return cells.join(F.broadcast(cells.agg(centre.alias("c")))).select("cell_id", (F.col("rd") / (F.col("c") + 1e-16)).alias("rd"))
+    centre = quantiles(cells, "rd", [0.5])[0] if by == "median" else cells.agg(F.avg("rd")).first()[0]
+    return cells.withColumn("c", F.lit(centre).cast("double")).select("cell_id", (F.col("rd") / (F.col("c") + 1e-16)).alias("rd"))
 
 
 def depth_corrected(counts: DataFrame, rd: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronocount.operators.selection import quantiles
 from chronocount.session import cut
 
 # What names an inhibiting effect, anywhere in it or at the beginning of a word.
@@ -142,8 +143,8 @@ def regulator_rank(edges: DataFrame) -> DataFrame:
 
 def top_fraction_edges(edges: DataFrame, percentile: float = 0.9) -> DataFrame:
     """Edges to others whose |w| is at least the percentile of all |w| that are not 0."""
-    at = edges.filter("w <> 0").agg(F.percentile(F.abs("w"), F.lit(percentile)).alias("at"))
-    return edges.join(F.broadcast(at)).filter((F.abs("w") >= F.col("at")) & (F.col("src") != F.col("tgt"))).drop("at")
+    at = quantiles(edges.filter("w <> 0").select(F.abs("w").alias("w")), "w", [percentile])[0]
+    return edges.filter((F.abs("w") >= F.lit(at)) & (F.col("src") != F.col("tgt")))
 
 
 def kon(states: DataFrame, edges: DataFrame, intercepts: DataFrame, key: str, lower: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronocount.session import cut
+
 
 def cells_per_time_sample(cells: DataFrame) -> DataFrame:
     """``time_h, sample_id, n_cells``; null keys are groups."""
@@ -133,9 +135,36 @@ def kept_if_variable(listed: DataFrame, temporal: DataFrame, least: float = 0.01
     return listed.select("gene_id").distinct().join(total, "gene_id", "left_semi")
 
 
+def quantiles(values: DataFrame, value: str, at: list[float]) -> list[float | None]:
+    """The quantiles ``at`` of a numeric column, between two values by their distance; nulls and NaN don't count, without values all are null.
+
+    Values are counted, the different ones sorted in ranges by tasks of their
+    own, and the ranges' sizes say in which ones the wanted ranks lie, so no task
+    holds the column. A value that a third of all rows have is one row there.
+    """
+    v = F.col(value).cast("double")
+    counted = values.filter(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranges = cut(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    sizes = sorted(ranges.groupBy("part").agg(F.sum("n").alias("n"), F.min("v").alias("least")).collect(), key=lambda r: r["least"])
+    starts, total = {}, 0
+    for r in sizes:
+        starts[r["part"]], total = total, total + r["n"]
+    if not total:
+        return [None] * len(at)
+    places = [q * (total - 1) for q in at]
+    wanted = sorted({int(f) for p in places for f in (p // 1, -(-p // 1))})
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    start = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
+    holding = [p for p, begin in starts.items() for n in [next(r["n"] for r in sizes if r["part"] == p)] if any(begin <= w < begin + n for w in wanted)]
+    ranked = ranges.filter(F.col("part").isin(holding)).select("v", "n", (start[F.col("part")] + upto).alias("upto"))
+    hit = reduce(lambda a, b: a | b, [(F.col("upto") > w) & (F.col("upto") - F.col("n") <= w) for w in wanted])
+    rows = ranked.filter(hit).collect()
+    by_rank = {w: r["v"] for w in wanted for r in rows if r["upto"] - r["n"] <= w < r["upto"]}
+    return [by_rank[int(p // 1)] + (by_rank[int(-(-p // 1))] - by_rank[int(p // 1)]) * (p % 1) for p in places]
+
+
 def panel_bins(values: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """``key, bin``: number of the quantile bin (0 first, closed above) of each value; nulls have none."""
-    edges = [F.percentile(value, F.lit(i / n)).alias(f"e{i}") for i in range(1, n)]
-    over = values.join(F.broadcast(values.agg(*edges)))
-    number = reduce(lambda a, b: a + b, [(F.col(value) > F.col(f"e{i}")).cast("int") for i in range(1, n)], F.lit(0))
-    return over.filter(F.col(value).isNotNull()).select(key, number.alias("bin"))
+    edges = [e for e in quantiles(values, value, [i / n for i in range(1, n)]) if e is not None]
+    number = reduce(lambda a, b: a + b, [(F.col(value) > e).cast("int") for e in edges], F.lit(0))
+    return values.filter(F.col(value).isNotNull()).select(key, number.alias("bin"))

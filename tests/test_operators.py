@@ -152,6 +152,15 @@ def test_seeded_ranks_and_batches(spark):
     assert one != two and set(one.values()) == {0, 1, 2, 3}
 
 
+def test_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=700), np.full(300, 0.25)])
+    df = spark.createDataFrame([(float(x), "clash") for x in v] + [(None, "a"), (float("nan"), "b")], "v double, n string").repartition(5)
+    at = [0.0, 0.1, 0.5, 0.77, 1.0]
+    assert selection.quantiles(df, "v", at) == pytest.approx(np.quantile(v, at).tolist())
+    assert selection.quantiles(df.limit(0), "v", [0.5]) == [None] and selection.panel_bins(df.limit(0), "n", "v", 4).count() == 0
+
+
 def test_shared_folder(spark):
     from chronocount import session
 
