@@ -13,7 +13,6 @@ reads a part only.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -75,63 +74,50 @@ def percentiles(summary: DataFrame, groups: Sequence[str], at: Sequence[float],
     keys, count = list(groups), len(at)
     v = F.col("v").cast("bigint") if whole else image(F.col("v"))
     data = cut(summary.select(F.struct(*keys).alias("g"), v.alias("v"), "n").groupBy("g", "v").agg(F.sum("n").alias("n")).filter("n > 0"))
-    rank = lambda p: F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)).cast("bigint")
     ends = data.groupBy("g").agg(F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
     # An interval is open below and closed above, and a rank counts from its lower end: the rank-th row of (low, high] is looked for.
+    rank = lambda p: F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)).cast("bigint")
     state = ends.select("g", "n", *[x for i, p in enumerate(at) for x in (rank(p).alias(f"r{i}"), (F.col("least") - 1).alias(f"low{i}"), F.col("most").alias(f"high{i}"))])
-    turn = 0
+    each, parts, turn = range(count), range(1, WAYS), 0
+    # The passes' expressions are SQL texts: there are many of them.
+    inside = [f"(open{i} AND v > low{i} AND v <= high{i})" for i in each]
+    sums = [F.expr(f"sum(CASE WHEN {inside[i]} AND v <= {middle(i, j)} THEN n ELSE 0 END) AS c{i}_{j}") for i in each for j in parts]
     while True:
         state = cut(state)
         # Open: wider than allowed and still to be divided.
         if whole:
-            open_ = [F.col(f"high{i}") - F.col(f"low{i}") > F.lit(int(max(error, 1.0))) for i in range(count)]
+            open_ = [F.expr(f"high{i} - low{i} > {int(max(error, 1.0))}") for i in each]
         else:
-            open_ = [_between("low", "high", i, 1) & ((from_image(F.col(f"high{i}")) - from_image(F.col(f"low{i}") + 1) > error) if error else F.lit(True)) for i in range(count)]
+            wide = lambda i: from_image(F.col(f"high{i}")) - from_image(F.col(f"low{i}") + 1) > error
+            open_ = [F.expr(f"high{i} > low{i} + 1") & (wide(i) if error else F.lit(True)) for i in each]
         marked = state.select("*", *[o.alias(f"open{i}") for i, o in enumerate(open_)])
-        busy = marked.filter(any_of([F.col(f"open{i}") for i in range(count)]))
+        busy = marked.filter(" OR ".join(f"open{i}" for i in each)).drop("n", *[f"r{i}" for i in each])
         if busy.isEmpty():
             break
-        inside = [F.col(f"open{i}") & (F.col("v") > F.col(f"low{i}")) & (F.col("v") <= F.col(f"high{i}")) for i in range(count)]
-        met = data.join(busy.drop("n", *[f"r{i}" for i in range(count)]), "g").filter(any_of(inside))
         if turn in (1, 2, 4):
             # What lies outside all intervals is not read again.
-            data = cut(met.select("g", "v", "n"))
-            met = data.join(busy.drop("n", *[f"r{i}" for i in range(count)]), "g")
-        counted = met.groupBy("g").agg(*[
-            F.sum(F.when(inside[i] & (F.col("v") <= middle(i, j)), F.col("n")).otherwise(0)).alias(f"c{i}_{j}") for i in range(count) for j in range(1, WAYS)
-        ])
-        step = marked.join(counted, "g", "left")
+            data = cut(data.join(busy, "g").filter(" OR ".join(inside)).select("g", "v", "n"))
+        counted = data.join(busy, "g").filter(" OR ".join(inside)).groupBy("g").agg(*sums)
         moved = []
-        for i in range(count):
+        for i in each:
             # The part whose counts reach the rank first; before it the rank falls by what lies below.
-            r, low, high, gone = F.col(f"r{i}"), F.col(f"low{i}"), F.col(f"high{i}"), F.lit(0)
-            new_low, new_high = low, high
-            for j in range(1, WAYS):
-                short = F.col(f"c{i}_{j}") < r
-                new_low, gone = F.when(short, middle(i, j)).otherwise(new_low), F.when(short, F.col(f"c{i}_{j}")).otherwise(gone)
-            for j in reversed(range(1, WAYS)):
-                new_high = F.when(F.col(f"c{i}_{j}") >= r, middle(i, j)).otherwise(new_high)
-            still = F.col(f"open{i}")
-            moved += [F.when(still, r - gone).otherwise(r).alias(f"r{i}"), F.when(still, new_low).otherwise(low).alias(f"low{i}"), F.when(still, new_high).otherwise(high).alias(f"high{i}")]
-        state, turn = step.select("g", "n", *moved), turn + 1
+            reached = [f"WHEN c{i}_{j} >= r{i} THEN {j}" for j in parts]
+            moved.append(F.expr(f"CASE WHEN NOT open{i} THEN NULL {' '.join(reached)} ELSE {WAYS} END AS part{i}"))
+        at_part = lambda i, last, f: " ".join(f"WHEN {j} THEN {f(j)}" for j in last)
+        stepped = marked.join(counted, "g", "left").select("*", *moved)
+        state = stepped.select("g", "n", *[F.expr(x) for i in each for x in (
+            f"CASE part{i} {at_part(i, range(2, WAYS + 1), lambda j: f'r{i} - c{i}_{j - 1}')} ELSE r{i} END AS r{i}",
+            f"CASE part{i} {at_part(i, range(2, WAYS + 1), lambda j: middle(i, j - 1))} ELSE low{i} END AS low{i}",
+            f"CASE part{i} {at_part(i, parts, lambda j: middle(i, j))} ELSE high{i} END AS high{i}",
+        )])
+        turn += 1
     value = (lambda i: F.col(f"high{i}").cast("double")) if whole else (lambda i: from_image(F.col(f"high{i}")))
-    found = state.select("g", "n", *[value(i).alias(f"value{i}") for i in range(count)])
+    found = state.select("g", "n", *[value(i).alias(f"value{i}") for i in each])
     pair = F.explode(F.array(*[F.struct(F.lit(p).cast("double").alias("p"), F.col(f"value{i}").alias("value")) for i, p in enumerate(at)]))
     return found.select("g", "n", pair.alias("f")).select("g.*", "n", "f.p", "f.value")
 
 
-def middle(i: int, j: int) -> Column:
-    """The whole part of low + (high - low) * j / WAYS of interval ``i``, without going beyond 64 bits."""
-    low, high = F.col(f"low{i}"), F.col(f"high{i}")
-    rest = lambda x: x.bitwiseAND(F.lit(WAYS - 1))
-    return F.shiftright(low, 3) * (WAYS - j) + F.shiftright(high, 3) * j + F.shiftright(rest(low) * (WAYS - j) + rest(high) * j, 3)
-
-
-def _between(low: str, high: str, i: int, gap: int) -> Column:
-    """high - low > gap, where the difference may go beyond 64 bits."""
-    return F.col(f"{high}{i}") > F.col(f"{low}{i}") + gap
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    """Whether one of the conditions holds."""
-    return reduce(lambda a, b: a | b, conditions)
+def middle(i: int, j: int) -> str:
+    """SQL of the whole part of low + (high - low) * j / WAYS of interval ``i``, without going beyond 64 bits."""
+    low, high, rest = f"low{i}", f"high{i}", WAYS - 1
+    return f"(shiftright({low}, 3) * {WAYS - j} + shiftright({high}, 3) * {j} + shiftright(({low} & {rest}L) * {WAYS - j} + ({high} & {rest}L) * {j}, 3))"
