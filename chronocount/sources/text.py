@@ -13,18 +13,20 @@ from chronocount.operators.packed import split_packed
 
 
 def scan_text_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """``gene_id, cell_id, time_h, x`` of a tab-separated matrix: first row times, other rows genes, first column the gene's number.
+    """``gene_id, cell_id, time_h, x`` of a tab-separated matrix (one file): first row times, other rows genes, first column the gene's number.
 
     Cells are numbered by their column from 1; the times' row is found by its
-    place, not by its content.
+    place, not by its content. The file is read by lines, in as many tasks as it
+    has parts; numbers of lines rise from part to part.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")).alias("row", "line"))
-    cell = lines.select("row", F.posexplode(F.split("line", "\t")).alias("cell_id", "v"))
-    head = F.transform(F.split("line", "\t"), lambda v: v.try_cast("double"))
-    times = lines.filter("row = 0").select(F.posexplode(head).alias("cell_id", "time_h"))
-    ids = cell.filter("cell_id = 0 and row > 0").select("row", F.col("v").try_cast("double").cast("int").alias("gene_id"))
-    values = cell.filter("cell_id > 0 and row > 0").select("row", "cell_id", F.col("v").try_cast("double").cast("bigint").alias("x"))
-    return values.join(times, "cell_id").join(ids, "row").select("gene_id", F.col("cell_id").cast("bigint").alias("cell_id"), "time_h", "x")
+    lines = spark.read.text(path).withColumn("row", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    first = F.broadcast(lines.agg(F.min("row").alias("first")))
+    cells = lines.join(first).select((F.col("row") == F.col("first")).alias("is_first"), F.split(F.regexp_replace("value", r"\r$", ""), "\t").alias("cells"))
+    number = lambda v: v.try_cast("double")
+    times = cells.filter("is_first").select(F.posexplode(F.transform("cells", number)).alias("cell_id", "time_h"))
+    values = cells.filter("not is_first").select(number(F.col("cells")[0]).cast("int").alias("gene_id"), F.posexplode(F.transform("cells", number)).alias("cell_id", "x"))
+    both = values.filter("cell_id > 0").join(times, "cell_id")
+    return both.select("gene_id", F.col("cell_id").cast("bigint").alias("cell_id"), "time_h", F.col("x").cast("bigint").alias("x"))
 
 
 def scan_gene_names(spark: SparkSession, path: str) -> DataFrame:
