@@ -276,7 +276,12 @@ def alternate_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def infer_test(spark: SparkSession, folder: str) -> DataFrame:
-    """``part, turns, error``: how well the network that the train cells give holds on their own and on the test cells' trajectories."""
+    """``part, turns, error``: how well the network that the train cells give holds on their own and on the test cells' trajectories.
+
+    The network is the regression on the train cells' own states; each part has
+    its switch times and modes fitted in at most six turns. The mixture behind
+    the states is that of all cells (the pipeline's is of the train cells).
+    """
     cells, panel, _ = to_fit(spark, folder)
     part = cut(selection.split_train_test(base.cells(spark, folder)).select("cell_id", "part"))
     both = cut(cells.join(part, "cell_id"))
