@@ -121,14 +121,11 @@ def _edges(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "ref_network").join(s, "index_name").join(t, "tgt").filter("w is not null").groupBy("src", F.col("t").alias("tgt")).agg(F.avg("w").alias("w"))
 
 
-def _panel_genes(spark: SparkSession, folder: str) -> list[int]:
-    """The genes that have counts, without the stimulus."""
-    return sorted(r[0] for r in base.counts(spark, folder).select("gene_id").distinct().filter("gene_id > 0").collect())
-
-
 def to_fit(spark: SparkSession, folder: str) -> tuple[DataFrame, fit.Panel, list[int]]:
     """Cells as ``fit.cells_to_fit`` makes them from the mixture of their own counts, the panel, and its genes."""
-    counts, cells, genes = base.counts(spark, folder), base.cells(spark, folder), _panel_genes(spark, folder)
+    # Counts are used three times.
+    counts, cells = cut(base.counts(spark, folder)), base.cells(spark, folder)
+    genes = sorted(r[0] for r in counts.select("gene_id").distinct().filter("gene_id > 0").collect())
     hist = cut(compare.histogram(counts, cells, ["time_h"]))
     mixed = cut(mixture.fit_mixtures(hist))
     levels = cut(fit.count_levels(mixture.assign_modes(hist, mixed), mixed))
