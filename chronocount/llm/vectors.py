@@ -9,7 +9,11 @@ ranked by exact distance.
 
 The directions of one table are made orthonormal. Then the squared distance of
 two vectors is at least the sum over those borders, so for a given radius the
-probing ends with a proof that nothing is missed (``near_pairs``).
+probing ends with a proof that nothing is missed.
+
+All pairs within a radius (``near_pairs``) are found by planes instead: each
+divides the vectors in two, those behind it that a pair may join to the front
+are in both halves, and the halves are divided again until all pairs are tried.
 """
 
 from __future__ import annotations
@@ -17,22 +21,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronocount.session import cut
+from chronocount.session import cut, spread
 
 #: Rows a side of a block in which queries meet all rows.
 PART = 4096
 
-#: Rows, lowest by hash, on which the slot width of the k-nearest search is fitted. All rows are indexed.
+#: Rows, lowest by hash, on which the slot width of the k-nearest search and the planes between parts are fitted. All rows are indexed.
 FIT_ROWS = 20_000
 
-_SKETCH = 8  # directions of the sketch, 8 bits each
-_STEP_PARTS = 16.0  # steps of the sketch in the radius
+#: Vectors of a part that a task divides further, at least and at most, parts there are if both hold, vectors of which all pairs are tried, and rows a side of their blocks.
+LEAST_PART, MOST_PART, PARTS, LEAF, BLOCK = 4096, 65_536, 48, 512, 256
+
+_LOOK = 512  # vectors looked at for a plane
 
 
 @dataclass(frozen=True)
@@ -114,58 +121,127 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.select("rep", "v"), keys.join(reps.select("h", "h2", "rep"), ["h", "h2"]).select("key", "rep")
 
 
-def near_pairs(vectors: DataFrame, dim: int, radius: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def _plane(p: np.ndarray, radius: float) -> tuple[float, int, float]:
+    """``(cost, coordinate, place)`` of the plane that divides ``p`` best; the cost is the share of the pairs left to try, both halves together."""
+    best = (np.inf, 0, 0.0)
+    for j in np.argsort(-p.std(axis=0), kind="stable")[:3]:
+        x = np.sort(p[:, j])
+        place = x[(len(x) * np.arange(3, 8)) // 10]
+        front = np.searchsorted(x, place) / len(x)
+        cost = (np.searchsorted(x, place + radius, "right") / len(x)) ** 2 + (1 - front) ** 2
+        i = int(cost.argmin())
+        best = min(best, (float(cost[i]), int(j), float(place[i])))
+    return best
+
+
+def _halves(x: np.ndarray, place: float, spent: np.ndarray, fresh: bool, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows are in the front half and which behind a plane, and what those in front have spent.
+
+    Of a pair that the plane parts, the row behind is also in the front half. It
+    is as far from the plane as the pair apart at least, in this direction, and
+    planes of different (``fresh``) directions add up; so a row whose sum of
+    squares is above the radius' has no pair left in front.
+    """
+    gap = x - place
+    behind = gap >= 0
+    total = spent + np.where(behind, gap * gap, 0.0) if fresh else spent
+    front = ~behind | ((gap <= radius) & (total <= radius * radius))
+    return np.flatnonzero(front), np.flatnonzero(behind), total
+
+
+def _tree(p: np.ndarray, weight: float, most: float, radius: float, numbers: Iterator[int]) -> tuple | int:
+    """Planes ``(coordinate, place, front, behind)`` that divide the sample ``p`` until a part stands for ``most`` rows; a number is a part."""
+    cost, j, place = _plane(p, radius) if len(p) * weight > most and len(p) >= 32 else (1.0, 0, 0.0)
+    if cost > 0.9:
+        return next(numbers)
+    x = p[:, j]
+    return j, place, _tree(p[x <= place + radius], weight, most, radius, numbers), _tree(p[x >= place], weight, most, radius, numbers)
+
+
+def _placed(tree: tuple | int, p: np.ndarray, radius: float) -> Iterator[tuple[int, np.ndarray]]:
+    """``(part, rows)`` of all parts of ``tree`` that have rows of ``p``; a row may be in several."""
+    todo = [(tree, np.arange(len(p)), np.zeros(len(p)), frozenset())]
+    while todo:
+        node, at, spent, used = todo.pop()
+        if isinstance(node, int):
+            yield node, at
+        elif len(at):
+            j, place, front, behind = node
+            x, y, total = _halves(p[at, j], place, spent, j not in used, radius)
+            todo += [(front, at[x], total[x], used | {j}), (behind, at[y], spent[y], used)]
+
+
+def tried_pairs(p: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """``(rows, rows, tried)``: pairs of rows of ``p`` that are within ``radius`` up to rounding, some more than once, and of how many tried."""
+    n = (p * p).sum(axis=1, keepdims=True) * (1 - 1e-12)  # less by more than a product may lose to rounding
+    # The squared distance is one product: |a|^2 - 2 ab + |b|^2.
+    left, right = np.hstack([p, n, np.ones_like(n)]), np.hstack([-2 * p, np.ones_like(n), n])
+    todo = [(np.arange(len(p)), np.zeros(len(p)), frozenset())]
+    while todo:
+        at, spent, used = todo.pop()
+        if len(at) > LEAF:
+            cost, j, place = _plane(p[at[:: -(-len(at) // _LOOK)]], radius)
+            if cost <= 0.9:
+                x, y, total = _halves(p[at, j], place, spent, j not in used, radius)
+                if len(x) < len(at):
+                    todo += [(at[x], total[x], used | {j}), (at[y], spent[y], used)]
+                    continue
+        a, b = left[at], right[at].T
+        for i in range(0, len(at), BLOCK):
+            for k in range(i, len(at), BLOCK):
+                d = a[i : i + BLOCK] @ b[:, k : k + BLOCK]
+                x, y = np.divmod(np.flatnonzero(d <= radius * radius), d.shape[1])
+                if i == k:
+                    x, y = x[x < y], y[x < y]
+                yield at[i + x], at[k + y], d.size
+
+
+def _sample(vectors: DataFrame, key: str, n: int, dim: int) -> np.ndarray:
+    """The ``FIT_ROWS`` of ``n`` vectors lowest by hash. Twice as many at most leave the tasks, not as many from each."""
+    h = F.xxhash64(key)
+    low = vectors.filter(h < -(2**63) + int(min(2 * FIT_ROWS / max(n, 1), 0.999) * 2**64)) if n > 3 * FIT_ROWS else vectors
+    few = low.select("v", h.alias("h")).toPandas().sort_values("h", kind="stable")[:FIT_ROWS]
+    return _matrix(few["v"], dim)
+
+
+def near_pairs(vectors: DataFrame, dim: int, radius: float) -> tuple[DataFrame, DataFrame]:
     """All pairs of different vectors within ``radius``: ``rep_a, rep_b, distance`` and the membership ``key, rep``.
 
     Copies of a vector are one class; ``rep`` is its smallest key. A key with
-    several different vectors belongs to several classes. Nothing is missed: the
-    probing covers every bucket that can hold a vector within the radius.
+    several different vectors belongs to several classes. Nothing is missed: a
+    row goes to every part that can hold a vector within the radius of it. The
+    planes between the parts lie in the sample's principal directions, where
+    the vectors are widest; within a part a task divides further.
     """
     reps, members = classes(vectors)
     reps = cut(reps)
-    n = max(reps.count(), 1)
-    # Two more functions for ten times the vectors keep the buckets about as full.
-    functions = min(dim, max(2, round(3 + 2 * np.log10(n))))
-    table = make_table(dim, functions, 6 * radius, seed)
-    rest = make_table(dim, dim, 1.0, seed).directions[:, -_SKETCH:]
-    step = radius / _STEP_PARTS
+    n = reps.count()
+    sample = _sample(reps, "rep", n, dim)
+    turn = np.linalg.eigh(np.cov(sample.T).reshape(dim, dim))[1] if len(sample) > 1 else np.eye(dim)
+    reach = radius * (1 + 1e-6)
+    tree = _tree(sample @ turn, n / max(len(sample), 1), min(max(n / PARTS, LEAST_PART), MOST_PART), reach, count())
     kind = dict(reps.dtypes)["rep"]
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            v = _matrix(b["v"], dim)
-            row, at, score = probes(table, v, radius)
-            home = at[: len(v)][row]
-            # Of two buckets the one with the smaller number is the one that probes.
-            own = score == 0
-            keep = (own & (at == home)) | (at > home)
-            row, at, own = row[keep], at[keep], at[keep] == home[keep]
-            q = np.floor(v @ rest / step).astype(np.int64) & 0xFF
-            sketch = (q << 8 * np.arange(q.shape[1])).sum(axis=1)[row]
-            yield pd.DataFrame({"bucket": at, "rep": b["rep"].to_numpy()[row], "s": sketch, "own": own})
-
-    rows = reps.mapInPandas(index, f"bucket bigint, rep {kind}, s bigint, own boolean")
-    home = rows.filter("own").select("bucket", F.col("rep").alias("rep_a"), F.col("s").alias("a"))
-    # Differences modulo 2^8 steps, less the step lost to rounding: never more
-    # than the true difference, so no pair within the radius is turned away.
-    parts = [
-        F.greatest(F.abs(F.shiftright(F.shiftleft(_part("a", k) - _part("s", k), 56), 56).cast("double")) - 1, F.lit(0.0))
-        for k in range(min(_SKETCH, dim))
-    ]
-    low = reduce(lambda x, y: x + y, (p * p for p in parts))
-    maybe = (
-        home.join(rows, "bucket")
-        .filter((~F.col("own") | (F.col("rep_a") < F.col("rep"))) & (low <= _STEP_PARTS**2))
-        .select(F.least("rep_a", "rep").alias("rep_a"), F.greatest("rep_a", "rep").alias("rep_b")).distinct()
-    )
-    a = reps.select(F.col("rep").alias("rep_a"), F.col("v").alias("va"))
-    b = reps.select(F.col("rep").alias("rep_b"), F.col("v").alias("vb"))
-    pairs = maybe.join(a, "rep_a").join(b, "rep_b").select("rep_a", "rep_b", _distance("va", "vb", dim).alias("distance"))
-    return pairs.filter(F.col("distance") <= radius), members
-
-
-def _part(sketch: str, k: int) -> Column:
-    return F.shiftright(sketch, 8 * k).bitwiseAND(F.lit(0xFF))
+            for part, at in _placed(tree, _matrix(b["v"], dim) @ turn, reach):
+                yield b.iloc[at].assign(part=part)
+
+    def search(b: pd.DataFrame) -> pd.DataFrame:
+        v, names, out = _matrix(b["v"], dim), b["rep"].to_numpy(), []
+        for x, y, _ in tried_pairs(v @ turn, reach):
+            square = np.zeros(len(x))
+            for i in range(dim):  # in this order, as SQL adds up
+                square += (v[x, i] - v[y, i]) ** 2
+            d = np.sqrt(square)
+            good = (d <= radius) & (names[x] != names[y])
+            if good.any():
+                a, c = names[x[good]], names[y[good]]
+                out.append(pd.DataFrame({"rep_a": np.minimum(a, c), "rep_b": np.maximum(a, c), "distance": d[good]}))
+        return pd.concat(out).drop_duplicates() if out else pd.DataFrame(columns=["rep_a", "rep_b", "distance"])
+
+    parts = spread(reps.mapInPandas(place, f"rep {kind}, v array<float>, part bigint"), "part")
+    return parts.groupBy("part").applyInPandas(search, f"rep_a {kind}, rep_b {kind}, distance double").distinct(), members
 
 
 def _distance(a: str, b: str, dim: int) -> Column:
@@ -213,8 +289,7 @@ def nearest(
     base = cut(base.dropDuplicates(["key", "v"]))
     left = cut(queries.dropDuplicates(["key", "v"]))
     n = max(base.count(), 1)
-    few = base.orderBy(F.xxhash64("key")).limit(FIT_ROWS).select("v").toPandas()
-    sample = _matrix(few["v"], dim)
+    sample = _sample(base, "key", n, dim)
     done: list[DataFrame] = []
     while True:
         if functions and len(sample):

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from chronocount.llm.vectors import _among_all, expand_pairs, make_table, near_pairs, nearest, probes, usable
+from chronocount.llm.vectors import _among_all, expand_pairs, make_table, near_pairs, nearest, probes, tried_pairs, usable
 
 
 def frame(spark, v, ids=None):
@@ -34,6 +34,25 @@ def test_near_pairs_against_brute_force(spark, dim):
     assert pairs.count() < len(want)
 
 
+def test_near_pairs_over_parts(spark, monkeypatch):
+    """Pairs that planes part, between parts and within them."""
+    monkeypatch.setattr("chronocount.llm.vectors.LEAST_PART", 64)
+    monkeypatch.setattr("chronocount.llm.vectors.LEAF", 16)
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(1500, 3)).astype(np.float32) * 2
+    pairs, members = near_pairs(usable(frame(spark, v), "key", "v", 3), 3, 0.5)
+    d = np.sqrt(((v[:, None].astype(float) - v[None].astype(float)) ** 2).sum(-1))
+    want = {(i, j) for i in range(1500) for j in range(i + 1, 1500) if d[i, j] <= 0.5}
+    assert {tuple(r) for r in expand_pairs(pairs, members).collect()} == want and pairs.count() == len(want)
+
+
+def test_a_dense_cluster_is_not_tried_pair_by_pair():
+    """Eight times the vectors of one cluster: far less than eight times the pairs tried for each."""
+    rng = np.random.default_rng(8)
+    each = [sum(n for _, _, n in tried_pairs(rng.normal(size=(rows, 24)) * 0.7, 0.5)) / rows for rows in (4_000, 32_000)]
+    assert each[1] < 3 * each[0] and each[1] < 3_200
+
+
 def test_unusable_vectors(spark):
     rows = [(1, [1.0, 2.0]), (2, None), (3, []), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, None]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (1, [1.0, 2.0])]
     df = usable(spark.createDataFrame(rows, "key bigint, v array<float>"), "key", "v", 2)
