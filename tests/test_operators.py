@@ -5,6 +5,7 @@ import hashlib
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,22 @@ def _net(g=4):
     return dynamics.Network(w, np.array([0, -3.0, -3.0, 3.0]), np.full(g, 0.05), np.full(g, 0.2), np.full(g, 4.0))
 
 
+def test_levels_of_a_wide_network_come_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    w, b, low, prot = rng.normal(size=(9, 40)), rng.normal(size=40), rng.random(40), rng.random((50, 5))
+    frame = pd.DataFrame({"key": range(50), "gene": [np.array([2, 4, 6, 7, 99])] * 50, "prot": list(prot)})
+    monkeypatch.setattr("chronocount.operators.network.VALUES", 400)
+    parts = list(network._levels(frame, np.arange(9), w, b, low))
+    assert max(k.size for _, k in parts) == 400 and [i for p, _ in parts for i in p["key"]] == list(range(50))
+    up = 1 / (1 + np.exp(-(b + prot[:, :4] @ w[[2, 4, 6, 7]])))  # gene 99 is in no edge
+    assert np.allclose(np.concatenate([k for _, k in parts]), low * (1 - up) + up)
+    edges = spark.createDataFrame([(s, t, float(w[s, t])) for s in range(9) for t in range(40)], "src int, tgt int, w double")
+    at = spark.createDataFrame([(t, float(b[t]), float(low[t])) for t in range(40)], "tgt int, b double, low double")
+    states = spark.createDataFrame([(i, g, float(prot[i, j])) for i in range(50) for j, g in enumerate((2, 4, 6, 7, 99))], "key bigint, gene_id int, prot double")
+    got = {(r["key"], r["tgt"]): r["kon"] for r in network.kon(states, edges, at.select("tgt", "b"), "key", at.select("tgt", "low")).collect()}
+    assert len(got) == 2000 and all(got[i, t] == pytest.approx(low[t] * (1 - up[i, t]) + up[i, t]) for i in range(50) for t in range(40))
+
+
 def test_simulation_and_perturbation(spark):
     states = spark.createDataFrame([(i, [1.0, 0.1, 0.1, 0.1]) for i in range(30)], "cell_id bigint, prot array<double>")
     combos = spark.createDataFrame([(1, [1], []), (2, [], [1])], "combo_id bigint, off array<int>, on array<int>")
