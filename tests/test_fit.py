@@ -143,3 +143,25 @@ def test_mixed_step_solves_its_equation(spark):
         p += dt * 0.7 * (0.2 + (0.9 - 0.2) * k * dt / 2 - p)
     got = spark.range(1).select(trajectory.next_state_mixed(F.lit(0.3), F.lit(0.7), F.lit(0.2), F.lit(0.9), F.lit(1.0), F.lit(2.0))).first()[0]
     assert got == pytest.approx(p, abs=1e-3)
+
+
+@pytest.mark.parametrize("density", [0.0, 0.3, 1.0])
+def test_cost_against_every_move(density):
+    """The cost of every move as its definition has it, with genes that nothing acts on."""
+    rng = np.random.default_rng(3)
+    n, m, g = 30, 40, 9
+    low = np.append(0.0, rng.uniform(0.05, 0.9, g))
+    levels = lambda rows: np.hstack([np.ones((rows, 1)), np.where(rng.random((rows, g)) < 0.5, 1.0, low[1:])])
+    p0, k0, k1 = np.hstack([np.ones((n, 1)), rng.random((n, g))]), levels(n), levels(m)
+    l0, l1, alpha = k0[:, 1:] * rng.uniform(0.8, 1.2, (n, g)), k1[:, 1:] * rng.uniform(0.8, 1.2, (m, g)), rng.random((n, g))
+    net = fit.Network(np.where(rng.random((g + 1, g + 1)) < density, rng.normal(size=(g + 1, g + 1)) * 5, 0), rng.normal(size=g + 1))
+    panel = fit.Panel([0.0, 6.0], rng.uniform(0.01, 0.2, g + 1), low, np.zeros((2, g + 1)), np.ones((g + 1, g + 1)))
+    for turn in (1, 3):
+        want = np.empty((n, m))
+        for i in range(n):
+            for j in range(m):
+                prot = fit.flow(p0[i, 1:], l0[i], l1[j], alpha[i], panel.d1[1:], 6.0)
+                want[i, j] = ((1 - 1 / g) * ((k1[j] - k0[i])[1:] ** 2).sum() + ((prot - p0[i, 1:]) ** 2).sum() / g) / turn
+                k = np.clip(net.kon(np.append(1.0, prot), low), 1e-6, 1 - 1e-6)
+                want[i, j] -= (1 - 1 / turn) * (k1[j, 1:] * np.log(k) + (1 - k1[j, 1:]) * np.log(1 - k)).sum()
+        assert np.abs(fit._cost(net, panel, p0, k0, l0, alpha, k1, l1, 6.0, turn) - np.minimum(want, 100)).max() < 1e-4
