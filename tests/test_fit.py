@@ -165,3 +165,11 @@ def test_cost_against_every_move(density):
                 k = np.clip(net.kon(np.append(1.0, prot), low), 1e-6, 1 - 1e-6)
                 want[i, j] -= (1 - 1 / turn) * (k1[j, 1:] * np.log(k) + (1 - k1[j, 1:]) * np.log(1 - k)).sum()
         assert np.abs(fit._cost(net, panel, p0, k0, l0, alpha, k1, l1, 6.0, turn) - np.minimum(want, 100)).max() < 1e-4
+
+
+def test_late_couplings_come_to_rest():
+    """Where missed targets cost far more than the entropy, as in late turns, plain rounds take thousands."""
+    rng = np.random.default_rng(0)
+    args = rng.random((60, 50)) + 5, np.full(60, 1 / 60), np.full(50, 1 / 50), 0.15, 20.0
+    q = trajectory.sinkhorn(*args, rounds=40)
+    assert np.abs(q - trajectory.sinkhorn(*args, rounds=50_000, tolerance=1e-13)).max() < 1e-6 * q.max()
