@@ -403,6 +403,60 @@ def test_perturbation_of_every_cell_of_the_dataset(spark):
             assert got[k, t]["n_cells"] == 15 and np.allclose(got[k, t]["prot"], want.mean(axis=0), atol=1e-9)
 
 
+def test_paths_are_near_the_exact_ones_in_few_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    net = dynamics.Network(rng.normal(0, 2, (30, 30)), rng.normal(size=30), np.append(rng.random(28) * 0.3, [0.0, 1.0]), rng.uniform(0.01, 0.3, 30), np.ones(30))
+    p, times = np.hstack([np.ones((40, 1)), rng.random((40, 29))]), np.array([3.0, 9.0, 9.1, 24.0, 99.0])
+
+    def euler(dt):
+        q, out = p.copy(), [p.copy()]
+        for t in np.diff(times):
+            n = int(np.ceil(t / dt))
+            for _ in range(n):
+                k = net.kon(q)
+                q[:, 1:] = (k + (q - k) * np.exp(-net.d1 * t / n))[:, 1:]
+            out.append(q.copy())
+        return np.stack(out)
+
+    a, b, c = (euler(0.02 / f) for f in (1, 2, 4))
+    seen, kept = [], dynamics._schedule
+    monkeypatch.setattr(dynamics, "_schedule", lambda *x: seen.append(kept(*x)) or seen[-1])
+    got = dynamics.ode_path(net, p, times)
+    assert np.abs(got - (a - 6 * b + 8 * c) / 3).max() < 2e-4  # steps of 0.01 / 0.3 are 3e-3 away
+    assert len(seen[0]) < 80 and sum(map(len, seen)) < 1000
+    # A path doesn't depend on those beside it, nor on other times asked for.
+    assert np.allclose(dynamics.ode_path(net, p[7:9], times), got[:, 7:9], atol=1e-12)
+    assert np.allclose(dynamics.ode_path(net, p, times[[0, 1, 3, 4]]), got[[0, 1, 3, 4]], atol=1e-12)
+
+
+def test_perturbed_cells_and_sets_meet_in_the_task(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    prot = np.hstack([np.ones((70, 1)), rng.random((70, 3))])
+    data = ["b" if i % 7 == 0 else "a" for i in range(70)]
+    states = spark.createDataFrame([(data[i], i, p.tolist()) for i, p in enumerate(prot)], "dataset string, cell_id bigint, prot array<double>")
+    sets = spark.createDataFrame([(k, d, [1] if k % 2 else [], [2, 3] if k % 3 else [1 + k % 3]) for k, d in enumerate("aab" * 7)], "set_id bigint, dataset string, off array<int>, on array<int>")
+    sets = sets.withColumn("off", F.array_except("off", "on"))
+    whole = {(r["set_id"], r["time_h"]): r for r in dynamics.perturbed_means(states, sets, _net(), [0.0, 6.0, 40.0]).collect()}
+    # Neither pairs nor paths pass an exchange: cells go to parts and salts, sums come out.
+    plan = dynamics.perturbed_means(states, sets, _net(), [0.0, 6.0, 40.0])._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+    for name, value in (("PART", 20), ("PATHS", 60), ("SETS", 3), ("BLOCK", 16)):
+        monkeypatch.setattr(dynamics, name, value)
+    got = {(r["set_id"], r["time_h"]): r for r in dynamics.perturbed_means(states, sets, _net(), [0.0, 6.0, 40.0]).collect()}
+    assert len(got) == 63 and got.keys() == whole.keys()
+    for k, r in got.items():
+        assert r["n_cells"] == whole[k]["n_cells"] == (10 if k[0] % 3 == 2 else 60) and np.allclose(r["prot"], whole[k]["prot"], atol=1e-12)
+
+
+def test_states_of_one_time_are_those_among_all(spark):
+    from chronocount.plans import dynamics_queries
+
+    (every, _, genes), (few, _, same) = (dynamics_queries.to_fit(spark, "/root/testdata/sf0.001", *at) for at in ((), (0.0,)))
+    want = {r["cell_id"]: r["prot"] for r in every.filter("time_h = 0").collect()}
+    got = {r["cell_id"]: r["prot"] for r in few.collect()}
+    assert want and genes == same and got.keys() == want.keys() and all(got[k][1:] == want[k][1:] for k in want)
+
+
 def test_every_listed_perturbation_comes_out(spark):
     from chronocount.plans import base, dynamics_queries
 
