@@ -1,11 +1,14 @@
 """The fit by turns: its parts against plain versions, and a planted network."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from chronocount.operators import compare, dynamics, evaluate, fit, mixture, network, trajectory
+from chronocount.session import tables_dir
 
 TIMES = [0.0, 6.0, 12.0, 24.0, 36.0, 48.0, 60.0, 72.0, 84.0, 96.0]
 FN4 = [(0, 1, 10), (1, 2, 10), (1, 3, 10), (3, 4, 10), (4, 1, -10), (2, 2, 10), (3, 3, 10)]
@@ -173,3 +176,36 @@ def test_late_couplings_come_to_rest():
     args = rng.random((60, 50)) + 5, np.full(60, 1 / 60), np.full(50, 1 / 50), 0.15, 20.0
     q = trajectory.sinkhorn(*args, rounds=40)
     assert np.abs(q - trajectory.sinkhorn(*args, rounds=50_000, tolerance=1e-13)).max() < 1e-6 * q.max()
+
+
+def test_regression_sums_only_targets_that_are_not_at_rest(spark, monkeypatch):
+    """Sums of rows by their definition; a target at rest isn't summed again, and a measured error needs no curvature."""
+    rng = np.random.default_rng(7)
+    a, y, n, w, low = np.hstack([rng.random((300, 4)), np.ones((300, 1))]), rng.random((300, 3)), rng.random((300, 1)), rng.normal(size=(5, 3)), np.array([0.1, 0.0, 0.6])
+    p = 1 / (1 + np.exp(-a @ w))
+    k = low + (1 - low) * p
+    h = n * (1 - low) * p * p * (1 - p) / k
+    want = [-(n * (y * np.log(k) + (1 - y) * np.log(1 - k))).sum(axis=0)[:, None], np.full((3, 1), n.sum()), (n * (k - y) * p / k).T @ a, np.stack([((a * x[:, None]).T @ a)[np.triu_indices(5)] for x in h.T])]
+    assert np.allclose(network._terms(a, y, n, w, low), np.hstack(want), rtol=1e-5)
+    asked, sums = [], network._sums
+    monkeypatch.setattr(network, "_sums", lambda rows, names, *more: asked.append((names.tolist(), more[-1])) or sums(rows, names, *more))
+    kon = np.hstack([np.ones((300, 1)), np.tile([0.5], (300, 1)), np.where(rng.random((300, 1)) < a[:, 1:2], 1.0, 0.1)])
+    rows = spark.createDataFrame([(p[:3].tolist(), v.tolist(), 1.0) for p, v in zip(a, kon)], "prot array<double>, kon array<double>, weight double")
+    found = network.fit_rows(rows, np.array([[0, 1, 1], [0, 0, 1], [0, 0, 1.0]]), np.array([1.0, 0.0, 0.1]), strength=0.01)
+    assert asked[0] == ([1, 2], True) and asked[-1] == ([2], True) and found.open == 0
+    network.fit_rows(rows, np.ones((3, 3)), np.array([1.0, 0.0, 0.1]), start=found, rounds=0)
+    assert asked[-1] == ([1, 2], False)
+
+
+def test_tables_of_earlier_turns_are_deleted(spark):
+    rng = np.random.default_rng(8)
+    low = np.array([1.0, 0.1, 0.1])
+    cells = [(i, "s", float(i % 2), [1.0, *rng.random(2).tolist()], [1.0, *np.where(rng.random(2) < 0.5, 1.0, 0.1).tolist()], [0.0, *rng.normal(size=2).tolist()]) for i in range(40)]
+    df = spark.createDataFrame(cells, "cell_id bigint, sample_id string, time_h double, xs array<double>, kon array<double>, odds array<double>")
+    panel = fit.Panel([0.0, 1.0], np.full(3, 0.1), low, np.full((2, 3), 0.5), np.ones((3, 3)))
+    folder = tables_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with pytest.warns(UserWarning, match="not at rest"):
+        found = fit.fit_network(df, panel, least_rounds=3, most_rounds=3)
+    # What is left are the last turn's states and the list of samples.
+    assert len(set(os.listdir(folder)) - before) == 2 and found.trajectories.count() == 40
