@@ -209,3 +209,18 @@ def test_tables_of_earlier_turns_are_deleted(spark):
         found = fit.fit_network(df, panel, least_rounds=3, most_rounds=3)
     # What is left are the last turn's states and the list of samples.
     assert len(set(os.listdir(folder)) - before) == 2 and found.trajectories.count() == 40
+
+
+def test_fixed_network_writes_only_states(spark, monkeypatch):
+    """With a given network the trajectories are read once a turn, so no table of them with their weights is made."""
+    rng = np.random.default_rng(9)
+    low = np.array([1.0, 0.1, 0.1])
+    cells = [(i, "s", float(i % 2), [1.0, *rng.random(2).tolist()], [1.0, *np.where(rng.random(2) < 0.5, 1.0, 0.1).tolist()], [0.0, *rng.normal(size=2).tolist()]) for i in range(40)]
+    df = spark.createDataFrame(cells, "cell_id bigint, sample_id string, time_h double, xs array<double>, kon array<double>, odds array<double>")
+    panel = fit.Panel([0.0, 1.0], np.full(3, 0.1), low, np.full((2, 3), 0.5), np.ones((3, 3)))
+    net, written, cut = fit.Network(rng.normal(size=(3, 3)), np.zeros(3)), [], fit.cut
+    monkeypatch.setattr(fit, "cut", lambda df: written.append(df.columns) or cut(df))
+    with pytest.warns(UserWarning, match="not at rest"):
+        found = fit.fit_network(df, panel, fixed=net, least_rounds=2, most_rounds=2)
+    assert len(found.errors) == 2 and sum("weight" in c for c in written) == 0 and sum("prot" in c for c in written) == 3
+    assert found.errors[-1] == pytest.approx(network.fit_rows(fit.weighted(found.trajectories.select("sample_id", "prot", "kon")), panel.scale, panel.low, start=net, rounds=0).error)
